@@ -99,6 +99,20 @@ def heavy_light_join(rows: DataFrame, groups: DataFrame, keys: list[str], count:
     return hot.unionByName(cold)
 
 
+def attach(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int, columns: list[str], spread: list[str]) -> DataFrame:
+    """Left join of rows with one row a key, by a string key: heavy keys by broadcast, the others by shuffle.
+
+    Rows that found a heavy key are dealt by ``spread`` instead of by their key, so no key fills a partition.
+    """
+    heavy, light = split_heavy(groups, count, total)
+    hot = heavy.select(key, F.lit(True).alias("_hot"), *(F.col(c).alias(f"_hot_{c}") for c in columns))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    dealt = F.when(F.col("_hot"), F.concat(F.lit("#"), F.xxhash64(*spread).cast("string"))).otherwise(F.col(key))
+    cold = light.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_cold_{c}") for c in columns))
+    joined = marked.withColumn("_key", dealt).join(cold, "_key", "left")
+    return joined.select(*(F.col(c) for c in rows.columns), *(F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in columns))
+
+
 def text_of(column: str = "text") -> Column:
     """The text, empty for null."""
     return F.coalesce(F.col(column), F.lit(""))
