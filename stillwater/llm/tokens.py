@@ -46,6 +46,10 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def encode_each(self, texts: list[str]) -> list[bytes]:
+        """ids of each text, remembering nothing."""
+        return self._ids(texts)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """ids of each text."""
         cut = [pieces(t) for t in texts]
