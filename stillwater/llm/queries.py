@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stillwater.llm import decontaminate, exact_dedup, huffman, ngram_join, quality, secrets, toxicity, warc, word_bpe
+from stillwater.llm import decontaminate, exact_dedup, huffman, ngram_join, quality, repeats, secrets, toxicity, warc, word_bpe
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -49,8 +49,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.train(docs))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.cut_repeats(read(spark, sf_dir, "documents"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_huffman_ids, op2_decontaminate, op3_warc, op4_toxicity, op5_word_bpe, op6_exact_dedup, op7_quality, op8_secrets, op10_ngram_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_huffman_ids, op2_decontaminate, op3_warc, op4_toxicity, op5_word_bpe, op6_exact_dedup, op7_quality, op8_secrets, op9_repeats, op10_ngram_join)}
