@@ -37,7 +37,7 @@ END = 0
 _HEAD = struct.Struct("<4sIIQI")  # magic, documents, checkpoints, data bytes, packed index bytes
 _MAGIC = b"HUF1"
 
-CODED = "doc_id long, n_tokens long, bits binary, marks binary"
+CODED = "doc_id long, n_tokens long, bits binary, marks binary, part int"
 DECODED = "doc_id long, start long, n_tokens long, ids binary"
 
 
@@ -166,7 +166,7 @@ class IdWriter(DataSourceArrowWriter):
         with system.open_output_stream(path) as out:
             rows, size = [], 0
             for batch in iterator:
-                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for row in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
                     rows.append(row)
                     size += row[1]
                     if size >= BLOCK_IDS:
@@ -281,17 +281,25 @@ def write(docs: DataFrame, vocabulary: str, path: str, scratch: common.Scratch,
     lengths = code_lengths(global_counts(ids, size, kind), max(limit, size.bit_length()))
     write_codes(path, lengths)
 
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # places in the order of doc_id come from the doc_ids alone; a sample of whole rows would encode them twice
+    bounds = np.unique(ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts)) if parts > 1 else np.zeros(0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = read_codes(path)
         for batch in batches:
             docs = [np.frombuffer(x, kind) for x in batch.column(1).to_pylist()]
             if docs:
                 done = encode(codes, docs)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(d) for d in docs], pa.int64()), pa.array([d[0] for d in done], pa.binary()), pa.array([d[1].tobytes() for d in done], pa.binary())], names=["doc_id", "n_tokens", "bits", "marks"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(d) for d in docs], pa.int64()), pa.array([d[0] for d in done], pa.binary()), pa.array([d[1].tobytes() for d in done], pa.binary()), pa.array(places(batch.column(0)), pa.int32())], names=["doc_id", "n_tokens", "bits", "marks", "part"])
+
+    def places(doc_ids: pa.Array) -> np.ndarray:
+        """Partition of each doc_id; null before all others."""
+        known = doc_ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+        return np.searchsorted(bounds, known.astype(np.float64), "right").astype(np.int32)
 
     coded = ids.mapInArrow(run, CODED)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = coded.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens")
+    ordered = coded.repartitionById(parts, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens").drop("part")
     spark.dataSource.register(IdFiles)
     ordered.write.format("huffman_ids").option("path", path).mode("append").save()
     scratch.drop("ids")

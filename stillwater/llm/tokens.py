@@ -1,12 +1,14 @@
-"""Encoding whole texts by space-separated pieces that are encoded once a worker.
+"""Encoding whole texts by pieces that are encoded once a worker.
 
-Both kinds of tokenizer cut a text before each space that follows a character other than white space, whatever stands
-around it, so the ids of a text are those of its pieces in a row.  A piece goes through the tokenizers library as it
-stands; what it gave is remembered, so frequent pieces cost one look-up.
+A byte-level vocabulary splits a text by its own pattern; texts of well-settled characters are split by that pattern
+here.  Any other text is cut before each space that follows a character other than white space, which is a cut of
+either kind of tokenizer whatever stands around it.  Pieces go through the tokenizers library as they stand; what it
+gave is remembered, so frequent pieces cost one look-up.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -15,22 +17,48 @@ import numpy as np
 #: White space of any of the libraries, before a space: there the cut isn't safe.
 _UNSAFE = re.compile("[\\s᠎] ")
 _CUT = re.compile("(?<=[^\\s᠎])(?= )")
-MEMO, LONGEST = 300_000, 64
+#: Characters whose classes no Unicode version changed, and which normal forms and lower case leave single.
+SETTLED = re.compile("[\\x20-\\x7e\\n\\t¡-įı-ɏ]*")
+#: The letters and numbers among these, and with them the byte-level pattern.
+LETTER, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+_BYTE_LEVEL = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\\s{LETTER}{NUMBER}]+|\\s+(?!\\S)|\\s+")
+LONGEST = 64
+REMEMBERED = 300_000
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def pieces(text: str) -> tuple[str, list[str]]:
-    """The text up to its first safe space, and what follows each safe space (without that space)."""
-    if _UNSAFE.search(text):
-        first, *rest = _CUT.split(text)
-        return (first, [x[1:] for x in rest])
-    first, *rest = text.split(" ")
-    return first, rest
+def cut_at_spaces(text: str) -> list[str]:
+    """Pieces of any text that the tokenizers treat alike whatever stands around them."""
+    return _CUT.split(text) if _UNSAFE.search(text) or text[:1] == " " else (p := text.split(" "))[:1] + [f" {x}" for x in p[1:]]
+
+
+class Memo:
+    """Remembers ``limit`` to twice as many values: what wasn't asked for since the last turn is forgotten."""
+
+    def __init__(self, limit: int):
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Keys that ``new`` lacks even after what is still known was brought back."""
+        if len(self.new) > self.limit:
+            self.new, self.old = {}, self.new
+        out = []
+        for k in keys - self.new.keys():
+            if (value := self.old.get(k)) is None:
+                out.append(k)
+            else:
+                self.new[k] = value
+        return out
+
+    def forget(self, keys: list[str]) -> None:
+        for k in keys:
+            if len(k) > LONGEST:
+                del self.new[k]
 
 
 class Encoder:
-    """ids of texts as little-endian bytes of ``width`` bytes each."""
+    """ids of texts as little-endian bytes, two each (four for a large vocabulary)."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -41,30 +69,36 @@ class Encoder:
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
-        self.memo: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        made = json.loads(self.tokenizer.to_str())
+        self.special = [x["content"] for x in made["added_tokens"]]
+        before = made["pre_tokenizer"] or {}
+        self.byte_level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and made["normalizer"] is None
+        self.memo = Memo(REMEMBERED)
 
     def encode_each(self, texts: list[str]) -> list[bytes]:
         """ids of each text, remembering nothing."""
-        return self._ids(texts)
+        if not texts:
+            return []
+        if not all(texts) or any(c in x for x in texts for c in self.special):
+            return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        # as one list of separate words: one result instead of many
+        found = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(found.ids, self.kind).tobytes()
+        width = np.dtype(self.kind).itemsize
+        ends = (np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(texts))) * width).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def settled(self, text: str) -> bool:
+        return bool(SETTLED.fullmatch(text)) and not any(c in text for c in self.special)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """ids of each text."""
-        cut = [pieces(t) for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        new = sorted({x for _, rest in cut for x in rest} - memo.keys())
-        own = dict(zip(new, self._ids([f" {x}" for x in new]), strict=True))
-        heads = sorted({first for first, _ in cut})
-        head = dict(zip(heads, self._ids(heads), strict=True))
-        long = [x for x in new if len(x) > LONGEST]
-        memo.update(own)
-        out = [head[first] + b"".join(map(memo.__getitem__, rest)) for first, rest in cut]
-        for x in long:
-            del memo[x]
+        split = [_BYTE_LEVEL.findall(t) if self.byte_level and self.settled(t) else cut_at_spaces(t) for t in texts]
+        new = self.memo.missing({x for own in split for x in own})
+        self.memo.new.update(zip(new, self.encode_each(new), strict=True))
+        known = self.memo.new
+        out = [b"".join(map(known.__getitem__, own)) for own in split]
+        self.memo.forget(new)
         return out
 
 
