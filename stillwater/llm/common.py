@@ -11,8 +11,11 @@ import uuid
 import zipfile
 
 import numpy as np
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: At most this many keys can each hold 1/HEAVY_PARTS of the rows, so a table of them is safe to broadcast.
 HEAVY_PARTS = 512
@@ -120,6 +123,25 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int,
     return joined.select(*(F.col(c) for c in rows.columns), *(F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in columns))
 
 
+def packed(rows: DataFrame, column: str = "text") -> DataFrame:
+    """The rows with a text column as zstd frames, for texts that have to move; ``unpack`` undoes it."""
+
+    def run(batches):
+        for batch in batches:
+            k = batch.schema.get_field_index(column)
+            small = zstandard.ZstdCompressor(level=1)
+            data = pa.array([small.compress(x.encode("utf-8", "surrogatepass")) for x in batch.column(k).to_pylist()], pa.binary())
+            yield batch.set_column(k, column, data)
+
+    schema = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == column else f for f in rows.schema])
+    return rows.mapInArrow(run, schema)
+
+
+def unpack(values: list[bytes]) -> list[str]:
+    big = zstandard.ZstdDecompressor()
+    return [big.decompress(x).decode("utf-8", "surrogatepass") for x in values]
+
+
 def text_of(column: str = "text") -> Column:
     """The text, empty for null."""
     return F.coalesce(F.col(column), F.lit(""))

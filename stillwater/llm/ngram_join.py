@@ -201,11 +201,11 @@ def prefix_rows(docs: DataFrame, seed: int, limit: int, frequent) -> DataFrame:
 
 def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Those pairs (u, v) whose sets link.  Texts of v move once a pair, texts of u once; only sets meet."""
-    rows = _rows(docs).select("row", "text")
+    rows = common.packed(_rows(docs).select("row", "text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = shingle_sets(batch.column("text").to_pylist())
+            own = shingle_sets(common.unpack(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([s.tobytes() for s in own], pa.binary())], names=[*batch.schema.names[:-1], "own"])
 
     right = pairs.join(reps.select(F.col("node").alias("v"), F.col("row")), "v").join(rows, "row").select("u", "v", "text").mapInArrow(sets, "u long, v long, own binary")

@@ -198,7 +198,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """hash_a, hash_b, rank, row, place, found: candidate windows; found: a smaller rank in the same batch has it."""
     for batch in batches:
         ranks, rows = (batch.column(c).to_numpy() for c in ("rank", "row"))
-        t = Texts([common.space_words(x) for x in batch.column("text").to_pylist()])
+        t = Texts([common.space_words(x) for x in common.unpack(batch.column("text").to_pylist())])
         starts, keys = anchors(t)
         owner = t.doc_of(starts)
         shared = [np.sort(np.array(x, np.int64)) for x in batch.column("keys").to_pylist()]
@@ -223,7 +223,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         gone, digests = [], []
-        for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
+        for text, places in zip(common.unpack(batch.column("text").to_pylist()), batch.column("places").to_pylist(), strict=True):
             words = common.space_words(text)
             edges = np.zeros(len(words) + 1, np.int64)
             np.add.at(edges, np.array(places, np.int64), 1)
@@ -247,7 +247,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     shared = scratch.table(filed.groupBy("root").agg(F.collect_set("key").alias("keys")), "shared")
     common.release(spark)
     wanted = shared.join(texts, "root").select("root", "rank", "row", "keys")
-    held = scratch.table(wanted.join(_rows(docs).select("row", "text"), "row").dropDuplicates(["root"]), "held")
+    held = scratch.table(wanted.join(common.packed(_rows(docs).select("row", "text")), "row").dropDuplicates(["root"]), "held")
     common.release(spark)
     same = Window.partitionBy("hash_a", "hash_b")
     windows = held.select("rank", "root", "text", "keys").withColumnRenamed("root", "row").mapInArrow(_candidates, "hash_a long, hash_b long, rank long, row long, place int, found boolean")

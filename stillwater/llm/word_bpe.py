@@ -1,15 +1,16 @@
 """BPE encoding and decoding by a table of distinct words.
 
-Texts are split at ASCII white space, which this kind of vocabulary drops, so each word is encoded by itself, once in
-the corpus: ``distinct_words`` counts the words, ``word_table`` encodes each.  The ids come back by position.  The
-``HEAD_WORDS`` most frequent words (a fixed bound) are broadcast and looked up where the text is; the words beyond,
-each rare, go as (document, position, word) through a join with the table and return as one list a document.
+This kind of vocabulary drops white space and splits the rest by its own pattern; texts of well-settled characters are
+split by that pattern here, any other text at ASCII white space alone, so each word is encoded by itself, once in the
+corpus: ``distinct_words`` counts the words, ``word_table`` encodes each.  The ids come back by position.  The most
+frequent words (at most ``HEAD_WORDS`` and ``HEAD_BYTES``) are broadcast and looked up where the text is; the words
+beyond, each rare, go as (document, position, word) through a join with the table and return as one list a document.
 
 ``decode`` joins ids with the id-to-piece table, whose size is the vocabulary's, and joins the pieces by spaces: the
 vocabulary file names no decoder.
 
-Null texts are empty: no ids, empty decoded text.  Rows that repeat doc_id and text share their lists; rows without
-doc_id are joined null-safely.  Extra columns are kept where they are named in ``keep``.
+Null texts are empty: no ids, empty decoded text.  Rows that repeat doc_id and text share their lists.  Extra columns
+are kept where they are named in ``keep``.
 """
 
 from __future__ import annotations
@@ -26,14 +27,19 @@ from pyspark.sql import functions as F
 
 from stillwater.llm import common, tokens
 
-HEAD_WORDS = 1 << 18
+HEAD_WORDS = 400_000
 HEAD_BYTES = 16 << 20
+LONGEST = 64
 
-#: The white space that cuts words; no other character of a word is touched.
+#: The pattern of the vocabulary for lower-cased texts of settled characters, and ASCII white space.
+_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{tokens.LETTER}]+|[{tokens.NUMBER}]|[^\\s{tokens.LETTER}{tokens.NUMBER}]+")
 _SPACE = re.compile("[\x20\x09-\x0d]+")
 
 
 def split(text: str) -> list[str]:
+    """Words whose ids in a row are the text's."""
+    if tokens.SETTLED.fullmatch(text) and "<|" not in text:
+        return _WORDS.findall(text.lower())
     return [w for w in _SPACE.split(text) if w]
 
 
@@ -53,7 +59,7 @@ def distinct_words(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 counts.update(split(text))
-            if len(counts) > 400_000:
+            if len(counts) > 300_000:
                 words, sizes = list(counts), list(counts.values())
                 yield from out()
                 counts.clear()
@@ -76,16 +82,32 @@ def word_table(words: DataFrame, vocabulary: str) -> DataFrame:
     return words.select("word", "n").mapInArrow(run, "word string, n long, ids binary")
 
 
-def _head(table: DataFrame) -> dict[str, bytes]:
-    """The most frequent words with their ids, no more than HEAD_WORDS and HEAD_BYTES."""
-    rows = table.where(F.octet_length("word") <= 64).orderBy(F.desc("n"), "word").limit(HEAD_WORDS).select("word", "ids").collect()
-    out, size = {}, 0
-    for row in rows:
-        size += len(row["word"]) + len(row["ids"])
-        if size > HEAD_BYTES:
+class Head:
+    """The most frequent words with their ids; a worker builds the look-up once."""
+
+    def __init__(self, words: pa.Table):
+        self.words, self.known = words, None
+
+    def __getstate__(self):
+        return {"words": self.words, "known": None}
+
+    def lookup(self) -> dict[str, bytes]:
+        if self.known is None:
+            self.known = dict(zip(self.words.column("word").to_pylist(), self.words.column("ids").to_pylist(), strict=True))
+        return self.known
+
+
+def _head(table: DataFrame) -> Head:
+    """Words from a count on that at most HEAD_WORDS words reach, found from a histogram of the counts' logarithms."""
+    short = table.where(F.octet_length("word") <= LONGEST).withColumn("level", F.floor(F.log2("n") * 16).cast("int"))
+    rows = short.groupBy("level").agg(F.count("*").alias("n"), F.sum(F.octet_length("word") + F.octet_length("ids")).alias("b")).collect()  # 16 a power of 2
+    least, words, size = 1 << 20, 0, 0
+    for row in sorted(rows, key=lambda r: -r["level"]):
+        words, size = words + row["n"], size + row["b"]
+        if words > HEAD_WORDS or size > HEAD_BYTES:
             break
-        out[row["word"]] = bytes(row["ids"])
-    return out
+        least = row["level"]
+    return Head(short.where(F.col("level") >= least).select("word", "ids").toArrow())
 
 
 def encode(docs: DataFrame, vocabulary: str, then, schema: str, scratch: common.Scratch, keep: list[str] | None = None) -> DataFrame:
@@ -96,37 +118,38 @@ def encode(docs: DataFrame, vocabulary: str, then, schema: str, scratch: common.
     spark = docs.sparkSession
     table = scratch.table(word_table(distinct_words(docs), vocabulary), "words")
     head = spark.sparkContext.broadcast(_head(table))
-    own = tokens.encoder(vocabulary)
-    kind = own.kind
+    kind = tokens.encoder(vocabulary).kind
+    common.release(spark)
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = head.value
+        known = head.value.lookup()
         for batch in batches:
-            keys, hashes, places, words = [], [], [], []
-            for key, text, mark in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for k, w in enumerate(split(text)):
-                    if w not in known:
-                        keys.append(key)
-                        hashes.append(mark)
-                        places.append(k)
-                        words.append(w)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(places, pa.int32()), pa.array(words, pa.string())], names=["_id", "_hash", "pos", "word"])
-
-    marked = _texts(docs).withColumn("_hash", F.xxhash64("text"))
-    # rows that repeat doc_id and text ask for the same lists; one is enough
-    asked = marked.mapInArrow(rare, "_id long, _hash long, pos int, word string")
-    tail = asked.join(table.select("word", "ids"), "word").groupBy("_id", "_hash").agg(F.collect_list(F.struct("pos", "ids")).alias("_rare"))
-    rows = docs.withColumn("_text", common.text_of()).withColumns({"_key": F.col("doc_id").cast("long"), "_mark": F.xxhash64("_text")})
+            keys, places, words = [], [], []
+            for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = split(text)
+                if not known.keys() >= set(own):
+                    for k, w in enumerate(own):
+                        if w not in known:
+                            keys.append(key)
+                            places.append(k)
+                            words.append(w)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(words, pa.string())], names=["_row", "pos", "word"])
+
+    # rows that repeat doc_id and text have one key and ask for the same lists
+    marked = _texts(docs).select(F.xxhash64("doc_id", "text").alias("_row"), "text")
+    asked = marked.mapInArrow(rare, "_row long, pos int, word string")
+    tail = asked.join(table.select("word", "ids"), "word").groupBy("_row").agg(F.collect_list(F.struct("pos", "ids")).alias("_rare"))
     names = keep if keep is not None else ["doc_id"]
-    rows = rows.select(*(F.col(c).alias(f"_{k}") for k, c in enumerate(names)), "_text", "_key", "_mark")
-    joined = rows.join(tail, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_hash")), "left")
+    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_text": common.text_of()})
+    rows = rows.select(*(F.col(c).alias(f"_{k}") for k, c in enumerate(names)), "_text", F.xxhash64("_id", "_text").alias("_row"))
+    joined = common.packed(rows, "_text").join(tail, "_row", "left")
     joined = joined.select(*(F.col(f"_{k}") for k in range(len(names))), "_text", F.col("_rare.pos").alias("_pos"), F.col("_rare.ids").alias("_ids"))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = head.value
+        known = head.value.lookup()
         for batch in batches:
             lists = []
-            for text, places, ids in zip(*(batch.column(c).to_pylist() for c in ("_text", "_pos", "_ids")), strict=True):
+            for text, places, ids in zip(common.unpack(batch.column("_text").to_pylist()), batch.column("_pos").to_pylist(), batch.column("_ids").to_pylist(), strict=True):
                 own = list(map(known.get, split(text)))
                 for k, x in zip(places or (), ids or (), strict=True):
                     own[k] = x
