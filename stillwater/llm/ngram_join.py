@@ -36,12 +36,16 @@ WORDS = 5
 #: The threshold as a fraction: intersection * DEN >= union * NUM.
 NUM, DEN = 80, 100
 #: Frequent shingles: at most so many, seen by one task in FREQUENT_IN_TASK documents at least.
-FREQUENT, FREQUENT_IN_TASK = 200_000, 3
+FREQUENT, FREQUENT_IN_TASK = 1 << 20, 3
 #: What a row of an inverted list costs against a row of a subset: scans, counts and a share of the checks.
 LIST_COST = 4
 LARGEST_BOUNDARY = 12
-_MEMO: dict[bytes, int] = {}
-MEMO_WORDS = 400_000
+#: Bottom shingles of a set that tell which neighbours are worth a check before the last round.
+SKETCH, LIKELY = 16, 9
+ROUNDS = 8
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_TRUE = np.ones(1, bool)
 
 
 def needed(a, b):
@@ -53,33 +57,23 @@ def prefix_size(a):
     return a - (-(-NUM * a // DEN)) + 1
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    memo = _MEMO
-    if len(memo) > MEMO_WORDS:
-        memo.clear()
-    for w in set(words) - memo.keys():
-        memo[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-
-
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     """The sorted distinct shingles of each text; a text of fewer words than WORDS has one, of the whole sequence."""
-    docs = [common.space_words(t, lower=True) for t in texts]
-    flat = word_hashes([w for d in docs for w in d])
+    flat, sizes = common.word_hashes(texts, lower=True)
     n = len(flat)
-    rolled = np.zeros(n, np.uint64)
-    for k in range(WORDS):
-        rolled[: n - k] = common.mix64(rolled[: n - k] * np.uint64(0x9E3779B97F4A7C15) + flat[k:]) if k else common.mix64(flat)
+    rolled = flat.copy()
+    for k in range(1, WORDS):
+        rolled[: n - k] = rolled[: n - k] * _STEP + flat[k:]
+    rolled = common.mix64(rolled)
     out, at = [], 0
-    for d in docs:
-        size = len(d)
+    for size in sizes.tolist():
         if size >= WORDS:
             own = np.sort(rolled[at : at + size - WORDS + 1])
-            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+            out.append(own[np.concatenate([_TRUE, own[1:] != own[:-1]])])
         elif size:
             short = np.array([size], np.uint64)
             for k in range(at, at + size):
-                short = common.mix64(short * np.uint64(0x9E3779B97F4A7C15) + flat[k : k + 1])
+                short = common.mix64(short * _STEP + flat[k : k + 1])
             out.append(short)
         else:
             out.append(np.zeros(0, np.uint64))
@@ -97,17 +91,17 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def document_sets(docs: DataFrame, seed: int) -> DataFrame:
-    """doc_id, row, n_shingles, node, check (a second hash of the set)."""
+    """doc_id, row, n_shingles, node, check (a second hash of the set), sketch (its smallest shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s, seed) for s in sets], pa.int64()), pa.array([node_of(s, seed + 7919) for s in sets], pa.int64())], names=["doc_id", "row", "n_shingles", "node", "check"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s, seed) for s in sets], pa.int64()), pa.array([node_of(s, seed + 7919) for s in sets], pa.int64()), pa.array([common.int64(s[:SKETCH]) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "row", "n_shingles", "node", "check", "sketch"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, row long, n_shingles long, node long, check long")
+    return _rows(docs).mapInArrow(run, "doc_id long, row long, n_shingles long, node long, check long, sketch array<long>")
 
 
-def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(docs: DataFrame, scratch: common.Scratch) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that a task met in FREQUENT_IN_TASK documents or more, with those counts: the FREQUENT largest.
 
     They only order the prefixes; results don't depend on them.
@@ -132,8 +126,18 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield often()
 
     counted = docs.select(common.text_of().alias("text")).mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas()
-    return rows["shingle"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+    counted = scratch.table(counted, "frequent")
+    levels = sorted(counted.groupBy(F.floor(F.log2("n") * 8).alias("level")).count().collect(), key=lambda r: -r["level"])  # 8 a power of 2
+    least, total = 1 << 20, 0
+    for row in levels:
+        total += row["count"]
+        if total > FREQUENT:
+            break
+        least = row["level"]
+    rows = counted.where(F.floor(F.log2("n") * 8) >= least).toArrow()
+    shingles, n = rows.column("shingle").to_numpy(), rows.column("n").to_numpy()
+    by = np.argsort(shingles.view(np.uint64))
+    return shingles[by], n[by].astype(np.int32)
 
 
 def boundary(sizes: dict[int, int]) -> int:
@@ -164,8 +168,7 @@ def prefix_rows(docs: DataFrame, seed: int, limit: int, frequent) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, counts = shared.value
-        by = np.argsort(often)
-        often, counts = often[by].view(np.int64), counts[by]
+        often = often.view(np.uint64)
         seen: set[int] = set()
         for batch in batches:
             keys, nodes, sizes, kinds = [], [], [], []
@@ -186,8 +189,8 @@ def prefix_rows(docs: DataFrame, seed: int, limit: int, frequent) -> DataFrame:
                     values = common.int64(own)
                     weight = np.zeros(a, np.int64)
                     if len(often):
-                        at = np.minimum(np.searchsorted(often, values), len(often) - 1)
-                        weight = np.where(often[at] == values, counts[at], 0)
+                        at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+                        weight = np.where(often[at] == own, counts[at], 0)
                     first = values[np.lexsort((own, weight))[: prefix_size(a)]] if weight.any() else values[: prefix_size(a)]
                     keys.append(first)
                     kinds.append(np.ones(len(first), np.int8))
@@ -225,6 +228,36 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return joined.select("u", "v", "x", "y").mapInArrow(check, "u long, v long")
 
 
+def _open(rows: DataFrame, labels: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
+    """Rows (shingle, node, size) of lists that still hold different components, with the components' labels."""
+    labelled = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("shingle", "node", "size", "label")
+    several = labelled.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("shingle")
+    return scratch.table(labelled.join(several, "shingle"), name)
+
+
+def _neighbours(opened: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """Pairs (u, v) of different components that stand side by side in a list and whose sketches look alike: for each
+    node the two it meets so in most lists.  Only how many checks are needed depends on this choice.
+    """
+    turn = Window.partitionBy("shingle").orderBy(*(("size", "node") if k == 0 else (F.xxhash64("node", F.lit(k)), "node")))
+    me = F.struct("node", "size", "label")
+    near = opened.withColumns({"before": F.lag(me).over(turn), "earlier": F.lag(me, 2).over(turn), "first": F.first(me).over(turn)})
+    near = near.select("node", "size", "label", F.explode(F.array_distinct(F.array("before", "earlier", "first"))).alias("p")).where("p is not null and p.label != label")
+    near = near.where(f"least(size, p.size) * {DEN} >= greatest(size, p.size) * {NUM}")
+    met = near.groupBy(F.least("node", "p.node").alias("u"), F.greatest("node", "p.node").alias("v")).count()
+    both = met.join(nodes.select(F.col("node").alias("u"), F.col("sketch").alias("x")), "u").join(nodes.select(F.col("node").alias("v"), F.col("sketch").alias("y")), "v")
+    # of the smallest shingles of both sets, those in both; the sketches are in unsigned order, which sorting by value keeps alike for both
+    alike = F.size(F.array_intersect(F.slice(F.array_sort(F.array_union(_ordered("x"), _ordered("y"))), 1, SKETCH), F.array_intersect(_ordered("x"), _ordered("y"))))
+    both = both.withColumn("alike", alike).where((F.col("alike") >= LIKELY) | (F.greatest(F.size("x"), F.size("y")) < SKETCH))
+    best = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("alike"), F.desc("count"), "u"))
+    return both.withColumn("r", best).where("r <= 2").select("u", "v")
+
+
+def _ordered(c: str):
+    """Signed numbers in the order of the unsigned ones they stand for."""
+    return F.transform(c, lambda x: x.bitwiseXOR(F.lit(-(1 << 63))))
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id."""
     spark = common.prepare(docs.sparkSession)
@@ -233,39 +266,50 @@ def linked(docs: DataFrame) -> DataFrame:
         documents = scratch.table(document_sets(docs, seed), f"documents-{seed}")
         if documents.groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a != b").isEmpty():
             break
-    nodes = documents.where("n_shingles > 0").groupBy("node").agg(F.min("row").alias("row"), F.first("n_shingles").alias("size"))
+    nodes = documents.where("n_shingles > 0").groupBy("node").agg(F.min("row").alias("row"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
     nodes = scratch.table(nodes, "nodes")
     sizes = {r["size"]: r["count"] for r in nodes.where(F.col("size") <= 2 * LARGEST_BOUNDARY).groupBy("size").count().collect()}
     limit = boundary(sizes)
-    keyed = prefix_rows(docs, seed, limit, frequent_shingles(docs))
+    keyed = prefix_rows(docs, seed, limit, frequent_shingles(docs, scratch))
     lists = keyed.withColumn("n", F.count("*").over(Window.partitionBy("kind", "shingle"))).where("n > 1").drop("n").distinct()
     lists = scratch.table(lists, "lists")
     common.release(spark)
     # small sets: the first of each list, linked with all others
     star = Window.partitionBy("shingle").orderBy("size", "node")
     small = lists.where("kind = 0").select(F.col("node").alias("v"), F.first("node").over(star).alias("u")).where("u != v").distinct()
-    # large sets: of the first of each list and the one before, the neighbour met in most lists
-    near = lists.where("kind = 1").withColumns({"first": F.first(F.struct("node", "size")).over(star), "before": F.lag(F.struct("node", "size")).over(star)})
-    near = near.where("before is not null").select("node", "size", F.explode(F.array_distinct(F.array("first", "before"))).alias("p"))
-    near = near.select(F.col("node").alias("v"), F.col("p.node").alias("u"), "size", F.col("p.size").alias("other")).where(f"u != v and other * {DEN} >= size * {NUM}")
-    best = near.groupBy("v").agg(F.max("size").alias("size"), F.mode("u").alias("u")).select("u", "v")
-    first = scratch.table(verified(docs, scratch.table(best, "tried"), nodes).unionByName(small.select("u", "v")), "links-1")
-    common.release(spark)
-    labels = components(first, scratch, "components-1")
+    # large sets: neighbours in the lists, in another order each round, that look alike; links make components
+    links, tried, labels, still = scratch.table(small.select("u", "v"), "small"), None, None, lists.where("kind = 1").select("shingle", "node", "size")
+    for k in range(ROUNDS):
+        if labels is None:
+            opened = still.withColumn("label", F.col("node"))
+        else:
+            opened = _open(still, labels, scratch, f"open-{k}")
+            still = opened.drop("label")
+        chosen = _neighbours(opened, nodes, k)
+        if tried is not None:
+            chosen = chosen.join(tried, ["u", "v"], "left_anti")
+        chosen = scratch.table(chosen, f"tried-{k}")
+        found = scratch.table(verified(docs, chosen, nodes), f"found-{k}")
+        common.release(spark)
+        tried = chosen if tried is None else tried.unionByName(chosen)
+        links = links.unionByName(found)
+        if k == 0 or not found.isEmpty():
+            labels = components(links, scratch, f"components-{k}")
+        if found.isEmpty():
+            break
     # what different components still share
-    labelled = lists.where("kind = 1").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_lists = labelled.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("shingle")
-    rest = scratch.table(labelled.join(open_lists, "shingle").select("shingle", "node", "size", "label"), "open")
+    rest = _open(still, labels, scratch, "open")
     x, y = rest.alias("x"), rest.alias("y")
     smaller = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.node") < F.col("y.node")))
     pairs = x.join(y, F.col("x.shingle") == F.col("y.shingle")).where(smaller & (F.col("x.label") != F.col("y.label")) & (F.col("x.size") * DEN >= F.col("y.size") * NUM))
     pairs = pairs.groupBy(F.col("x.node").alias("u"), F.col("y.node").alias("v"), F.col("x.size").alias("a"), F.col("y.size").alias("b")).agg(F.count("*").alias("shared"))
     # outside their prefixes, sets of sizes a and b share ceil(0.8 b) - 1 shingles at most
     least = F.expr(f"ceil({NUM} * (a + b) / {DEN + NUM}.0D) - greatest(ceil({NUM} * a / {DEN}.0D), ceil({NUM} * b / {DEN}.0D)) + 1")
-    tried = scratch.table(pairs.where(F.col("shared") >= least).select("u", "v"), "tried-2")
+    left = scratch.table(pairs.where(F.col("shared") >= least).select("u", "v").join(tried, ["u", "v"], "left_anti"), "left")
     common.release(spark)
-    second = scratch.table(verified(docs, tried, nodes).unionByName(first), "links-2")
-    labels = components(second, scratch, "components-2")
+    last = scratch.table(verified(docs, left, nodes), "last")
+    if not last.isEmpty():
+        labels = components(links.unionByName(last), scratch, "components")
     named = documents.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = scratch.table(named.select("doc_id", "n_shingles", "label"), "named")
     groups = named.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("n"))

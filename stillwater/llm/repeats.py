@@ -33,20 +33,9 @@ WINDOW = 50
 ROUNDS, RUN_ROUNDS = 8, (0,)
 LAST = (1 << 63) - 1
 
-_MEMO: dict[bytes, int] = {}
-MEMO_WORDS = 400_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    memo = _MEMO
-    if len(memo) > MEMO_WORDS:
-        memo.clear()
-    for w in set(words) - memo.keys():
-        memo[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-
-
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
@@ -60,13 +49,12 @@ def _inverse(base: np.uint64) -> np.uint64:
 class Texts:
     """Some documents' words as hashes in one array, a place without word after each document."""
 
-    def __init__(self, docs: list[list[bytes]]):
-        self.sizes = np.array([len(d) for d in docs], np.int64)
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.sizes = sizes
         self.starts = np.cumsum(self.sizes + 1) - self.sizes  # one empty place comes first
-        self.n = int(self.starts[-1] + self.sizes[-1] + 1) if docs else 1
+        self.n = int(self.starts[-1] + self.sizes[-1] + 1) if len(sizes) else 1
         self.words = np.zeros(self.n, np.uint64)
         self.real = np.zeros(self.n, bool)
-        flat = _hashes([w for d in docs for w in d])
         self.real[np.repeat(self.starts - np.cumsum(self.sizes) + self.sizes, self.sizes) + np.arange(len(flat))] = True
         self.words[self.real] = flat
         self._sums = {}
@@ -144,8 +132,10 @@ def anchors(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     return starts, keys
 
 
-def _root(words: list[bytes]) -> int:
-    return int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True)
+def _roots(flat: np.ndarray, sizes: np.ndarray) -> list[int]:
+    """The topmost name of each text."""
+    ends = np.cumsum(sizes).tolist()
+    return [int.from_bytes(hashlib.blake2b(flat[a:b].tobytes(), digest_size=8).digest(), "little", signed=True) for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -153,12 +143,10 @@ def _documents(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            roots, sizes, digests = [], [], []
-            for text in batch.column("text").to_pylist():
-                joined = b" ".join(words := common.space_words(text))
-                roots.append(_root(words))
-                sizes.append(len(words))
-                digests.append(hashlib.sha256(joined).hexdigest())
+            texts = batch.column("text").to_pylist()
+            flat, sizes = common.word_hashes(texts)
+            roots = _roots(flat, sizes)
+            digests = [hashlib.sha256(b" ".join(common.space_words(text))).hexdigest() for text in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(roots, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "row", "root", "n_words", "all_sha256"])
 
     found = _rows(docs).mapInArrow(run, "doc_id long, row long, root long, n_words long, all_sha256 string")
@@ -175,16 +163,16 @@ def _filed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            texts, roots = [], []
-            for text in batch.column(0).to_pylist():
-                words = common.space_words(text)
-                if len(words) >= WINDOW and (root := _root(words)) not in seen:
+            flat, sizes = common.word_hashes(batch.column(0).to_pylist())
+            roots, new = _roots(flat, sizes), np.zeros(len(sizes), bool)
+            for k, (root, size) in enumerate(zip(roots, sizes.tolist(), strict=True)):
+                if size >= WINDOW and root not in seen:
+                    new[k] = True
                     if len(seen) < 1_000_000:
                         seen.add(root)
-                    texts.append(words)
-                    roots.append(root)
-            if texts:
-                t = Texts(texts)
+            if new.any():
+                t = Texts(flat[np.repeat(new, sizes)], sizes[new])
+                roots = [r for r, yes in zip(roots, new.tolist(), strict=True) if yes]
                 starts, keys = anchors(t)
                 owner = t.doc_of(starts)
                 new = np.ones(len(keys), bool)  # neighbours are mostly filed alike
@@ -198,7 +186,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """hash_a, hash_b, rank, row, place, found: candidate windows; found: a smaller rank in the same batch has it."""
     for batch in batches:
         ranks, rows = (batch.column(c).to_numpy() for c in ("rank", "row"))
-        t = Texts([common.space_words(x) for x in common.unpack(batch.column("text").to_pylist())])
+        t = Texts(*common.word_hashes(common.unpack(batch.column("text").to_pylist())))
         starts, keys = anchors(t)
         owner = t.doc_of(starts)
         shared = [np.sort(np.array(x, np.int64)) for x in batch.column("keys").to_pylist()]
