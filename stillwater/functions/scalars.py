@@ -71,7 +71,7 @@ def pair_key(a, b) -> Column:
 
 def clean_list(c, sep: str = ";") -> Column:
     """Trimmed non-empty parts."""
-    return F.filter(F.transform(F.split(col(c), sep), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(col(c), sep), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def midpoints(n, budget: int) -> Column:

@@ -162,9 +162,9 @@ def agg_03(spark, sf):
     return r9(videos.scores_by_parent(_paths(spark, sf)))
 
 
-@query("agg_04", f"WITH {X.BASE} SELECT CAST(video AS VARCHAR) AS video, round(avg(s), 6) AS score, CAST(floor(avg(study_label)) AS INTEGER) AS label, count(*) AS n FROM base GROUP BY base.video")
+@query("agg_04", f"WITH {X.BASE} SELECT CAST(video AS VARCHAR) AS video, round(avg(s), 12) AS score, CAST(floor(avg(study_label)) AS INTEGER) AS label, count(*) AS n FROM base GROUP BY base.video")
 def agg_04(spark, sf):
-    return r9(videos.scores_by_folder_name(_paths(spark, sf)), 6)
+    return r9(videos.scores_by_folder_name(_paths(spark, sf)), 12)
 
 
 def _paths(spark, sf):
