@@ -144,7 +144,7 @@ def boundary(sizes: dict[int, int]) -> int:
     """The largest size whose sets are enumerated into subsets: the cheapest by the number of rows."""
 
     def subsets(a: int) -> int:
-        return sum(comb(a, needed(a, b)) for b in range(1, 2 * a + 2) if needed(a, b) <= min(a, b))
+        return sum(comb(a, needed(a, b)) for b in range(1, 2 * a + 2) if needed(a, b) <= min(a, b) and not a == b == needed(a, b))
 
     small = {a: n for a, n in sizes.items() if a <= 2 * LARGEST_BOUNDARY}
     cost = {x: sum(n * subsets(a) for a, n in small.items() if a <= x) + sum(n * prefix_size(a) * LIST_COST for a, n in small.items() if a * DEN > x * NUM) for x in range(LARGEST_BOUNDARY + 1)}
