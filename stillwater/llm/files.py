@@ -18,13 +18,13 @@ def create_dir(uri: str) -> None:
 
 def write(uri: str, data: bytes) -> None:
     system, path = locate(uri)
-    with system.open_output_stream(path) as out:
+    with system.open_output_stream(path, compression=None) as out:
         out.write(data)
 
 
 def read(uri: str) -> bytes:
     system, path = locate(uri)
-    with system.open_input_stream(path) as f:
+    with system.open_input_stream(path, compression=None) as f:
         return f.read()
 
 

@@ -163,7 +163,7 @@ class IdWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         number, total, name = TaskContext.get().partitionId(), 0, f"part-{uuid.uuid4().hex}.huf"
         system, path = files.locate(f"{self.path}/{name}")
-        with system.open_output_stream(path) as out:
+        with system.open_output_stream(path, compression=None) as out:
             rows, size = [], 0
             for batch in iterator:
                 for row in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
@@ -212,7 +212,7 @@ class IdReader(DataSourceReader):
         name, start = partition.value
         codes = read_codes(self.path)
         system, path = files.locate(f"{self.path}/{name}")
-        with system.open_input_stream(path) as f:
+        with system.open_input_stream(path, compression=None) as f:
             while head := f.read(_HEAD.size):
                 magic, n, marks, size, packed = _HEAD.unpack(head)
                 if magic != _MAGIC:

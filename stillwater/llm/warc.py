@@ -106,7 +106,7 @@ class WarcWriter(DataSourceArrowWriter):
         name = f"pages-{uuid.uuid4().hex}.warc.gz"
         system, path = files.locate(f"{self.path}/{name}.part")
         system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        with system.open_output_stream(path) as out:
+        with system.open_output_stream(path, compression=None) as out:
             out.write(member(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nWARC-Date: {_DATE}\r\nContent-Type: application/warc-fields\r\nContent-Length: 18\r\n\r\nformat: WARC/1.1\r\n\r\n\r\n".encode()))
             for batch in iterator:
                 for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "payload_bytes", "payload_sha1", "refers_to")), strict=True):
