@@ -1,6 +1,6 @@
 """All registered queries of the study chain."""
 
-from stillwater.plans import flagships, relational, scalar_queries  # noqa: F401
+from stillwater.plans import flagships, relational, scalar_queries, support  # noqa: F401
 from stillwater.plans.fixtures import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
