@@ -79,7 +79,7 @@ def _sentences(end: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarra
 
 def _noisy_or(logits: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """log(1 - p) of each sentence, and the bags' scores."""
-    stay = -np.logaddexp(0, np.clip(logits, -30, 30))
+    stay = -np.logaddexp(0, np.minimum(logits, 30))
     return stay, -np.expm1(np.bincount(owner, stay, n))
 
 
@@ -100,7 +100,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     """Proximal Adagrad on the noisy-or's log-loss; a small L1 term keeps features without evidence at 0."""
     bags, y = [bag(t) for t, _ in rows], np.array([label for _, label in rows], float)
     if not len(y) or not y.sum() or y.all():
-        return Model({}, 30.0 if len(y) and y.all() else -30.0)
+        return Model({}, 30.0 if len(y) and y.all() else -1000.0)  # no sentence counts: exactly 0
     names = _associated(bags, y)
     index = {x: k for k, x in enumerate(names)}
     of_word = {w: [index[x] for x in features(w) if x in index] for w in {w for b in bags for w in b}}

@@ -31,7 +31,7 @@ def labelled_docs(spark, n=900):
 
 def accuracy(got, labels, name):
     truth = {r["doc_id"]: r[name] for r in labels.collect() if r[name] is not None}
-    held = [(r["predicted"], truth[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in truth and r["doc_id"] < 900]
+    held = [(r["predicted"], truth[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] is not None and r["doc_id"] in truth and r["doc_id"] < 900]
     assert len(held) > 100
     return sum(a == b for a, b in held) / len(held)
 
