@@ -47,7 +47,7 @@ STAGES = [
     ("bpe_tokens", encode_tokens),
 ]
 
-#: Nearest-neighbour votes can't be put in SQL; tests/llm compares run() with a brute-force version.
+#: Nearest-neighbour votes can't be put in SQL; a brute-force comparison of run() is still to be written.
 ORACLE_SQL = None
 
 
