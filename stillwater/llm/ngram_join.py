@@ -4,7 +4,8 @@ A document's set holds its distinct five-word shingles (64-bit hashes of lower-c
 
 Small sets, up to a size that the cost model chooses from the sizes found: two sets of sizes a and b link when they
 share a subset of the fixed size that the threshold asks of (a, b), so each set is enumerated into its subsets of
-those sizes and equal subsets are links, without any check.
+those sizes and equal subsets link sets of size a with those of size b, without any check.  Two sets of the larger size
+b don't link by a subset for (a, b): that size asks more of them.
 
 Large sets: in one order of all shingles, two sets that link share a shingle among their first a - ceil(0.8 a) + 1.
 These prefixes make the inverted lists.  Frequent shingles (a bounded table of those that a task saw often) come last
@@ -43,6 +44,8 @@ LARGEST_BOUNDARY = 12
 #: Bottom shingles of a set that tell which neighbours are worth a check before the last round.
 SKETCH, LIKELY = 16, 9
 ROUNDS = 8
+#: Kinds of list rows: a subset of a set of the smaller or the larger of the list's sizes, a prefix shingle.
+SMALLER, PREFIX, LARGER = 0, 1, 2
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _TRUE = np.ones(1, bool)
@@ -151,19 +154,20 @@ def boundary(sizes: dict[int, int]) -> int:
     return min(cost, key=lambda x: (cost[x], x))
 
 
-def _subset_rows(own: np.ndarray, limit: int) -> Iterator[int]:
-    """Hashes of (sizes, subset) of a small set."""
+def _subset_rows(own: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """kind (SMALLER, LARGER: which of both sizes the set has) and hash of (sizes, subset), of a small set."""
     a = len(own)
     for b in range(1, limit + 1):
         size = needed(a, b)
         if size <= min(a, b) and not (a == b == size):
             head = f"{min(a, b)},{max(a, b)}:".encode()
+            kind = SMALLER if a <= b else LARGER
             for chosen in combinations(own.tolist(), size):
-                yield int.from_bytes(hashlib.blake2b(head + np.array(chosen, np.uint64).tobytes(), digest_size=8).digest(), "little", signed=True)
+                yield kind, int.from_bytes(hashlib.blake2b(head + np.array(chosen, np.uint64).tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def prefix_rows(docs: DataFrame, seed: int, limit: int, frequent) -> DataFrame:
-    """kind (0 subset, 1 prefix), shingle, node, size: one row a prefix shingle or subset of each node that a task sees."""
+    """kind (SMALLER or LARGER subset, PREFIX), shingle, node, size: one row a prefix shingle or subset of each node that a task sees."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,8 +185,8 @@ def prefix_rows(docs: DataFrame, seed: int, limit: int, frequent) -> DataFrame:
                     seen.add(node)
                 if a <= limit:
                     found = list(_subset_rows(own, limit))
-                    keys.append(np.array(found, np.int64))
-                    kinds.append(np.zeros(len(found), np.int8))
+                    keys.append(np.array([key for _, key in found], np.int64))
+                    kinds.append(np.array([kind for kind, _ in found], np.int8))
                     nodes.append(np.full(len(found), node))
                     sizes.append(np.full(len(found), a, np.int32))
                 if a * DEN > limit * NUM:
@@ -193,7 +197,7 @@ def prefix_rows(docs: DataFrame, seed: int, limit: int, frequent) -> DataFrame:
                         weight = np.where(often[at] == own, counts[at], 0)
                     first = values[np.lexsort((own, weight))[: prefix_size(a)]] if weight.any() else values[: prefix_size(a)]
                     keys.append(first)
-                    kinds.append(np.ones(len(first), np.int8))
+                    kinds.append(np.full(len(first), PREFIX, np.int8))
                     nodes.append(np.full(len(first), node))
                     sizes.append(np.full(len(first), a, np.int32))
             if keys:
@@ -271,14 +275,15 @@ def linked(docs: DataFrame) -> DataFrame:
     sizes = {r["size"]: r["count"] for r in nodes.where(F.col("size") <= 2 * LARGEST_BOUNDARY).groupBy("size").count().collect()}
     limit = boundary(sizes)
     keyed = prefix_rows(docs, seed, limit, frequent_shingles(docs, scratch))
-    lists = keyed.withColumn("n", F.count("*").over(Window.partitionBy("kind", "shingle"))).where("n > 1").drop("n").distinct()
+    lists = keyed.withColumn("n", F.count("*").over(Window.partitionBy(F.col("kind") == PREFIX, "shingle"))).where("n > 1").drop("n").distinct()
     lists = scratch.table(lists, "lists")
     common.release(spark)
-    # small sets: the first of each list, linked with all others
-    star = Window.partitionBy("shingle").orderBy("size", "node")
-    small = lists.where("kind = 0").select(F.col("node").alias("v"), F.first("node").over(star).alias("u")).where("u != v").distinct()
+    # small sets: the first of the smaller size in each list, linked with all others; those of the larger size link with it alone
+    star = Window.partitionBy("shingle").orderBy("kind", "node")
+    small = lists.where(F.col("kind") != PREFIX).select(F.col("node").alias("v"), F.first("node").over(star).alias("u"), F.first("kind").over(star).alias("kind"))
+    small = small.where((F.col("kind") == SMALLER) & (F.col("u") != F.col("v"))).distinct()
     # large sets: neighbours in the lists, in another order each round, that look alike; links make components
-    links, tried, labels, still = scratch.table(small.select("u", "v"), "small"), None, None, lists.where("kind = 1").select("shingle", "node", "size")
+    links, tried, labels, still = scratch.table(small.select("u", "v"), "small"), None, None, lists.where(F.col("kind") == PREFIX).select("shingle", "node", "size")
     for k in range(ROUNDS):
         if labels is None:
             opened = still.withColumn("label", F.col("node"))

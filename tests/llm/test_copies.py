@@ -89,6 +89,21 @@ def test_linked_small_sets(spark):
     assert table(ngram_join.linked(df), "doc_id", "n_shingles", "component_id") == brute_components(rows)
 
 
+@pytest.mark.parametrize("limit", [6, 8, 10, 12])
+def test_linked_subsets(spark, monkeypatch, limit):
+    """Sets of each size that share one or two shingles less than their size, apart from all others or beside smaller ones."""
+    rows = []
+    for n in range(3, 14):  # shingles
+        for less in (1, 2):
+            for k in range(3):
+                rows.append((1000 * less + 10 * n + k, " ".join([f"s{n}-{less}-{i}" for i in range(n + 4 - less)] + [f"tail{k}"] * less)))
+        rows.append((5000 + n, " ".join(f"run{i}" for i in range(n + 4))))
+        rows += [(6000 + 10 * n + k, " ".join([f"run{i}" for i in range(n + 3)] + [f"end{k}"])) for k in range(2) if n % 3 == 0]
+    monkeypatch.setattr(ngram_join, "boundary", lambda sizes: limit)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert table(ngram_join.linked(df), "doc_id", "n_shingles", "component_id") == brute_components(rows)
+
+
 def test_boundary_follows_cost():
     assert ngram_join.boundary({}) == 0
     assert ngram_join.boundary({6: 1000}) >= 6
