@@ -1,8 +1,8 @@
 """The corpus pipeline: quality, exact copies, near copies, contamination, tokens.
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's
-docs.  All stages but the last return the columns of documents.  Null and empty texts fail the first stage; rows
-without doc_id are never dropped as copies.
+docs.  All stages but the last return the columns of documents.  Null and empty texts fail the first stage.  Of a group
+of copies one row stays, whatever doc_ids its rows repeat or lack.
 """
 
 from __future__ import annotations

@@ -147,6 +147,28 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def text_key(column: str = "text") -> Column:
+    """The SHA-256 of the text: with doc_id it tells all rows apart but those that repeat both."""
+    return F.unhex(F.sha2(text_of(column).cast("binary"), 256))
+
+
+def drop_by_key(docs: DataFrame, verdicts: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs, with all their columns, without the rows that are not kept; of rows that repeat doc_id and text, one.
+
+    ``verdicts`` has a row a document: doc_id, own (its text_key), kept.  Documents without any stay as they are.
+    """
+    keys = verdicts.groupBy(F.col("doc_id").alias("_id"), F.col("own").alias("_own")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_n"))
+    keys = scratch.table(keys.where("not _kept or _n > 1").drop("_n"), "keys")
+    several = keys.where("_kept")
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_own"))
+    marked = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_text": text_key()})
+    stay = marked.join(keys, same, "left_anti").select(docs.columns)
+    if several.isEmpty():
+        return stay
+    one = marked.join(several, same, "left_semi").groupBy("_doc", "_text").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return stay.unionByName(one.select("_row.*"))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64 on an array of uint64."""
     x = x.astype(np.uint64, copy=True)

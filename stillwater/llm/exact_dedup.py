@@ -6,7 +6,9 @@ identifiers.  The bytes of a chunk move once, to verify that equal hashes mean e
 number of their own.  Documents are then compared by these short lists alone.
 
 Null text counts as empty, and all empty texts are equal.  Rows without doc_id come last when a group chooses the row
-that stays.  Rows that repeat both doc_id and text share one verdict.  Other columns are never read.
+that stays.  In ``exact_groups`` rows that repeat both doc_id and text share one verdict; ``drop_exact_copies`` keeps one
+row of a group, whether its rows repeat doc_id, text, both or have no doc_id.  Other columns are read only to choose
+among rows that repeat both.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ MIN_CHUNK, MASK_BITS, MAX_CHUNK = 256, 10, 8192
 
 _GEAR = (common.mix64(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
-SCHEMA = "doc_id long, n_chars long, text_sha256 string, chunk_hashes array<long>, pieces array<binary>"
+SCHEMA = "doc_id long, n_chars long, text_sha256 string, own binary, chunk_hashes array<long>, pieces array<binary>"
 
 
 def cut_points(raw: bytes) -> list[int]:
@@ -72,19 +74,20 @@ def _recipes(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
             pieces.append(own)
             hashes.append([chunk_hash(p, bits) for p in own])
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(pieces, pa.list_(pa.binary()))],
-            names=["doc_id", "n_chars", "text_sha256", "chunk_hashes", "pieces"],
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), batch.column(2), pa.array(hashes, pa.list_(pa.int64())), pa.array(pieces, pa.list_(pa.binary()))],
+            names=["doc_id", "n_chars", "text_sha256", "own", "chunk_hashes", "pieces"],
         )
 
 
-def recipes(docs: DataFrame, scratch: common.Scratch, bits: int = 64) -> DataFrame:
-    """One row a document: doc_id, n_chars, text_sha256, recipe (ordered verified chunk identifiers)."""
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
+def recipes(docs: DataFrame, scratch: common.Scratch, bits: int = 64, keyed: bool = False) -> DataFrame:
+    """One row a document: doc_id, n_chars, text_sha256, own (its text_key, null unless keyed), recipe (ordered verified chunk identifiers)."""
+    own = common.text_key() if keyed else F.lit(None).cast("binary")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"), own.alias("own"))
     chunked = scratch.table(chosen.mapInArrow(lambda it: _recipes(it, bits), SCHEMA), "chunks")
     contents = chunked.select(F.explode(F.arrays_zip("chunk_hashes", "pieces")).alias("c")).select(F.col("c.chunk_hashes").alias("hash"), F.col("c.pieces").alias("piece")).distinct()
     clashing = contents.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     clashing = scratch.table(clashing, "clashing")
-    base = chunked.select("doc_id", "n_chars", "text_sha256", F.expr("transform(chunk_hashes, h -> struct(h as hash, 0 as variant))").alias("recipe"))
+    base = chunked.select("doc_id", "n_chars", "text_sha256", "own", F.expr("transform(chunk_hashes, h -> struct(h as hash, 0 as variant))").alias("recipe"))
     if clashing.isEmpty():  # each hash has one content, so the hash is the identifier
         return base
     # Rows of documents with a clashing hash are few; their chunks are numbered by content.
@@ -98,7 +101,17 @@ def recipes(docs: DataFrame, scratch: common.Scratch, bits: int = 64) -> DataFra
     lists = lists.select("doc_id", "text_sha256", F.expr("transform(l, x -> struct(x.hash as hash, x.variant as variant))").alias("r"))
     a, b = base.alias("a"), lists.alias("b")
     joined = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_sha256") == F.col("b.text_sha256")), "left")
-    return joined.select("a.doc_id", "a.n_chars", "a.text_sha256", F.coalesce("b.r", "a.recipe").alias("recipe"))
+    return joined.select("a.doc_id", "a.n_chars", "a.text_sha256", "a.own", F.coalesce("b.r", "a.recipe").alias("recipe"))
+
+
+def _judged(docs: DataFrame, scratch: common.Scratch, bits: int, keyed: bool) -> DataFrame:
+    """The rows of recipes with their group's keep_id, keep_own and group_size."""
+    rows = recipes(docs, scratch, bits, keyed)
+    order = F.struct(F.negative("n_chars").alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"), F.col("own").alias("d"))
+    groups = rows.groupBy("recipe").agg(F.min(order).alias("best"), F.count("*").alias("group_size"))
+    groups = scratch.table(groups.select("recipe", F.col("best.c").alias("keep_id"), F.col("best.d").alias("keep_own"), "group_size"), "groups")
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    return common.heavy_light_join(rows, groups, ["recipe"], "group_size", total)
 
 
 def exact_groups(docs: DataFrame, bits: int = 64) -> DataFrame:
@@ -108,17 +121,13 @@ def exact_groups(docs: DataFrame, bits: int = 64) -> DataFrame:
     ``bits`` shortens the chunk hashes, for tests of colliding chunks.
     """
     spark = common.prepare(docs.sparkSession)
-    scratch = common.Scratch(spark, "exact_dedup")
-    rows = recipes(docs, scratch, bits)
-    order = F.struct(F.negative("n_chars").alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"))
-    groups = rows.groupBy("recipe").agg(F.min(order).alias("best"), F.count("*").alias("group_size"))
-    groups = scratch.table(groups.select("recipe", F.col("best.c").alias("keep_id"), "group_size"), "groups")
-    total = groups.agg(F.sum("group_size")).first()[0] or 0
-    joined = common.heavy_light_join(rows, groups, ["recipe"], "group_size", total)
+    joined = _judged(docs, common.Scratch(spark, "exact_dedup"), bits, keyed=False)
     return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.size("recipe").alias("n_chunks"))
 
 
-def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns.  Rows without doc_id stay."""
-    gone = exact_groups(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+def drop_exact_copies(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """The one row of each group that stays, with all its columns."""
+    spark = common.prepare(docs.sparkSession)
+    scratch = common.Scratch(spark, "exact_dedup")
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("own") == F.col("keep_own"))
+    return common.drop_by_key(docs, _judged(docs, scratch, bits, keyed=True).select("doc_id", "own", kept.alias("kept")), scratch)

@@ -15,7 +15,8 @@ of different components are left to check: no pair of documents that are already
 that share too few prefix shingles to reach the threshold are dropped by count before any set moves.
 
 Null texts and texts without words have an empty set, link with nothing and are their own component.  Rows without
-doc_id take part but never name a component that has other ids.  Extra columns are not read.
+doc_id take part but never name a component that has other ids.  Extra columns are read only by ``drop_near_copies``, to
+choose among rows that repeat doc_id and text.
 """
 
 from __future__ import annotations
@@ -89,19 +90,19 @@ def node_of(own: np.ndarray, seed: int) -> int:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a key of the row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    """doc_id, text, a hash of both, and the key of the text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"), common.text_key().alias("own")).withColumn("row", F.xxhash64("doc_id", "text"))
 
 
 def document_sets(docs: DataFrame, seed: int) -> DataFrame:
-    """doc_id, row, n_shingles, node, check (a second hash of the set), sketch (its smallest shingles)."""
+    """doc_id, row, own, n_shingles, node, check (a second hash of the set), sketch (its smallest shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s, seed) for s in sets], pa.int64()), pa.array([node_of(s, seed + 7919) for s in sets], pa.int64()), pa.array([common.int64(s[:SKETCH]) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "row", "n_shingles", "node", "check", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), batch.column("own"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s, seed) for s in sets], pa.int64()), pa.array([node_of(s, seed + 7919) for s in sets], pa.int64()), pa.array([common.int64(s[:SKETCH]) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "row", "own", "n_shingles", "node", "check", "sketch"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, row long, n_shingles long, node long, check long, sketch array<long>")
+    return _rows(docs).mapInArrow(run, "doc_id long, row long, own binary, n_shingles long, node long, check long, sketch array<long>")
 
 
 def frequent_shingles(docs: DataFrame, scratch: common.Scratch) -> tuple[np.ndarray, np.ndarray]:
@@ -262,10 +263,9 @@ def _ordered(c: str):
     return F.transform(c, lambda x: x.bitwiseXOR(F.lit(-(1 << 63))))
 
 
-def linked(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id."""
-    spark = common.prepare(docs.sparkSession)
-    scratch = common.Scratch(spark, "ngram_join")
+def _named(docs: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """One row a document: doc_id, own, n_shingles, label (the same for all documents of a component)."""
+    spark = scratch.spark
     for seed in range(16):  # another seed should two sets ever share a hash
         documents = scratch.table(document_sets(docs, seed), f"documents-{seed}")
         if documents.groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a != b").isEmpty():
@@ -316,14 +316,26 @@ def linked(docs: DataFrame) -> DataFrame:
     if not last.isEmpty():
         labels = components(links.unionByName(last), scratch, "components")
     named = documents.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = scratch.table(named.select("doc_id", "n_shingles", "label"), "named")
+    return scratch.table(named.select("doc_id", "own", "n_shingles", F.col("label").cast("string").alias("label")), "named")
+
+
+def linked(docs: DataFrame) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id."""
+    named = _named(docs, common.Scratch(common.prepare(docs.sparkSession), "ngram_join"))
     groups = named.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("n"))
-    total = named.count()
-    joined = common.attach(named.withColumn("label", F.col("label").cast("string")), groups.withColumn("label", F.col("label").cast("string")).where("n > 1"), "label", "n", total, ["smallest"], ["doc_id"])
+    joined = common.attach(named.drop("own"), groups.where("n > 1"), "label", "n", named.count(), ["smallest"], ["doc_id"])
     return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("smallest", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each component, with all its columns.  Rows without doc_id stay."""
-    gone = linked(docs).where("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each component, that with the smallest doc_id, with all its columns.  Of rows that share it, the one
+    with the smallest text key stays; rows without doc_id come last.  Rows without words stay.
+    """
+    scratch = common.Scratch(common.prepare(docs.sparkSession), "ngram_join")
+    named = _named(docs, scratch).where("n_shingles > 0")
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("own").alias("c"))
+    groups = named.groupBy("label").agg(F.min(order).alias("best"), F.count("*").alias("n"))
+    groups = scratch.table(groups.where("n > 1").select("label", "n", F.col("best.b").alias("keep_id"), F.col("best.c").alias("keep_own")), "groups")
+    joined = common.attach(named, groups, "label", "n", named.count(), ["keep_id", "keep_own"], ["doc_id", "own"])
+    kept = F.col("keep_own").isNull() | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("own") == F.col("keep_own")))
+    return common.drop_by_key(docs, joined.select("doc_id", "own", kept.alias("kept")), scratch)

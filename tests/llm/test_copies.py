@@ -46,6 +46,26 @@ def test_drop_exact_copies(docs, rows):
     assert len(texts) == len(set(texts)) == len({re.sub("[\x20\x09-\x0d]", "", t or "") for d, t in rows if d is not None})
 
 
+def squeezed(text):
+    return re.sub("[\x20\x09-\x0d]", "", text or "")
+
+
+KEYLESS = [(5, "A"), (9, "A"), (9, "B"), (12, "B"), (20, "C"), (20, "C"), (None, "D"), (None, "D "), (None, "E"), (21, "E"), (None, None), (30, ""), (30, None), (31, "F g"), (31, " Fg"), (31, "Fg"), (32, "F g")]
+
+
+@pytest.mark.parametrize("bits", [64, 2])
+def test_drop_exact_copies_by_row(spark, docs, rows, bits):
+    """One row of each group stays, whatever doc_ids repeat or lack."""
+    few = spark.createDataFrame([(d, t, "en") for d, t in KEYLESS], "doc_id long, text string, lang string")
+    for df, pairs in ((few, KEYLESS), (docs, rows)):
+        kept = exact_dedup.drop_exact_copies(df, bits).select("doc_id", "text").collect()
+        assert sorted(squeezed(r["text"]) for r in kept) == sorted({squeezed(t) for _, t in pairs})
+        rank = lambda d, t: (-len(t or ""), d is None, d or 0)
+        for r in kept:
+            assert (r["doc_id"], r["text"]) in pairs
+            assert rank(r["doc_id"], r["text"]) == min(rank(d, t) for d, t in pairs if squeezed(t) == squeezed(r["text"]))
+
+
 def shingles(text):
     w = re.findall("[^\x20\x09-\x0d]+", (text or "").translate(LOW))
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
@@ -79,6 +99,16 @@ def test_linked(docs, rows):
     assert table(ngram_join.linked(docs), "doc_id", "n_shingles", "component_id") == brute_components(rows)
 
 
+def test_drop_near_copies_by_row(spark):
+    """One row of each component stays, whatever doc_ids repeat or lack; rows without words stay."""
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(40)) for c in "abcd")
+    pairs = [(5, one), (9, one + " x"), (9, two), (12, two + " x"), (20, three), (20, three), (20, three + " x"), (None, four), (None, four + " x"), (None, four), (40, ""), (40, ""), (None, None)]
+    kept = ngram_join.drop_near_copies(spark.createDataFrame([(d, t, "en") for d, t in pairs], "doc_id long, text string, lang string"))
+    assert kept.columns == ["doc_id", "text", "lang"]
+    got = sorted(((r["doc_id"], (r["text"] or "").removesuffix(" x")) for r in kept.collect()), key=repr)
+    assert got == sorted([(5, one), (9, two), (20, three), (None, four), (40, ""), (40, ""), (None, "")], key=repr)
+
+
 def test_linked_small_sets(spark):
     """Sets around the boundary between subsets and lists, in all neighbouring sizes."""
     rows = []
