@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from stillwater.operators import checks, metrics, selection, thresholds, videos
 from stillwater.plans import fixtures as X
 from stillwater.plans.fixtures import query, r9, read
 from stillwater.plans.flagships import tied
+from stillwater.plans.scalar_queries import scratch
 
 _WIDE = """w AS (SELECT video, max(study_label) AS label, max(manipulation) AS manipulation, max(role) AS role, avg(s) FILTER (condition = 'CLN') AS cln, avg(s) FILTER (condition = 'RSZ') AS rsz, avg(s) FILTER (condition = 'BLR') AS blr, avg(s) FILTER (condition = 'H40') AS h40, avg(s) FILTER (condition = 'PLT') AS plt FROM base GROUP BY video HAVING count(DISTINCT condition) = 5)"""
 CUTOFF, MARGIN = 0.1, 0.02
@@ -349,6 +352,22 @@ def srt_01(spark, sf):
 query("srt_02", X.ORACLE["srt_01"])(srt_01)
 
 
+@query("srt_01_whole", None)
+def srt_01_whole(spark, sf):
+    """All videos; srt_01 has those that its SQL compares.  Rows are numbered inside ranges of the order, plus the rows of all ranges before."""
+    order = ["video", metrics.order_of("condition", metrics.CONDITIONS)]
+    rows = X.base(spark, sf).select("video", "condition").distinct().repartitionByRange(16, *order).withColumn("part", F.spark_partition_id())
+    rows.write.mode("overwrite").parquet(path := scratch(spark, f"ranges-{uuid.uuid4().hex}"))
+    rows = spark.read.schema(rows.schema).parquet(path)
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    numbered = rows.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
+    return numbered.join(F.broadcast(before), "part").select("video", "condition", (F.col("r") + F.col("before")).alias("place"))
+
+
+query("srt_02_whole", None)(srt_01_whole)
+
+
 @query("srt_03", f"WITH {X.BASE} SELECT video, row_number() OVER (ORDER BY coalesce(manipulation, ''), video) AS place FROM (SELECT DISTINCT video, nullif(manipulation, '') AS manipulation FROM base)")
 def srt_03(spark, sf):
     rows = X.base(spark, sf).select("video", F.nullif("manipulation", F.lit("")).alias("manipulation")).distinct()
@@ -536,6 +555,13 @@ def agg_36(spark, sf):
     return r9(table.join(best.groupBy("p_brand").agg(F.avg("m").alias("mean")), "p_brand"), 6)
 
 
+@query("agg_36_whole", None)
+def agg_36_whole(spark, sf):
+    """All sizes, a row each, with the brand's mean over them; agg_36 has those that its SQL compares."""
+    best = selection.top_k(read(spark, sf, "part"), ["p_brand", "p_size"], [F.desc("p_retailprice"), F.col("p_partkey")], 3).groupBy("p_brand", "p_size").agg(F.avg("p_retailprice").alias("m"))
+    return r9(best.join(best.groupBy("p_brand").agg(F.avg("m").alias("mean")), "p_brand"), 6)
+
+
 @query("agg_37", f"WITH {X.BASE}, m AS (SELECT condition, avg(s) AS s FROM base GROUP BY ALL) SELECT m.condition, round(m.s - b.s, 6) AS delta FROM m JOIN m b ON b.condition = 'CLN'")
 def agg_37(spark, sf):
     m = X.base(spark, sf).groupBy("condition").agg(F.avg("s").alias("s"))

@@ -236,7 +236,17 @@ def src_06(spark, sf):
 
 @query("src_07", "SELECT 'd' AS dataset, role AS label, 'train' AS split, CAST(conv_id AS VARCHAR) AS video, CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS INTEGER) AS position, text AS frame FROM conversations WHERE conv_id % 7 = 0")
 def src_07(spark, sf):
-    rows = read(spark, sf, "conversations").where("conv_id % 7 = 0").groupBy("role", "conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("l"))
+    return _nested(read(spark, sf, "conversations").where("conv_id % 7 = 0"))
+
+
+@query("src_07_whole", None)
+def src_07_whole(spark, sf):
+    """All conversations; src_07 has those that its SQL compares."""
+    return _nested(read(spark, sf, "conversations"))
+
+
+def _nested(turns):
+    rows = turns.groupBy("role", "conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("l"))
     video = F.create_map(F.col("conv_id").cast("string"), F.struct(F.col("l.text").alias("frames")))
     doc = F.to_json(F.create_map(F.lit("d"), F.create_map("role", F.create_map(F.lit("train"), video))))
     return readers.nested_frames(rows.select(doc.alias("value")))
