@@ -9,7 +9,8 @@ from stillwater.operators import metrics, resampling, thresholds, videos
 from stillwater.plans import fixtures as X
 from stillwater.plans.fixtures import query, r9, read
 
-REPLICATES = 20
+#: Replicates of the queries that are compared with SQL, and of the whole job.
+REPLICATES, WHOLE = 20, 2000
 
 
 @query("f1_video_scores", f"WITH {X.VIDEOS} SELECT detector, dataset, role, video, condition, n AS clean_valid_frame_count, n_ok AS successful_frame_count, round(video_score, 9) AS video_score, CASE WHEN video_score IS NULL THEN 'invalid_condition' ELSE 'ok' END AS inference_status, CASE WHEN video_score IS NULL THEN 'failed frame' END AS failure_reason FROM videos")
@@ -106,6 +107,26 @@ def bst_03(spark, sf):
     return resampling.units(X.calibration(X.video_scores(spark, sf)).withColumn("stratum", resampling.stratum()), ["detector"]).select("detector", "stratum", "video", F.col("k").cast("long").alias("k"), "n")
 
 
+@query("f5_bootstrap_whole", None)
+def f5_bootstrap_whole(spark, sf):
+    """The reference's 2000 replicates."""
+    decided, calib = _calibrated(spark, sf)
+    return r9(resampling.intervals(resampling.absolute(decided, calib, WHOLE), metrics.GROUP_KEYS, ["auc", "fpr", "fnr", "hter"]))
+
+
+query("bst_14_whole", None)(f5_bootstrap_whole)
+
+
+@query("bst_08_whole", None)
+def bst_08_whole(spark, sf):
+    """The reference's 2000 replicates."""
+    decided, calib = _calibrated(spark, sf)
+    return r9(resampling.intervals(resampling.paired(decided, calib, WHOLE), metrics.GROUP_KEYS, ["delta_auc", "delta_fpr", "delta_fnr", "delta_hter"]))
+
+
+query("bst_12_whole", None)(bst_08_whole)
+
+
 @query("bst_04", f"WITH {X.CUT}, {_resampled_sql('calib', 'detector', 'x', 'cs')} SELECT detector, stratum, replicate, k, w FROM cs_w")
 def bst_04(spark, sf):
     numbered = resampling.units(X.calibration(X.video_scores(spark, sf)).withColumn("stratum", resampling.stratum()), ["detector"])

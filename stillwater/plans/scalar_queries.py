@@ -438,7 +438,7 @@ def bst_09(spark, sf):
     rows = scores.where("dataset = 'first' and role = 'validation' and study_label = 0 and condition <> 'CLN' and video_score is not null").select("detector", "condition", "video", "video_score").join(clean, ["detector", "video"])
     from stillwater.operators import thresholds
 
-    drawn = resampling.resampled(rows.withColumn("stratum", F.lit("real")), ["detector", "condition"], 20, 1024, "diagnostic")
+    drawn = resampling.resampled(rows.withColumn("stratum", F.lit("real")), ["detector", "condition"], 2000, 1024, "diagnostic")
     keys = ["detector", "condition", "replicate"]
     own = thresholds.low_fpr(drawn.withColumn("score", F.col("video_score")), keys, weight="w").select(*keys, F.col("threshold_value").alias("own"))
     ref = thresholds.low_fpr(drawn.withColumn("score", F.col("clean")), keys, weight="w").select(*keys, F.col("threshold_value").alias("ref"))
