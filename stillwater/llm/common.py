@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import hashlib
 import os
 import shutil
 import tempfile
@@ -203,26 +204,19 @@ def int64(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS: dict[str, np.ndarray] = {}
 _SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
-
-
-def _powers_of_base(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, n at least; made once a worker for texts of usual length."""
-    if len(_POWERS.get("up", ())) < n:
-        for name, base in (("up", int(_BASE)), ("down", pow(int(_BASE), -1, 1 << 64))):
-            row = np.full(n, base, np.uint64)
-            row[0] = 1
-            _POWERS[name] = np.multiply.accumulate(row)
-    return _POWERS["up"], _POWERS["down"]
+#: Masks of the first k bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer words are hashed one by one.
+_LONG_WORD = 512
 
 
 def word_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of ``[^\\x20\\x09-\\x0D]+`` in a row, and how many each text has.
 
-    A word's hash is a polynomial of its bytes, read off running sums, so no word becomes an object of its own.
+    Eight bytes of all words at a time are mixed into their hashes, so no word becomes an object of its own; words of more
+    than ``_LONG_WORD`` bytes are hashed by blake2b.
     """
     hashes, sizes, block, size = [], [], [], 0
     for k, text in enumerate(texts):
@@ -230,21 +224,30 @@ def word_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarra
         block.append(raw.translate(LOWER) if lower else raw)
         size += len(raw) + 1
         if size >= 1 << 20 or k == len(texts) - 1:
-            own, n = _block_hashes(block, size)
+            own, n = _block_hashes(block)
             hashes.append(own)
             sizes.append(n)
             block, size = [], 0
     return (np.concatenate(hashes), np.concatenate(sizes)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _block_hashes(block: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+def _block_hashes(block: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b" ".join(block) + b" ", np.uint8)
     blank = _SPACE[raw]
     edge = np.flatnonzero(np.diff(blank, prepend=True))  # a word begins, a word ends, and so on
     begin, end = edge[::2], edge[1::2]
-    up, down = _powers_of_base(max(size + 1, (1 << 20) + (1 << 18)))
-    sums = np.zeros(size + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[:size], out=sums[1:])
-    own = mix64((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    eights = np.ndarray(len(raw), np.dtype("<u8"), raw.tobytes() + bytes(8), strides=(1,))  # from each byte on
+    length = end - begin
+    own = mix64(length.astype(np.uint64) * _BASE + np.uint64(1))
+    long = np.flatnonzero(length > _LONG_WORD)
+    some = np.flatnonzero(length <= _LONG_WORD) if len(long) else np.arange(len(begin))
+    at = 0
+    while len(some):
+        rest = length[some] - at
+        own[some] = mix64((own[some] ^ (eights[begin[some] + at] & _FIRST[np.minimum(rest, 8)])) + _BASE)
+        some = some[rest > 8]
+        at += 8
+    for k in long.tolist():
+        own[k] = int.from_bytes(hashlib.blake2b(raw[begin[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
     first = np.cumsum([0] + [len(b) + 1 for b in block])
     return own, np.diff(np.searchsorted(begin, first))

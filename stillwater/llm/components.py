@@ -26,5 +26,7 @@ def components(links: DataFrame, scratch: common.Scratch, name: str) -> DataFram
         moved = scratch.table(jump.select("node", F.least("low", "far").alias("label"), (F.least("low", "far") != F.col("label")).alias("changed")), f"{name}-{step}")
         done = moved.where("changed").isEmpty()
         labels = moved.select("node", "label")
+        scratch.drop(f"{name}-{step - 1}")
         if done:
+            scratch.drop(f"{name}-edges")
             return labels

@@ -7,12 +7,14 @@ share a subset of the fixed size that the threshold asks of (a, b), so each set
 those sizes and equal subsets link sets of size a with those of size b, without any check.  Two sets of the larger size
 b don't link by a subset for (a, b): that size asks more of them.
 
-Large sets: in one order of all shingles, two sets that link share a shingle among their first a - ceil(0.8 a) + 1.
-These prefixes make the inverted lists.  Frequent shingles (a bounded table of those that a task saw often) come last
-in the order, so passages that many documents share don't make long lists.  The lists are scanned twice.  First each
-node is checked against the one neighbour that it shares most lists with, and links make components.  Then only pairs
-of different components are left to check: no pair of documents that are already connected is ever formed, and pairs
-that share too few prefix shingles to reach the threshold are dropped by count before any set moves.
+Large sets: in one order of all shingles, rare ones first by exact counts, two sets that link share a shingle among their
+first a - ceil(0.8 a) + 1.  These prefixes make the inverted lists.  A pair is a candidate where the places of a shared
+shingle in both sets leave room for the intersection that their sizes need, and where the signatures of the sets, parities
+of hashed shingles, differ in no more bits than the sets may in shingles.  Both conditions hold for every pair that links.
+
+The lists are scanned twice.  First each node is checked against its likeliest neighbours in the lists, and links make
+components; then only pairs of different components are candidates.  Short lists are joined with themselves, long ones
+are dealt to tasks in pairs of blocks, which emit candidates alone.  Every candidate is verified by the words themselves.
 
 Null texts and texts without words have an empty set, link with nothing and are their own component.  Rows without
 doc_id take part but never name a component that has other ids.  Extra columns are read only by ``drop_near_copies``, to
@@ -28,6 +30,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,14 +40,17 @@ from stillwater.llm.components import components
 WORDS = 5
 #: The threshold as a fraction: intersection * DEN >= union * NUM.
 NUM, DEN = 80, 100
-#: Frequent shingles: at most so many, seen by one task in FREQUENT_IN_TASK documents at least.
-FREQUENT, FREQUENT_IN_TASK = 1 << 20, 3
+#: Frequent shingles: at most so many, each in LEAST_DOCS documents at least.
+FREQUENT, LEAST_DOCS = 1 << 20, 4
+#: Shingles that a task holds before it sends them, and that one range of their values has on average.
+BUFFER_SHINGLES, RANGE_SHINGLES = 4_000_000, 4_000_000
 #: What a row of an inverted list costs against a row of a subset: scans, counts and a share of the checks.
 LIST_COST = 4
 LARGEST_BOUNDARY = 12
-#: Bottom shingles of a set that tell which neighbours are worth a check before the last round.
-SKETCH, LIKELY = 16, 9
-ROUNDS = 8
+#: Lists of more rows are scanned in pairs of blocks, of about BLOCK rows each; a star has no more rows than STAR.
+LONG, BLOCK, STAR = 128, 512, 1024
+#: Rounds of stars end when one links fewer than one in ROUND_GAIN of the open nodes.
+ROUNDS, ROUND_GAIN = 8, 20
 #: Kinds of list rows: a subset of a set of the smaller or the larger of the list's sizes, a prefix shingle.
 SMALLER, PREFIX, LARGER = 0, 1, 2
 
@@ -89,53 +95,96 @@ def node_of(own: np.ndarray, seed: int) -> int:
     return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little", signed=True)
 
 
+def signature(own: np.ndarray) -> bytes:
+    """Parities of the shingles' hashes: two sets differ in as many shingles as their signatures in bits, or more."""
+    bits = 256
+    while bits < 4 * len(own):
+        bits *= 2
+    return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def distances(xs: list[bytes], ys: list[bytes]) -> np.ndarray:
+    """In how many bits each two signatures differ; the longer one is folded to the length of the other."""
+    kinds = np.array([len(x) << 32 | len(y) for x, y in zip(xs, ys, strict=True)], np.int64)
+    out = np.zeros(len(xs), np.int64)
+    for kind in np.unique(kinds).tolist():
+        places = np.flatnonzero(kinds == kind)
+        x, y = (np.frombuffer(b"".join([side[i] for i in places.tolist()]), np.uint64).reshape(len(places), -1) for side in (xs, ys))
+        while x.shape[1] != y.shape[1]:
+            half = max(x.shape[1], y.shape[1]) // 2
+            x, y = (z[:, :half] ^ z[:, half:] if z.shape[1] > half else z for z in (x, y))
+        out[places] = np.bitwise_count(x ^ y).sum(1)
+    return out
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     """doc_id, text, a hash of both, and the key of the text."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"), common.text_key().alias("own")).withColumn("row", F.xxhash64("doc_id", "text"))
 
 
 def document_sets(docs: DataFrame, seed: int) -> DataFrame:
-    """doc_id, row, own, n_shingles, node, check (a second hash of the set), sketch (its smallest shingles)."""
+    """doc_id, row, own, n_shingles, node, check (a second hash of the set), signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), batch.column("own"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s, seed) for s in sets], pa.int64()), pa.array([node_of(s, seed + 7919) for s in sets], pa.int64()), pa.array([common.int64(s[:SKETCH]) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "row", "own", "n_shingles", "node", "check", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), batch.column("own"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s, seed) for s in sets], pa.int64()), pa.array([node_of(s, seed + 7919) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary())], names=["doc_id", "row", "own", "n_shingles", "node", "check", "signature"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, row long, own binary, n_shingles long, node long, check long, sketch array<long>")
+    return _rows(docs).mapInArrow(run, "doc_id long, row long, own binary, n_shingles long, node long, check long, signature binary")
 
 
-def frequent_shingles(docs: DataFrame, scratch: common.Scratch) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a task met in FREQUENT_IN_TASK documents or more, with those counts: the FREQUENT largest.
+def frequent_shingles(docs: DataFrame, scratch: common.Scratch, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The FREQUENT most frequent shingles and in how many documents each is, counted over all documents.
 
-    They only order the prefixes; results don't depend on them.
+    A task sorts its shingles and sends them as runs, one a range of their values; the ranges are as many as ``total``, the
+    number of all shingles, asks for, so a range fits in memory at any size.  The counts only order the prefixes and
+    tell which lists are long; results don't depend on them.
     """
+    ranges = max(1, -(-total // RANGE_SHINGLES))
+    edges = (np.arange(1, ranges, dtype=object) * (1 << 64) // ranges).astype(np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def often():
+        def out():
             found, n = np.unique(np.concatenate(held), return_counts=True)
-            most = n >= FREQUENT_IN_TASK
-            return pa.RecordBatch.from_arrays([pa.array(common.int64(found[most]), pa.int64()), pa.array(n[most], pa.int64())], names=["shingle", "n"])
+            cut = [0, *np.searchsorted(found, edges).tolist(), len(found)]
+            own = [k for k in range(ranges) if cut[k] < cut[k + 1]]
+            small = zstandard.ZstdCompressor(level=1)
+            # differences and counts take few bytes, which zstd then packs
+            rows = [(small.compress(np.diff(found[cut[k] : cut[k + 1]], prepend=np.uint64(0)).tobytes()), small.compress(n[cut[k] : cut[k + 1]].astype(np.int32).tobytes())) for k in own]
+            for a in range(0, len(rows), 64):
+                part = rows[a : a + 64]
+                yield pa.RecordBatch.from_arrays([pa.array(own[a : a + 64], pa.int32()), pa.array([x for x, _ in part], pa.binary()), pa.array([y for _, y in part], pa.binary())], names=["range", "steps", "n"])
 
         for batch in batches:
             for own in shingle_sets(batch.column(0).to_pylist()):
                 held.append(own)
                 size += len(own)
-            if size > 4_000_000:
-                yield often()
+            if size > BUFFER_SHINGLES:
+                yield from out()
                 held, size = [], 0
-        if held:
-            yield often()
-
-    counted = docs.select(common.text_of().alias("text")).mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+        if size:
+            yield from out()
+
+    def merged(table: pa.Table) -> pa.Table:
+        big = zstandard.ZstdDecompressor()
+        found = np.concatenate([np.cumsum(np.frombuffer(big.decompress(x), np.uint64), dtype=np.uint64) for x in table.column("steps").to_pylist()])
+        n = np.concatenate([np.frombuffer(big.decompress(x), np.int32) for x in table.column("n").to_pylist()]).astype(np.int64)
+        by = np.argsort(found)
+        found, n = found[by], n[by]
+        head = np.flatnonzero(np.concatenate([_TRUE[: len(found)], found[1:] != found[:-1]]))
+        n = np.add.reduceat(n, head) if len(head) else n
+        often = n >= LEAST_DOCS
+        return pa.table({"shingle": pa.array(common.int64(found[head][often]), pa.int64()), "n": pa.array(n[often], pa.int64())})
+
+    counted = docs.select(common.text_of().alias("text")).mapInArrow(runs, "range int, steps binary, n binary").repartition(max(ranges, 1), "range").groupBy("range").applyInArrow(merged, "shingle long, n long")
     counted = scratch.table(counted, "frequent")
     levels = sorted(counted.groupBy(F.floor(F.log2("n") * 8).alias("level")).count().collect(), key=lambda r: -r["level"])  # 8 a power of 2
-    least, total = 1 << 20, 0
+    least, kept = 1 << 20, 0
     for row in levels:
-        total += row["count"]
-        if total > FREQUENT:
+        kept += row["count"]
+        if kept > FREQUENT:
             break
         least = row["level"]
     rows = counted.where(F.floor(F.log2("n") * 8) >= least).toArrow()
@@ -168,7 +217,9 @@ def _subset_rows(own: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 
 
 def prefix_rows(docs: DataFrame, seed: int, limit: int, frequent) -> DataFrame:
-    """kind (SMALLER or LARGER subset, PREFIX), shingle, node, size: one row a prefix shingle or subset of each node that a task sees."""
+    """One row a prefix shingle or subset of each node that a task sees: kind (SMALLER or LARGER subset, PREFIX), shingle,
+    node, size, place (in the set's order), docs (of a frequent shingle: in how many documents it is, else 0).
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +227,7 @@ def prefix_rows(docs: DataFrame, seed: int, limit: int, frequent) -> DataFrame:
         often = often.view(np.uint64)
         seen: set[int] = set()
         for batch in batches:
-            keys, nodes, sizes, kinds = [], [], [], []
+            keys, nodes, sizes, kinds, places, weights = [], [], [], [], [], []
             for own in shingle_sets(batch.column(0).to_pylist()):
                 a = len(own)
                 node = node_of(own, seed)
@@ -190,77 +241,142 @@ def prefix_rows(docs: DataFrame, seed: int, limit: int, frequent) -> DataFrame:
                     kinds.append(np.array([kind for kind, _ in found], np.int8))
                     nodes.append(np.full(len(found), node))
                     sizes.append(np.full(len(found), a, np.int32))
+                    places.append(np.zeros(len(found), np.int32))
+                    weights.append(np.zeros(len(found), np.int32))
                 if a * DEN > limit * NUM:
                     values = common.int64(own)
                     weight = np.zeros(a, np.int64)
                     if len(often):
                         at = np.minimum(np.searchsorted(often, own), len(often) - 1)
                         weight = np.where(often[at] == own, counts[at], 0)
-                    first = values[np.lexsort((own, weight))[: prefix_size(a)]] if weight.any() else values[: prefix_size(a)]
+                    by = np.lexsort((own, weight))[: prefix_size(a)] if weight.any() else np.arange(prefix_size(a))
+                    first = values[by]
                     keys.append(first)
                     kinds.append(np.full(len(first), PREFIX, np.int8))
                     nodes.append(np.full(len(first), node))
                     sizes.append(np.full(len(first), a, np.int32))
+                    places.append(np.arange(len(first), dtype=np.int32))
+                    weights.append(weight[by].astype(np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds), pa.int8()), pa.array(np.concatenate(keys), pa.int64()), pa.array(np.concatenate(nodes), pa.int64()), pa.array(np.concatenate(sizes), pa.int32())], names=["kind", "shingle", "node", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds), pa.int8()), pa.array(np.concatenate(keys), pa.int64()), pa.array(np.concatenate(nodes), pa.int64()), pa.array(np.concatenate(sizes), pa.int32()), pa.array(np.concatenate(places), pa.int32()), pa.array(np.concatenate(weights), pa.int32())], names=["kind", "shingle", "node", "size", "place", "docs"])
 
-    return docs.select(common.text_of().alias("text")).mapInArrow(run, "kind byte, shingle long, node long, size int")
+    return docs.select(common.text_of().alias("text")).mapInArrow(run, "kind byte, shingle long, node long, size int, place int, docs int")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Those pairs (u, v) whose sets link.  Texts of v move once a pair, texts of u once; only sets meet."""
-    rows = common.packed(_rows(docs).select("row", "text"))
+def exact_set(text: str) -> set[bytes]:
+    words = common.space_words(text, lower=True)
+    return {b" ".join(words[i : i + WORDS]) for i in range(max(1, len(words) - WORDS + 1))}
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = shingle_sets(common.unpack(batch.column("text").to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([s.tobytes() for s in own], pa.binary())], names=[*batch.schema.names[:-1], "own"])
 
-    right = pairs.join(reps.select(F.col("node").alias("v"), F.col("row")), "v").join(rows, "row").select("u", "v", "text").mapInArrow(sets, "u long, v long, own binary")
-    left = pairs.select("u").distinct().join(reps.select(F.col("node").alias("u"), F.col("row")), "u").join(rows, "row").select("u", "text").mapInArrow(sets, "u long, own binary")
+def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
+    """Those pairs (u, v) whose sets, of the words themselves, link.  Each text moves once to its node and once a pair."""
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(reps.select("node", "row", "own"), "node")
+    texts = common.packed(_rows(docs).select("row", "own", "text").join(asked, ["row", "own"]).select("node", "text"))
+    texts = scratch.table(texts.groupBy("node").agg(F.first("text").alias("text")), f"{name}-texts")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, a = None, set()
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([a, b]))
-                same = int((both[1:] == both[:-1]).sum())
+            for u, x, y in zip(*(batch.column(c).to_pylist() for c in ("u", "x", "y")), strict=True):
+                x, y = common.unpack([x, y])
+                if u != last:
+                    last, a = u, exact_set(x)
+                b = exact_set(y)
+                same = len(a & b)
                 keep.append(same * DEN >= NUM * (len(a) + len(b) - same))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = right.withColumnRenamed("own", "y").join(left.withColumnRenamed("own", "x"), "u")
+    joined = pairs.select("u", "v").join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v").join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u")
     return joined.select("u", "v", "x", "y").mapInArrow(check, "u long, v long")
 
 
-def _open(rows: DataFrame, labels: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
-    """Rows (shingle, node, size) of lists that still hold different components, with the components' labels."""
-    labelled = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("shingle", "node", "size", "label")
-    several = labelled.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("shingle")
-    return scratch.table(labelled.join(several, "shingle"), name)
+def _open(rows: DataFrame, labels: DataFrame | None, scratch: common.Scratch, name: str) -> DataFrame:
+    """Rows (shingle, node, size, place) of lists that still hold different components, with the components' labels and
+    the lists' lengths n.
+    """
+    labelled = rows.select("shingle", "node", "size", "place")
+    if labels is None:
+        labelled = labelled.withColumn("label", F.col("node"))
+    else:
+        labelled = labelled.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("shingle", "node", "size", "place", "label")
+    several = labelled.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).where("a != b").select("shingle", "n")
+    several = scratch.table(several, f"{name}-lists")
+    total = several.agg(F.sum("n")).first()[0] or 0
+    return scratch.table(common.heavy_light_join(labelled, several, ["shingle"], "n", total), name)
+
 
+#: In SQL, of two rows x and y of one list: different components, and places that leave room for a link.
+_NEEDED = f"(({NUM} * (x.size + y.size) + {DEN + NUM - 1}) div {DEN + NUM})"
+_MAY_LINK = f"x.label != y.label and x.place + {_NEEDED} <= x.size and y.place + {_NEEDED} <= y.size"
 
-def _neighbours(opened: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """Pairs (u, v) of different components that stand side by side in a list and whose sketches look alike: for each
-    node the two it meets so in most lists.  Only how many checks are needed depends on this choice.
-    """
-    turn = Window.partitionBy("shingle").orderBy(*(("size", "node") if k == 0 else (F.xxhash64("node", F.lit(k)), "node")))
-    me = F.struct("node", "size", "label")
-    near = opened.withColumns({"before": F.lag(me).over(turn), "earlier": F.lag(me, 2).over(turn), "first": F.first(me).over(turn)})
-    near = near.select("node", "size", "label", F.explode(F.array_distinct(F.array("before", "earlier", "first"))).alias("p")).where("p is not null and p.label != label")
-    near = near.where(f"least(size, p.size) * {DEN} >= greatest(size, p.size) * {NUM}")
-    met = near.groupBy(F.least("node", "p.node").alias("u"), F.greatest("node", "p.node").alias("v")).count()
-    both = met.join(nodes.select(F.col("node").alias("u"), F.col("sketch").alias("x")), "u").join(nodes.select(F.col("node").alias("v"), F.col("sketch").alias("y")), "v")
-    # of the smallest shingles of both sets, those in both; the sketches are in unsigned order, which sorting by value keeps alike for both
-    alike = F.size(F.array_intersect(F.slice(F.array_sort(F.array_union(_ordered("x"), _ordered("y"))), 1, SKETCH), F.array_intersect(_ordered("x"), _ordered("y"))))
-    both = both.withColumn("alike", alike).where((F.col("alike") >= LIKELY) | (F.greatest(F.size("x"), F.size("y")) < SKETCH))
-    best = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("alike"), F.desc("count"), "u"))
-    return both.withColumn("r", best).where("r <= 2").select("u", "v")
 
+def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those pairs (u, v) whose signatures allow a link, with the share of differing shingles that they tell (apart)."""
+    signs = nodes.select("node", "size", "signature")
+    both = pairs.join(signs.toDF("u", "a", "x"), "u").join(signs.toDF("v", "b", "y"), "v")
 
-def _ordered(c: str):
-    """Signed numbers in the order of the unsigned ones they stand for."""
-    return F.transform(c, lambda x: x.bitwiseXOR(F.lit(-(1 << 63))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+            apart = distances(batch.column("x").to_pylist(), batch.column("y").to_pylist())
+            keep = apart <= a + b - 2 * needed(a, b)
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(apart / (a + b))], names=["u", "v", "apart"]).filter(pa.array(keep))
+
+    return both.select("u", "v", "a", "b", "x", "y").mapInArrow(run, "u long, v long, apart double")
+
+
+def _neighbours(opened: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """Pairs (u, v) of different components that stand side by side in a list: for each node the two that are most
+    alike.  Only how many checks are needed depends on this choice.  Long lists are cut into stars, another way each round.
+    """
+    star = F.pmod(F.xxhash64("node", "shingle", F.lit(k)), F.ceil(F.col("n") / STAR).cast("long"))
+    turn = Window.partitionBy("shingle", "star").orderBy(*(("size", "node") if k == 0 else (F.xxhash64("node", F.lit(k)), "node")))
+    me = F.struct("node", "size", "label", "place")
+    near = opened.withColumn("star", star).withColumns({"before": F.lag(me).over(turn), "earlier": F.lag(me, 2).over(turn), "first": F.first(me).over(turn)})
+    near = near.select(me.alias("x"), F.explode(F.array_distinct(F.array("before", "earlier", "first"))).alias("y")).where(f"y is not null and {_MAY_LINK}")
+    met = near.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
+    best = F.row_number().over(Window.partitionBy("v").orderBy("apart", "u"))
+    return _alike(met, nodes).withColumn("r", best).where("r <= 2").select("u", "v")
+
+
+def _block_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of the rows of long lists that may link.  A list is cut into blocks and each two blocks meet in one
+    task, so a list of n rows moves n / BLOCK times and no pair leaves the task but those that all conditions allow.
+    """
+    parts = F.ceil(F.col("n") / BLOCK).cast("long")
+    cut = rows.join(nodes.select("node", "signature"), "node").withColumns({"parts": parts, "part": F.pmod(F.xxhash64("node", "shingle"), parts)})
+    cut = cut.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    cut = cut.select("shingle", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "size", "place", "label", "signature")
+
+    def meet(table: pa.Table) -> pa.Table:
+        i, j, part, node, size, place, label = (table.column(c).to_numpy() for c in ("i", "j", "part", "node", "size", "place", "label"))
+        signs = table.column("signature").to_pylist()
+        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        us, vs = [], []
+        for k in left.tolist():
+            need = needed(size[k] + 0, size[right])
+            own = right[(label[right] != label[k]) & (place[k] + need <= size[k]) & (place[right] + need <= size[right])]
+            if i[0] == j[0]:
+                own = own[node[own] > node[k]]
+            if len(own):
+                apart = distances([signs[k]] * len(own), [signs[o] for o in own.tolist()])
+                own = own[apart <= size[k] + size[own] - 2 * needed(size[k], size[own])]
+                us.append(np.minimum(node[k], node[own]))
+                vs.append(np.maximum(node[k], node[own]))
+        none = np.zeros(0, np.int64)
+        return pa.table({"u": np.concatenate([none, *us]), "v": np.concatenate([none, *vs])})
+
+    return cut.groupBy("shingle", "i", "j").applyInArrow(meet, "u long, v long")
+
+
+def _rest(opened: DataFrame, nodes: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """All pairs (u, v) of different components that share a list and may link."""
+    short = opened.where(F.col("n") <= LONG)
+    joined = short.alias("x").join(short.alias("y"), F.col("x.shingle") == F.col("y.shingle")).where(F.expr(f"x.node < y.node and {_MAY_LINK}"))
+    pairs = scratch.table(_alike(joined.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct(), nodes).select("u", "v"), "rest-short")
+    long = opened.where(F.col("n") > LONG)
+    return pairs if long.isEmpty() else pairs.unionByName(_block_pairs(long, nodes)).distinct()
 
 
 def _named(docs: DataFrame, scratch: common.Scratch) -> DataFrame:
@@ -270,49 +386,50 @@ def _named(docs: DataFrame, scratch: common.Scratch) -> DataFrame:
         documents = scratch.table(document_sets(docs, seed), f"documents-{seed}")
         if documents.groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a != b").isEmpty():
             break
-    nodes = documents.where("n_shingles > 0").groupBy("node").agg(F.min("row").alias("row"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
-    nodes = scratch.table(nodes, "nodes")
+    first = F.min(F.struct("row", "own")).alias("m")
+    nodes = documents.where("n_shingles > 0").groupBy("node").agg(first, F.first("n_shingles").alias("size"), F.first("signature").alias("signature"))
+    nodes = scratch.table(nodes.select("node", "m.row", "m.own", "size", "signature"), "nodes")
     sizes = {r["size"]: r["count"] for r in nodes.where(F.col("size") <= 2 * LARGEST_BOUNDARY).groupBy("size").count().collect()}
     limit = boundary(sizes)
-    keyed = prefix_rows(docs, seed, limit, frequent_shingles(docs, scratch))
-    lists = keyed.withColumn("n", F.count("*").over(Window.partitionBy(F.col("kind") == PREFIX, "shingle"))).where("n > 1").drop("n").distinct()
+    total = documents.agg(F.sum("n_shingles")).first()[0] or 0
+    keyed = prefix_rows(docs, seed, limit, frequent_shingles(docs, scratch, total))
+    # rows of a list stand together, but for those of shingles in very many documents, which all stay
+    own_list = Window.partitionBy(F.col("kind") == PREFIX, "shingle", F.when(F.col("docs") > STAR, F.col("node")))
+    lists = keyed.withColumns({"a": F.min("node").over(own_list), "b": F.max("node").over(own_list)}).where(f"a != b or docs > {STAR}").drop("a", "b", "docs").distinct()
     lists = scratch.table(lists, "lists")
+    scratch.drop("frequent")
     common.release(spark)
     # small sets: the first of the smaller size in each list, linked with all others; those of the larger size link with it alone
-    star = Window.partitionBy("shingle").orderBy("kind", "node")
-    small = lists.where(F.col("kind") != PREFIX).select(F.col("node").alias("v"), F.first("node").over(star).alias("u"), F.first("kind").over(star).alias("kind"))
-    small = small.where((F.col("kind") == SMALLER) & (F.col("u") != F.col("v"))).distinct()
+    heads = lists.where(F.col("kind") == SMALLER).groupBy("shingle").agg(F.min("node").alias("u"), F.count("*").alias("n"))
+    small = lists.where(F.col("kind") != PREFIX).select("shingle", F.col("node").alias("v"))
+    small = small.join(heads, "shingle").where("u != v").select("u", "v").distinct()
     # large sets: neighbours in the lists, in another order each round, that look alike; links make components
-    links, tried, labels, still = scratch.table(small.select("u", "v"), "small"), None, None, lists.where(F.col("kind") == PREFIX).select("shingle", "node", "size")
+    links, tried, labels, still = scratch.table(small, "small"), None, None, lists.where(F.col("kind") == PREFIX)
     for k in range(ROUNDS):
-        if labels is None:
-            opened = still.withColumn("label", F.col("node"))
-        else:
-            opened = _open(still, labels, scratch, f"open-{k}")
-            still = opened.drop("label")
+        opened = _open(still, labels, scratch, f"open-{k}")
         chosen = _neighbours(opened, nodes, k)
         if tried is not None:
             chosen = chosen.join(tried, ["u", "v"], "left_anti")
         chosen = scratch.table(chosen, f"tried-{k}")
-        found = scratch.table(verified(docs, chosen, nodes), f"found-{k}")
-        common.release(spark)
+        found = scratch.table(verified(docs, chosen, nodes, scratch, f"found-{k}"), f"found-{k}")
         tried = chosen if tried is None else tried.unionByName(chosen)
-        links = links.unionByName(found)
-        if k == 0 or not found.isEmpty():
+        links, still = links.unionByName(found), opened.drop("label", "n")
+        gained = found.count()
+        if k == 0 or gained:
             labels = components(links, scratch, f"components-{k}")
-        if found.isEmpty():
+        scratch.drop(f"found-{k}-texts")
+        if k:
+            scratch.drop(f"open-{k - 1}")
+        else:
+            scratch.drop("lists")
+        common.release(spark)
+        if gained * ROUND_GAIN < opened.select("node").distinct().count():
             break
     # what different components still share
-    rest = _open(still, labels, scratch, "open")
-    x, y = rest.alias("x"), rest.alias("y")
-    smaller = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.node") < F.col("y.node")))
-    pairs = x.join(y, F.col("x.shingle") == F.col("y.shingle")).where(smaller & (F.col("x.label") != F.col("y.label")) & (F.col("x.size") * DEN >= F.col("y.size") * NUM))
-    pairs = pairs.groupBy(F.col("x.node").alias("u"), F.col("y.node").alias("v"), F.col("x.size").alias("a"), F.col("y.size").alias("b")).agg(F.count("*").alias("shared"))
-    # outside their prefixes, sets of sizes a and b share ceil(0.8 b) - 1 shingles at most
-    least = F.expr(f"ceil({NUM} * (a + b) / {DEN + NUM}.0D) - greatest(ceil({NUM} * a / {DEN}.0D), ceil({NUM} * b / {DEN}.0D)) + 1")
-    left = scratch.table(pairs.where(F.col("shared") >= least).select("u", "v").join(tried, ["u", "v"], "left_anti"), "left")
+    opened = _open(still, labels, scratch, "open")
+    left = scratch.table(_rest(opened, nodes, scratch).join(tried, ["u", "v"], "left_anti"), "left")
     common.release(spark)
-    last = scratch.table(verified(docs, left, nodes), "last")
+    last = scratch.table(verified(docs, left, nodes, scratch, "last"), "last")
     if not last.isEmpty():
         labels = components(links.unionByName(last), scratch, "components")
     named = documents.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
