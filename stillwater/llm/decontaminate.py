@@ -2,14 +2,17 @@
 
 Each Arrow batch of documents is one shard.  Its words are numbered by the benchmark's vocabulary, and the suffixes
 that begin with enough known words (no other can match a window) are sorted into a word-level suffix array.  Every
-benchmark suffix is then found in it by binary search; what it finds gives the hit words, the items and the longest
-verbatim match with its place.  Shards are independent, so nothing is shuffled.
+benchmark suffix is then found in it by binary search; what it finds gives the hit words and the items.  From each hit
+place the text is followed through a suffix array of the whole block, one binary search a word, as far as any item goes:
+that is the longest verbatim match with its place.  Shards are independent, so nothing is shuffled.
 
 The benchmark goes to the tasks in blocks of at most ``BLOCK_BYTES``: a larger benchmark makes more passes over the
 same rows, each adding its hits, and no block grows.
 
 A window is ``WINDOW`` consecutive item words; an item with fewer words, but not none, is one window.  Null or empty
-texts have no words, neither in documents nor in items.  Equal items all count.  Extra columns are not read.
+texts have no words, neither in documents nor in items.  Equal items all count; a null item_id is the empty name.  Of
+equally long matches the first in the document counts, of the items that have it the smallest name.  Extra columns are
+not read.
 """
 
 from __future__ import annotations
@@ -44,17 +47,14 @@ class Block:
         self.names = list(same.values())
         self.text = np.array([x for item in same for x in (*item, 0)], np.int64)
         found: dict[tuple[int, ...], list[int]] = defaultdict(list)
-        self.suffix: list[tuple[int, int]] = []  # of each window, its first item and place in the text
-        at = 0
         for k, item in enumerate(same):
             size = min(window, len(item))
             for i in range(len(item) - size + 1):
                 w = item[i : i + size]
-                if w not in found:
-                    self.suffix.append((k, at + i))
                 if k not in found[w][-1:]:
                     found[w].append(k)
-            at += len(item) + 1
+        self.starts = np.cumsum([0, *(len(item) + 1 for item in same)])
+        self.order = self.suffixes(max(map(len, same), default=0))
         self.items = list(found.values())
         self.sizes = np.array([len(w) for w in found], np.int64)
         self.kind = ">u2" if len(self.vocab) < 65535 else ">u4"
@@ -65,6 +65,49 @@ class Block:
         self.low, self.high = self.keys(low), self.keys(high)
         self.least = int(self.sizes.min()) if len(found) else 0
 
+    def suffixes(self, longest: int) -> np.ndarray:
+        """Places of the text in the order of what follows them, by doubling."""
+        n = len(self.text)
+        rank, size = self.text, 1
+        while True:
+            ahead = np.zeros(n, np.int64)
+            if size < n:
+                ahead[:-size] = rank[size:] + 1
+            both = rank * (n + len(self.vocab) + 2) + ahead
+            order = np.argsort(both, kind="stable")
+            size *= 2
+            if size > longest:
+                return order
+            rank = np.zeros(n, np.int64)
+            rank[order] = np.cumsum(np.diff(both[order], prepend=both[order[:1]]) > 0)
+
+    def follow(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many words from each place on any item has in a row, and the range of ``order`` that has them."""
+        length, low, high = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.full(len(at), len(self.order), np.int64)
+        live = np.arange(len(at))
+        text = np.concatenate([self.text, np.zeros(1, np.int64)])
+        while len(live):
+            word = ids[at[live] + length[live]]
+            live, word = live[word > 0], word[word > 0]
+            edges = []
+            for least in (word, word + 1):  # the first suffix whose next word is no smaller
+                a, b = low[live], high[live]
+                while (a < b).any():
+                    mid = (a + b) // 2
+                    inside = np.minimum(mid, len(self.order) - 1)
+                    less = (text[np.minimum(self.order[inside] + length[live], len(text) - 1)] < least) & (a < b)  # places that are done aren't looked at
+                    a, b = np.where(less, mid + 1, a), np.where(less | (a >= b), b, mid)
+                edges.append(a)
+            some = edges[0] < edges[1]
+            live = live[some]
+            low[live], high[live] = edges[0][some], edges[1][some]
+            length[live] += 1
+        return length, low, high
+
+    def first_name(self, low: int, high: int) -> str:
+        items = np.unique(np.searchsorted(self.starts, self.order[low:high], "right") - 1)
+        return min(name for k in items.tolist() for name in self.names[k])
+
     def keys(self, rows: np.ndarray) -> np.ndarray:
         return np.ascontiguousarray(rows).view(f"S{rows.shape[1] * rows.dtype.itemsize}").ravel()
 
@@ -72,7 +115,7 @@ class Block:
 def search(block: Block, docs: list[list[bytes]]) -> Iterator[tuple[int, list[int], list[str], int, int, str | None]]:
     """For each document with a hit: its index, hit ranges as flat pairs, items, longest match, its start and item."""
     starts = np.cumsum([0] + [len(d) + 1 for d in docs])
-    ids = np.zeros(int(starts[-1]) + block.window, np.int64)
+    ids = np.zeros(int(starts[-1]) + block.window + 1, np.int64)
     get = block.vocab.get
     for at, words in zip(starts.tolist(), docs, strict=False):
         ids[at : at + len(words)] = list(map(get, words, repeat(0)))
@@ -102,19 +145,11 @@ def search(block: Block, docs: list[list[bytes]]) -> Iterator[tuple[int, list[in
     np.add.at(edges, at, 1)
     np.add.at(edges, at + block.sizes[window_of], -1)
     hit = np.cumsum(edges[:-1]) > 0
-    # longest match: extend what no window one word earlier continues
-    text = np.concatenate([block.text, np.zeros(1, np.int64)])
-    t = np.array([s for _, s in block.suffix], np.int64)[window_of]
-    length = block.sizes[window_of].copy()
-    first = ~((at > 0) & (t > 0) & (ids[at - 1] == text[t - 1]) & (text[t - 1] > 0))
-    live = np.flatnonzero(first)
-    while len(live):
-        a, b = text[t[live] + length[live]], ids[np.minimum(at[live] + length[live], n - 1)]
-        live = live[(a == b) & (a > 0)]
-        length[live] += 1
-    by_doc = np.lexsort((at, -length, doc_of))
-    heads_of = np.flatnonzero(np.diff(doc_of[by_doc], prepend=-1))
-    best = {int(doc_of[by_doc[k]]): int(by_doc[k]) for k in heads_of}
+    places = np.unique(at)
+    length, low, high = block.follow(ids, places)
+    owner = np.searchsorted(starts, places, "right") - 1
+    by_doc = np.lexsort((places, -length, owner))
+    best = {int(owner[k]): k for k in by_doc[np.flatnonzero(np.diff(owner[by_doc], prepend=-1))].tolist()}
     pairs = np.unique(doc_of * len(block.sizes) + window_of)
     items: dict[int, set[int]] = defaultdict(set)
     for p in pairs.tolist():
@@ -123,7 +158,7 @@ def search(block: Block, docs: list[list[bytes]]) -> Iterator[tuple[int, list[in
         own = hit[starts[d] : starts[d] + len(docs[d])].astype(np.int8)
         turn = np.flatnonzero(np.diff(own, prepend=0, append=0)).tolist()
         k = best[d]
-        yield d, turn, [x for i in sorted(found) for x in block.names[i]], int(length[k]), int(at[k] - starts[d]), block.names[block.suffix[window_of[k]][0]][0]
+        yield d, turn, [x for i in sorted(found) for x in block.names[i]], int(length[k]), int(places[k] - starts[d]), block.first_name(low[k], high[k])
 
 
 def _pass(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -133,7 +168,7 @@ def _pass(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]
         for d, ranges, items, longest, start, item in search(block, [common.letter_words(t) for t in batch.column("text").to_pylist()]):
             state[0][d] = state[0][d] + ranges
             state[1][d] = state[1][d] + items
-            if longest > state[2][d]:
+            if (-longest, start, item) < (-state[2][d], state[3][d] or 0, state[4][d] or ""):
                 state[2][d], state[3][d], state[4][d] = longest, start, item
         kinds = [pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-5], *(pa.array(s, k) for s, k in zip(state, kinds, strict=True))], names=batch.schema.names)

@@ -43,7 +43,7 @@ NUM, DEN = 80, 100
 #: Frequent shingles: at most so many, each in LEAST_DOCS documents at least.
 FREQUENT, LEAST_DOCS = 1 << 20, 4
 #: Shingles that a task holds before it sends them, and that one range of their values has on average.
-BUFFER_SHINGLES, RANGE_SHINGLES = 4_000_000, 4_000_000
+BUFFER_SHINGLES, RANGE_SHINGLES = 4_000_000, 1 << 20
 #: What a row of an inverted list costs against a row of a subset: scans, counts and a share of the checks.
 LIST_COST = 4
 LARGEST_BOUNDARY = 12
@@ -178,7 +178,7 @@ def frequent_shingles(docs: DataFrame, scratch: common.Scratch, total: int) -> t
         often = n >= LEAST_DOCS
         return pa.table({"shingle": pa.array(common.int64(found[head][often]), pa.int64()), "n": pa.array(n[often], pa.int64())})
 
-    counted = docs.select(common.text_of().alias("text")).mapInArrow(runs, "range int, steps binary, n binary").repartition(max(ranges, 1), "range").groupBy("range").applyInArrow(merged, "shingle long, n long")
+    counted = docs.select(common.text_of().alias("text")).mapInArrow(runs, "range int, steps binary, n binary").groupBy("range").applyInArrow(merged, "shingle long, n long")
     counted = scratch.table(counted, "frequent")
     levels = sorted(counted.groupBy(F.floor(F.log2("n") * 8).alias("level")).count().collect(), key=lambda r: -r["level"])  # 8 a power of 2
     least, kept = 1 << 20, 0

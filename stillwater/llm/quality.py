@@ -4,7 +4,9 @@ The terms of a document are its tokens' shapes: runs of lower-case letters, capi
 all other characters stay, so ``Thing.`` is ``Aa.``; one more term counts tokens that repeat the one before.  Labelled
 documents give tf-idf rows, whose singular vectors span the latent space.  The labelled vectors are broadcast (at most
 ``FIT_ROWS`` of ``DIMS`` numbers); every document's exact cosine to all of them comes from one matrix product a block,
-and the ``NEIGHBOURS`` nearest vote with their similarity as weight.
+and the ``NEIGHBOURS`` nearest, of equally near ones the earlier labelled rows, vote with their similarity to the power
+``POWER`` as weight.  Words themselves are no terms: quality that shows in wording alone isn't seen.  Of the labelled
+documents' shapes, the ``TERMS`` - 2 in most documents are terms; all others count as one.
 
 Null and empty texts have no terms: their vector is 0 and their score is 0.  Without usable labels every score is 0.5.
 Extra columns are not read.
@@ -28,7 +30,9 @@ from stillwater.llm import common, labelled
 FIT_ROWS = 4000
 DIMS = 32
 TERMS = 1024
-NEIGHBOURS = 25
+NEIGHBOURS, POWER = 25, 8
+#: Cosines that differ by less are equal: one product may be summed in another order.
+TIE = 1e-12
 
 _SIGNS = np.array([97 if 97 <= i < 123 or i >= 128 else 65 if 65 <= i < 91 else 48 if 48 <= i < 58 else i for i in range(256)], np.uint8)
 _RUNS = np.isin(np.arange(256), [97, 65, 48])
@@ -82,11 +86,11 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     x = _rows(index, docs, terms)
     idf = np.log((1 + len(docs)) / (1 + (x > 0).sum(0))) + 1
     if not len(docs):
-        return Model(index, idf, np.zeros((terms, 1)), np.zeros((0, 1), np.float32), y)
+        return Model(index, idf, np.zeros((terms, 1)), np.zeros((0, 1)), y)
     x *= idf
     _, vectors = np.linalg.eigh(x.T @ x)
     basis = vectors[:, ::-1][:, :DIMS]
-    return Model(index, idf, basis, _unit(x @ basis).astype(np.float32), y)
+    return Model(index, idf, basis, _unit(x @ basis), y)
 
 
 def vote(model: Model, texts: list[str | None]) -> np.ndarray:
@@ -94,15 +98,17 @@ def vote(model: Model, texts: list[str | None]) -> np.ndarray:
     if not len(model.labels):
         return np.full(len(texts), 0.5)
     docs = [shapes(t) for t in texts]
-    own = _unit((_rows(model.index, docs, len(model.idf)) * model.idf) @ model.basis).astype(np.float32)
+    own = _unit((_rows(model.index, docs, len(model.idf)) * model.idf) @ model.basis)
     out = np.zeros(len(texts))
     k = min(NEIGHBOURS, len(model.labels))
     for a in range(0, len(texts), 256):
-        near = np.round(own[a : a + 256] @ model.vectors.T, 4)
-        near = near - np.arange(near.shape[1], dtype=np.float64) * 1e-9  # ties: the earlier labelled row
-        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(near, best, 1), 1e-6) ** 8
-        out[a : a + 256] = (weight * model.labels[best]).sum(1) / weight.sum(1)
+        near = own[a : a + 256] @ model.vectors.T
+        least = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
+        above, level = near > least + TIE, np.abs(near - least) <= TIE
+        chosen = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(1, keepdims=True)))
+        weight = np.maximum(near[chosen].reshape(-1, k), 1e-6) ** POWER
+        votes = model.labels[np.nonzero(chosen)[1]].reshape(-1, k)
+        out[a : a + 256] = (weight * votes).sum(1) / weight.sum(1)
     out[[not d[0] for d in docs]] = 0.0
     return np.clip(out, 0, 1)
 

@@ -6,8 +6,9 @@ OP2 = rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 items AS (SELECT item_id, w, least(len(w), 10) AS size FROM b WHERE len(w) > 0),
-windows AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS s
-            FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM items)),
+spots AS (SELECT item_id, size, i AS j, array_to_string(w[i:i + size - 1], ' ') AS s
+          FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM items)),
+windows AS (SELECT DISTINCT item_id, size, s FROM spots),
 sizes AS (SELECT DISTINCT size FROM windows),
 places AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS s
            FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size)),
@@ -15,9 +16,13 @@ found AS (SELECT p.doc_id, p.size, p.i, x.item_id FROM places p JOIN windows x O
 hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS k FROM found) GROUP BY doc_id),
 named AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS l
           FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM found) GROUP BY doc_id)
+starts AS (SELECT p.doc_id, x.item_id, p.size, p.i, p.i - row_number() OVER (PARTITION BY p.doc_id, x.item_id, p.size, p.i - x.j ORDER BY p.i) AS run, p.i - x.j AS diagonal
+           FROM places p JOIN spots x ON p.size = x.size AND p.s = x.s),
+runs AS (SELECT doc_id, CAST(item_id AS VARCHAR) AS item, min(i) - 1 AS start, count(*) + size - 1 AS n FROM starts GROUP BY doc_id, item_id, size, diagonal, run),
+longest AS (SELECT doc_id, n AS longest, start AS longest_start, item AS longest_item FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, start, item) = 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+       sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0) AS longest, longest_start, longest_item
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
 OP6 = r"""

@@ -86,11 +86,11 @@ def test_votes_are_brute_force(spark):
     docs, labels = labelled_docs(spark, 120)
     model = quality.train(docs, labels)
     texts = [r["text"] for r in docs.limit(20).collect()]
-    own = quality._unit((quality._rows(model.index, [quality.shapes(t) for t in texts], len(model.idf)) * model.idf) @ model.basis).astype(np.float32)
+    own = quality._unit((quality._rows(model.index, [quality.shapes(t) for t in texts], len(model.idf)) * model.idf) @ model.basis)
     for v, s in zip(own, quality.vote(model, texts), strict=True):
-        near = sorted(((round(float(np.float32(v @ w)), 4), -k) for k, w in enumerate(model.vectors)), reverse=True)[: quality.NEIGHBOURS]
-        weight = [max(a, 1e-6) ** 8 for a, _ in near]
-        assert abs(s - sum(w * model.labels[-k] for w, (_, k) in zip(weight, near, strict=True)) / sum(weight)) < 0.02
+        near = sorted(((round(sum(map(float, v * w)), 11), -k) for k, w in enumerate(model.vectors)), reverse=True)[: quality.NEIGHBOURS]
+        weight = [max(a, 1e-6) ** quality.POWER for a, _ in near]
+        assert abs(s - sum(w * model.labels[-k] for w, (_, k) in zip(weight, near, strict=True)) / sum(weight)) < 1e-6
 
 
 def test_without_labels(spark):
