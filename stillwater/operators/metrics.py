@@ -46,9 +46,23 @@ def rates(rows: DataFrame, keys: list[str], label: str = "label", decision: str
 
 
 def bundle(rows: DataFrame, keys: list[str], score: str = "video_score", label: str = "study_label", weight: str | None = None) -> DataFrame:
-    """AUC and the rates at the threshold, of eligible rows."""
+    """AUC and the rates at the threshold, of eligible rows: both from one histogram of the scores."""
+    w = F.col(weight) if weight else F.lit(1)
+
+    def count(a: int, b: int | None = None) -> Column:
+        of = F.col(label) == a
+        return F.sum(F.when(of if b is None else of & (F.col("decision") == b), w).otherwise(0)).cast("long")
+
+    cells = {"p": count(1), "q": count(0), "tp": count(1, 1), "fp": count(0, 1), "tn": count(0, 0), "fn": count(1, 0)}
     usable = rows.where(F.col(score).isNotNull() & F.col("decision").isin(0, 1))
-    return auc(usable, keys, score, label, weight).join(rates(usable, keys, label, weight=weight), keys)
+    hist = usable.groupBy(*keys, F.col(score).alias("s")).agg(*(c.alias(n) for n, c in cells.items()))
+    below = Window.partitionBy(*keys).orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    hist = hist.withColumn("mid", F.sum("q").over(below) - F.col("q") / F.lit(2.0))
+    out = hist.groupBy(*keys).agg(F.sum(F.col("p") * F.col("mid")).alias("u"), F.sum("p").alias("n_manipulated"), F.sum("q").alias("n_real"), *(F.sum(n).alias(n) for n in ("tp", "fp", "tn", "fn")))
+    pairs = F.col("n_manipulated") * F.col("n_real")
+    fpr = F.when(F.col("fp") + F.col("tn") > 0, F.col("fp") / (F.col("fp") + F.col("tn")))
+    fnr = F.when(F.col("fn") + F.col("tp") > 0, F.col("fn") / (F.col("fn") + F.col("tp")))
+    return out.select(*keys, F.when(pairs > 0, F.col("u") / pairs).alias("auc"), "n_real", "n_manipulated", "tp", "fp", "tn", "fn", fpr.alias("fpr"), fnr.alias("fnr"), ((fpr + fnr) / 2).alias("hter"))
 
 
 def legacy_summary(rows: DataFrame, keys: list[str]) -> DataFrame:

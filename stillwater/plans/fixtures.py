@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +36,22 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def scratch(spark, name):
+    """A new folder that driver and executors share; only a local master may do without spark.checkpoint.dir."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        root = tempfile.gettempdir()
+    return f"{root.rstrip('/')}/study-{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once and read back, for small tables that a query uses many times."""
+    df.write.parquet(path := scratch(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def r9(df: DataFrame, digits: int = 9) -> DataFrame:
     """Doubles rounded, so that the order of a sum doesn't show."""
     return df.select(*(F.round(f.name, digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else f.name for f in df.schema))
@@ -131,8 +149,8 @@ CUT = VIDEOS + ", calib AS (SELECT * FROM videos WHERE dataset = 'first' AND rol
 
 
 def decisions(spark: SparkSession, sf: str) -> DataFrame:
-    scores = video_scores(spark, sf)
-    return thresholds.decide(scores, frozen(scores), ["detector"])
+    scores = stored(video_scores(spark, sf), "scores")
+    return stored(thresholds.decide(scores, frozen(scores), ["detector"]), "decisions")
 
 
 DECISIONS = CUT + ", decisions AS (SELECT v.*, threshold_value, CAST(video_score >= threshold_value AS INTEGER) AS decision FROM videos v LEFT JOIN cut USING (detector))"

@@ -75,8 +75,8 @@ _PAIR_VALUES = f"SELECT {_RGROUP}, a.auc - ca.auc AS delta_auc, e.fpr - ce.fpr A
 
 
 def _calibrated(spark, sf):
-    scores = X.video_scores(spark, sf)
-    return thresholds.decide(scores, X.frozen(scores), ["detector"]), X.calibration(scores)
+    scores = X.stored(X.video_scores(spark, sf), "scores")
+    return X.stored(thresholds.decide(scores, X.frozen(scores), ["detector"]), "decisions"), X.calibration(scores)
 
 
 @query("f5_bootstrap", f"WITH {_ABS} {_interval_sql(['auc', 'fpr', 'fnr', 'hter'], _ABS_VALUES)}")
@@ -218,9 +218,6 @@ def agg_10(spark, sf):
     return r9(metrics.legacy_summary(tied(spark, sf).withColumn("decision", (F.col("score") >= 0.5).cast("int")), ["detector"]))
 
 
-query("agg_12", X.ORACLE["agg_10"])(agg_10)
-
-
 @query("agg_19", f"{_TIED}, z AS (SELECT * FROM t WHERE label = 0), {X.threshold_sql('z', 'detector', 'score', 'cut', 20)} SELECT detector, round(threshold_value, 9) AS threshold_value, n_real, false_positives, max_allowed AS max_allowed_false_positives, round(false_positives / n_real, 9) AS realized_fpr, candidates AS candidate_count FROM cut")
 def agg_19(spark, sf):
     return r9(thresholds.low_fpr(tied(spark, sf).where("label = 0"), ["detector"], 20, 100))
