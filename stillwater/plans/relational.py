@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,7 +9,6 @@ from stillwater.operators import checks, metrics, selection, thresholds, videos
 from stillwater.plans import fixtures as X
 from stillwater.plans.fixtures import query, r9, read
 from stillwater.plans.flagships import tied
-from stillwater.plans.scalar_queries import scratch
 
 _WIDE = """w AS (SELECT video, max(study_label) AS label, max(manipulation) AS manipulation, max(role) AS role, avg(s) FILTER (condition = 'CLN') AS cln, avg(s) FILTER (condition = 'RSZ') AS rsz, avg(s) FILTER (condition = 'BLR') AS blr, avg(s) FILTER (condition = 'H40') AS h40, avg(s) FILTER (condition = 'PLT') AS plt FROM base GROUP BY video HAVING count(DISTINCT condition) = 5)"""
 CUTOFF, MARGIN = 0.1, 0.02
@@ -318,37 +315,25 @@ def win_12(spark, sf):
 
 
 # sorts with their places, so that order is part of the result
-@query("srt_01", f"WITH {X.BASE} SELECT video, condition, row_number() OVER (ORDER BY video, CASE condition WHEN 'CLN' THEN 0 WHEN 'RSZ' THEN 1 WHEN 'BLR' THEN 2 WHEN 'H40' THEN 3 ELSE 4 END) AS place FROM (SELECT DISTINCT video, condition FROM base WHERE video < 20)")
+@query("srt_01", f"WITH {X.BASE} SELECT video, condition, row_number() OVER (ORDER BY video, CASE condition WHEN 'CLN' THEN 0 WHEN 'RSZ' THEN 1 WHEN 'BLR' THEN 2 WHEN 'H40' THEN 3 ELSE 4 END) AS place FROM (SELECT DISTINCT video, condition FROM base)")
 def srt_01(spark, sf):
-    rows = X.base(spark, sf).where("video < 20").select("video", "condition").distinct()
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("video", metrics.order_of("condition", metrics.CONDITIONS))).cast("long"))
-
+    rows = X.base(spark, sf).select("video", "condition").distinct()
+    return X.numbered(rows, [F.col("video"), metrics.order_of("condition", metrics.CONDITIONS)])
 
-@query("srt_01_whole", None)
-def srt_01_whole(spark, sf):
-    """All videos; srt_01 has those that its SQL compares.  Rows are numbered inside ranges of the order, plus the rows of all ranges before."""
-    order = ["video", metrics.order_of("condition", metrics.CONDITIONS)]
-    rows = X.base(spark, sf).select("video", "condition").distinct().repartitionByRange(16, *order).withColumn("part", F.spark_partition_id())
-    rows.write.mode("overwrite").parquet(path := scratch(spark, f"ranges-{uuid.uuid4().hex}"))
-    rows = spark.read.schema(rows.schema).parquet(path)
-    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    numbered = rows.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
-    return numbered.join(F.broadcast(before), "part").select("video", "condition", (F.col("r") + F.col("before")).alias("place"))
 
-
-query("srt_02_whole", None)(srt_01_whole)
+for _n in ("srt_01_whole", "srt_02_whole"):
+    query(_n, X.ORACLE["srt_01"])(srt_01)
 
 
 @query("srt_03", f"WITH {X.BASE} SELECT video, row_number() OVER (ORDER BY coalesce(manipulation, ''), video) AS place FROM (SELECT DISTINCT video, nullif(manipulation, '') AS manipulation FROM base)")
 def srt_03(spark, sf):
     rows = X.base(spark, sf).select("video", F.nullif("manipulation", F.lit("")).alias("manipulation")).distinct()
-    return rows.select("video", F.row_number().over(Window.orderBy(F.coalesce("manipulation", F.lit("")), "video")).cast("long").alias("place"))
+    return X.numbered(rows, [F.coalesce("manipulation", F.lit("")), F.col("video")]).select("video", "place")
 
 
 @query("srt_04", "SELECT c_name, row_number() OVER (ORDER BY CAST(regexp_extract(c_name, '([0-9]+)', 1) AS INTEGER)) AS place FROM customer")
 def srt_04(spark, sf):
-    return read(spark, sf, "customer").select("c_name", F.row_number().over(Window.orderBy(F.regexp_extract("c_name", "([0-9]+)", 1).cast("int"))).cast("long").alias("place"))
+    return X.numbered(read(spark, sf, "customer").select("c_name"), [F.regexp_extract("c_name", "([0-9]+)", 1).cast("int")])
 
 
 @query("srt_05", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 10")
@@ -507,21 +492,16 @@ def agg_35(spark, sf):
     return lists.select("conv_id", F.col("l.role").alias("roles"))
 
 
-@query("agg_36", "WITH t AS (SELECT p_brand, p_size, avg(p_retailprice) AS m FROM (SELECT * FROM part WHERE p_size <= 3 QUALIFY row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_retailprice DESC, p_partkey) <= 3) GROUP BY ALL) SELECT p_brand, round(max(m) FILTER (p_size = 1), 6) AS s1, round(max(m) FILTER (p_size = 2), 6) AS s2, round(max(m) FILTER (p_size = 3), 6) AS s3, round(avg(m), 6) AS mean FROM t GROUP BY ALL")
+@query("agg_36", "WITH t AS (SELECT p_brand, p_size, avg(p_retailprice) AS m FROM (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_retailprice DESC, p_partkey) <= 3) GROUP BY ALL) SELECT p_brand, p_size, round(m, 6) AS m, round(avg(m) OVER (PARTITION BY p_brand), 6) AS mean FROM t")
 def agg_36(spark, sf):
-    best = selection.top_k(read(spark, sf, "part").where("p_size <= 3"), ["p_brand", "p_size"], [F.desc("p_retailprice"), F.col("p_partkey")], 3).groupBy("p_brand", "p_size").agg(F.avg("p_retailprice").alias("m"))
-    table = best.groupBy("p_brand").pivot("p_size", [1, 2, 3]).agg(F.max("m"))
-    table = table.select("p_brand", *(F.col(str(k)).alias(f"s{k}") for k in (1, 2, 3)))
-    return r9(table.join(best.groupBy("p_brand").agg(F.avg("m").alias("mean")), "p_brand"), 6)
-
-
-@query("agg_36_whole", None)
-def agg_36_whole(spark, sf):
-    """All sizes, a row each, with the brand's mean over them; agg_36 has those that its SQL compares."""
+    """The mean of each size's three dearest, a row each, with the brand's mean over the sizes that it has."""
     best = selection.top_k(read(spark, sf, "part"), ["p_brand", "p_size"], [F.desc("p_retailprice"), F.col("p_partkey")], 3).groupBy("p_brand", "p_size").agg(F.avg("p_retailprice").alias("m"))
     return r9(best.join(best.groupBy("p_brand").agg(F.avg("m").alias("mean")), "p_brand"), 6)
 
 
+query("agg_36_whole", X.ORACLE["agg_36"])(agg_36)
+
+
 @query("agg_37", f"WITH {X.BASE}, m AS (SELECT condition, avg(s) AS s FROM base GROUP BY ALL) SELECT m.condition, round(m.s - b.s, 6) AS delta FROM m JOIN m b ON b.condition = 'CLN'")
 def agg_37(spark, sf):
     m = X.base(spark, sf).groupBy("condition").agg(F.avg("s").alias("s"))

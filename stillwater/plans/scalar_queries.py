@@ -209,15 +209,12 @@ def src_06(spark, sf):
     return readers.label_list(spark, path)
 
 
-@query("src_07", "SELECT 'd' AS dataset, role AS label, 'train' AS split, CAST(conv_id AS VARCHAR) AS video, CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS INTEGER) AS position, text AS frame FROM conversations WHERE conv_id % 7 = 0")
+@query("src_07", "SELECT 'd' AS dataset, role AS label, 'train' AS split, CAST(conv_id AS VARCHAR) AS video, CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS INTEGER) AS position, text AS frame FROM conversations")
 def src_07(spark, sf):
-    return _nested(read(spark, sf, "conversations").where("conv_id % 7 = 0"))
+    return _nested(read(spark, sf, "conversations"))
 
 
-@query("src_07_whole", None)
-def src_07_whole(spark, sf):
-    """All conversations; src_07 has those that its SQL compares."""
-    return _nested(read(spark, sf, "conversations"))
+query("src_07_whole", X.ORACLE["src_07"])(src_07)
 
 
 def _nested(turns):
@@ -284,9 +281,9 @@ def bst_02(spark, sf):
 
 @query("smp_01", "SELECT c_custkey, row_number() OVER (ORDER BY md5('7::' || c_custkey), c_custkey) <= 288 AS fit FROM customer")
 def smp_01(spark, sf):
-    rows = read(spark, sf, "customer").select("c_custkey", F.lit(1).alias("g"))
-    chosen = selection.hash_sample(rows, ["g"], "c_custkey", 7, F.lit(288)).select("c_custkey", F.lit(True).alias("fit"))
-    return rows.select("c_custkey").join(chosen, "c_custkey", "left").select("c_custkey", F.coalesce("fit", F.lit(False)).alias("fit"))
+    rows = read(spark, sf, "customer").select("c_custkey")
+    chosen = rows.orderBy(F.md5(F.concat_ws("::", F.lit("7"), F.col("c_custkey").cast("string"))), "c_custkey").limit(288)
+    return rows.join(chosen.withColumn("fit", F.lit(True)), "c_custkey", "left").select("c_custkey", F.coalesce("fit", F.lit(False)).alias("fit"))
 
 
 @query("smp_02", "SELECT lang, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5('7::' || doc_id), doc_id) <= 5")
@@ -317,7 +314,7 @@ query("smp_07", X.ORACLE["smp_05"])(smp_05)
 @query("smp_08", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n FROM labels WHERE quality = 1), f AS (SELECT doc_id, CAST(('0x' || substr(md5('7::' || doc_id), 1, 8)) AS BIGINT) % (SELECT max(n) FROM r) AS k FROM labels WHERE quality = 0) SELECT f.doc_id, r.doc_id AS partner FROM f JOIN r USING (k)")
 def smp_08(spark, sf):
     labels = read(spark, sf, "labels")
-    real = labels.where("quality = 1").select(F.col("doc_id").alias("partner"), (F.row_number().over(Window.orderBy("doc_id")) - 1).alias("k"))
+    real = X.numbered(labels.where("quality = 1").select("doc_id"), [F.col("doc_id")]).select(F.col("doc_id").alias("partner"), (F.col("place") - 1).alias("k"))
     n = labels.where("quality = 1").agg(F.count("*").alias("n"))
     fake = labels.where("quality = 0").join(F.broadcast(n), F.lit(True)).select("doc_id", S.draw("n", F.lit(7), "doc_id").alias("k"))
     return fake.join(real, "k").select("doc_id", "partner")
