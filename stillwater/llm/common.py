@@ -162,12 +162,13 @@ def drop_by_key(docs: DataFrame, verdicts: DataFrame, scratch: Scratch) -> DataF
     keys = scratch.table(keys.where("not _kept or _n > 1").drop("_n"), "keys")
     several = keys.where("_kept")
     same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_own"))
-    marked = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_text": text_key()})
-    stay = marked.join(keys, same, "left_anti").select(docs.columns)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_whole")  # so no column's name can clash
+    marked = docs.select(whole, F.col("doc_id").cast("long").alias("_doc"), text_key().alias("_text"))
+    stay = marked.join(keys, same, "left_anti").select("_whole.*")
     if several.isEmpty():
         return stay
-    one = marked.join(several, same, "left_semi").groupBy("_doc", "_text").agg(F.min(F.struct(*docs.columns)).alias("_row"))
-    return stay.unionByName(one.select("_row.*"))
+    one = marked.join(several, same, "left_semi").groupBy("_doc", "_text").agg(F.min("_whole").alias("_whole"))
+    return stay.unionByName(one.select("_whole.*"))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -8,10 +8,11 @@ wherever those words stand, the symbol stands.
 
 A window (``WINDOW`` words) is filed under the highest symbol whose context lies inside it, so equal windows are filed
 alike.  Symbols that only one text has are dropped; windows filed under shared ones are the candidates, and a candidate
-is verified by 128 bits of all its words: it goes if a document with a smaller doc_id has it too.
+is verified by a 128-bit BLAKE2 digest of its words themselves: it goes if a document with a smaller doc_id has it too.
 
-A text's whole sequence is its topmost name.  Copies of a text are one text: all but the first lose every word that a
-window covers, and only the first takes part further on.
+A text's whole sequence of words is its topmost name, which is checked against its SHA-256 (another seed should two
+sequences ever share a name).  Copies of a text are one text: all but the first lose every word that a window covers, and
+only the first takes part further on.
 
 Null texts have no words.  Rows without doc_id come after all others and never take words from them.  Rows that repeat
 a doc_id are separate texts of equal rank: neither takes from the other.  Extra columns are not read.
@@ -132,22 +133,19 @@ def anchors(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     return starts, keys
 
 
-def _roots(flat: np.ndarray, sizes: np.ndarray) -> list[int]:
-    """The topmost name of each text."""
-    ends = np.cumsum(sizes).tolist()
-    return [int.from_bytes(hashlib.blake2b(flat[a:b].tobytes(), digest_size=8).digest(), "little", signed=True) for a, b in zip([0, *ends], ends, strict=False)]
+def _root(words: bytes, seed: int) -> int:
+    """The topmost name of a sequence of words, joined by spaces."""
+    return int.from_bytes(hashlib.blake2b(words, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little", signed=True)
 
 
-def _documents(docs: DataFrame) -> DataFrame:
+def _documents(docs: DataFrame, seed: int) -> DataFrame:
     """doc_id, rank (doc_id, LAST for null), row, root, n_words, all_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            flat, sizes = common.word_hashes(texts)
-            roots = _roots(flat, sizes)
-            digests = [hashlib.sha256(b" ".join(common.space_words(text))).hexdigest() for text in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(roots, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "row", "root", "n_words", "all_sha256"])
+            words = [common.space_words(text) for text in batch.column("text").to_pylist()]
+            joined = [b" ".join(own) for own in words]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([_root(x, seed) for x in joined], pa.int64()), pa.array(list(map(len, words)), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in joined], pa.string())], names=["doc_id", "row", "root", "n_words", "all_sha256"])
 
     found = _rows(docs).mapInArrow(run, "doc_id long, row long, root long, n_words long, all_sha256 string")
     return found.withColumn("rank", F.coalesce("doc_id", F.lit(LAST)))
@@ -157,14 +155,15 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
 
 
-def _filed(docs: DataFrame) -> DataFrame:
+def _filed(docs: DataFrame, seed: int) -> DataFrame:
     """key, root: what the windows of each text are filed under."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            flat, sizes = common.word_hashes(batch.column(0).to_pylist())
-            roots, new = _roots(flat, sizes), np.zeros(len(sizes), bool)
+            texts = batch.column(0).to_pylist()
+            flat, sizes = common.word_hashes(texts)
+            roots, new = [_root(b" ".join(common.space_words(x)), seed) for x in texts], np.zeros(len(sizes), bool)
             for k, (root, size) in enumerate(zip(roots, sizes.tolist(), strict=True)):
                 if size >= WINDOW and root not in seen:
                     new[k] = True
@@ -182,11 +181,26 @@ def _filed(docs: DataFrame) -> DataFrame:
     return docs.select(common.text_of().alias("text")).mapInArrow(run, "key long, root long")
 
 
+def _digests(texts: list[str], owner: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the words of each window, as two numbers; owners stand in order."""
+    out, cut = [], np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
+    for k, text in enumerate(texts):
+        own = places[cut[k] : cut[k + 1]].tolist()
+        if own:
+            words = common.space_words(text)
+            joined = b" ".join(words)
+            begin = np.cumsum([0] + [len(w) + 1 for w in words]).tolist()
+            out += [hashlib.blake2b(joined[begin[i] : begin[i + WINDOW] - 1], digest_size=16).digest() for i in own]
+    both = np.frombuffer(b"".join(out), np.int64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """hash_a, hash_b, rank, row, place, found: candidate windows; found: a smaller rank in the same batch has it."""
     for batch in batches:
         ranks, rows = (batch.column(c).to_numpy() for c in ("rank", "row"))
-        t = Texts(*common.word_hashes(common.unpack(batch.column("text").to_pylist())))
+        texts = common.unpack(batch.column("text").to_pylist())
+        t = Texts(*common.word_hashes(texts))
         starts, keys = anchors(t)
         owner = t.doc_of(starts)
         shared = [np.sort(np.array(x, np.int64)) for x in batch.column("keys").to_pylist()]
@@ -194,7 +208,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = np.searchsorted(owner, np.arange(len(shared) + 1))
         chosen = np.concatenate([np.zeros(0, np.int64), *(a + np.flatnonzero(np.isin(keys[a:b], own)) for a, b, own in zip(cut.tolist(), cut[1:].tolist(), shared, strict=False))]).astype(np.int64)
         starts, owner = starts[chosen], owner[chosen]
-        a, b = (common.int64(t.spans(starts, starts + WINDOW, base)) for base in (_A, _B))
+        a, b = _digests(texts, owner, starts - t.starts[owner])
         by = np.lexsort((ranks[owner], b, a))
         a, b, starts, owner = a[by], b[by], starts[by], owner[by]
         head = np.ones(len(a), bool)
@@ -226,12 +240,15 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256."""
     spark = common.prepare(docs.sparkSession)
     scratch = common.Scratch(spark, "repeats")
-    documents = scratch.table(_documents(docs), "documents")
+    for seed in range(16):
+        documents = scratch.table(_documents(docs, seed), f"documents-{seed}")
+        if documents.groupBy("root").agg(F.min("all_sha256").alias("a"), F.max("all_sha256").alias("b")).where("a != b").isEmpty():
+            break
     # the first of equal texts; of equal ranks any row, as their words are the same
     best = documents.groupBy("root").agg(F.min(F.struct("rank", "row")).alias("m"), F.count("*").alias("n"))
     texts = scratch.table(best.select("root", F.col("m.rank").alias("rank"), F.col("m.row").alias("row"), "n"), "texts")
     per_key = Window.partitionBy("key")
-    filed = _filed(docs).withColumns({"a": F.min("root").over(per_key), "b": F.max("root").over(per_key)}).where("a != b")
+    filed = _filed(docs, seed).withColumns({"a": F.min("root").over(per_key), "b": F.max("root").over(per_key)}).where("a != b")
     shared = scratch.table(filed.groupBy("root").agg(F.collect_set("key").alias("keys")), "shared")
     common.release(spark)
     wanted = shared.join(texts, "root").select("root", "rank", "row", "keys")

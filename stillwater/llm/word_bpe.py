@@ -140,8 +140,7 @@ def encode(docs: DataFrame, vocabulary: str, then, schema: str, scratch: common.
     asked = marked.mapInArrow(rare, "_row long, pos int, word string")
     tail = asked.join(table.select("word", "ids"), "word").groupBy("_row").agg(F.collect_list(F.struct("pos", "ids")).alias("_rare"))
     names = keep if keep is not None else ["doc_id"]
-    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_text": common.text_of()})
-    rows = rows.select(*(F.col(c).alias(f"_{k}") for k, c in enumerate(names)), "_text", F.xxhash64("_id", "_text").alias("_row"))
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(names)), common.text_of().alias("_text"), F.xxhash64(F.col("doc_id").cast("long"), common.text_of()).alias("_row"))
     joined = common.packed(rows, "_text").join(tail, "_row", "left")
     joined = joined.select(*(F.col(f"_{k}") for k in range(len(names))), "_text", F.col("_rare.pos").alias("_pos"), F.col("_rare.ids").alias("_ids"))
 
