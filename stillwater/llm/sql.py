@@ -15,7 +15,7 @@ places AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS s
 found AS (SELECT p.doc_id, p.size, p.i, x.item_id FROM places p JOIN windows x ON p.size = x.size AND p.s = x.s),
 hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS k FROM found) GROUP BY doc_id),
 named AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS l
-          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM found) GROUP BY doc_id)
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM found) GROUP BY doc_id),
 starts AS (SELECT p.doc_id, x.item_id, p.size, p.i, p.i - row_number() OVER (PARTITION BY p.doc_id, x.item_id, p.size, p.i - x.j ORDER BY p.i) AS run, p.i - x.j AS diagonal
            FROM places p JOIN spots x ON p.size = x.size AND p.s = x.s),
 runs AS (SELECT doc_id, CAST(item_id AS VARCHAR) AS item, min(i) - 1 AS start, count(*) + size - 1 AS n FROM starts GROUP BY doc_id, item_id, size, diagonal, run),
