@@ -145,7 +145,7 @@ def set_05(spark, sf):
     return both.select((F.col("missing") + F.col("extra") == 0).alias("equal"), "missing", "extra")
 
 
-@query("set_06", f"{REC} SELECT video, condition, list_sort(list_filter(range(0, declared), x -> NOT list_contains(p, x))) AS missing, list_sort(list_filter([x + CASE WHEN video % 19 = 6 THEN declared ELSE 0 END for x in p], x -> x >= declared)) AS extra FROM rec")
+@query("set_06", f"{REC} SELECT video, condition, [x for x in range(0, declared) if NOT list_contains(p, CAST(x AS INTEGER))] AS missing, list_sort([CASE WHEN video % 19 = 6 THEN declared ELSE 0 END + x for x in p if x + CASE WHEN video % 19 = 6 THEN declared ELSE 0 END >= declared]) AS extra FROM rec")
 def set_06(spark, sf):
     planned = F.expr("transform(sequence(0L, declared - 1), x -> cast(x as bigint))")
     found = F.expr("transform(p, x -> cast(x as bigint))")

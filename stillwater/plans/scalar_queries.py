@@ -242,8 +242,8 @@ def src_11(spark, sf):
 
 @query("src_15", "SELECT c_custkey, 'cust' AS kind FROM customer")
 def src_15(spark, sf):
-    read(spark, sf, "customer").select("c_custkey").write.mode("overwrite").parquet(f"{scratch(spark, 'dims')}/cust")
-    return readers.with_folder_dimensions(spark.read.parquet(f"{scratch(spark, 'dims')}/cust"), ["kind"])
+    read(spark, sf, "customer").select("c_custkey").write.parquet(path := f"{scratch(spark, 'dims')}/cust")
+    return readers.with_folder_dimensions(spark.read.parquet(path), ["kind"])
 
 
 @query("snk_02", "SELECT o_orderkey FROM orders")
