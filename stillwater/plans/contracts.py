@@ -109,13 +109,29 @@ _NINE = ["dataset", "role", "study_label", "manipulation", "threshold_value", "c
 _NINE_SQL = {"dataset": "dataset", "role": "role", "study_label": "CASE WHEN condition = 'RSZ' AND video % 9 = 0 THEN 1 - study_label ELSE study_label END", "manipulation": "manipulation", "threshold_value": "CASE WHEN condition = 'BLR' THEN threshold_value + 0.5 ELSE threshold_value END", "checkpoint": "CASE WHEN condition = 'H40' AND video % 7 = 1 THEN 'b' ELSE 'a' END", "source_video": "video // 10", "base_video": "CASE WHEN condition = 'PLT' AND video % 8 = 5 THEN video + 1 ELSE video END", "status": "CASE WHEN decision IS NULL THEN 'no' ELSE 'ok' END"}
 
 
-@query("qc_06", f"WITH {X.DECISIONS}, f AS (SELECT detector, video, condition, {', '.join(f'{e} AS {n}' for n, e in _NINE_SQL.items())} FROM decisions), j AS (SELECT b.detector, b.video, b.condition, {', '.join(f'b.{n} IS NOT DISTINCT FROM c.{n} AS {n}' for n in _NINE)} FROM f b JOIN f c USING (detector, video) WHERE b.condition <> 'CLN' AND c.condition = 'CLN') {check_sql('j', 'detector, video, condition', {n: n for n in _NINE})}")
-def qc_06(spark, sf):
-    """Pairs of clean and degraded records that differ in any of nine fields."""
+_NINE_PAIRS = f"WITH {X.DECISIONS}, f AS (SELECT detector, video, condition, {', '.join(f'{e} AS {n}' for n, e in _NINE_SQL.items())} FROM decisions), j AS (SELECT b.detector, b.video, b.condition, {', '.join(f'b.{n} IS NOT DISTINCT FROM c.{n} AS {n}' for n in _NINE)} FROM f b JOIN f c USING (detector, video) WHERE b.condition <> 'CLN' AND c.condition = 'CLN')"
+
+
+def nine_pairs(spark, sf):
+    """Degraded records with the fields of their clean one."""
     f = X.decisions(spark, sf).select("detector", "video", "condition", *(F.expr(e.replace("//", "div")).alias(n) for n, e in _NINE_SQL.items()))
     clean = f.where("condition = 'CLN'").select("detector", "video", *(F.col(n).alias(f"c_{n}") for n in _NINE))
-    joined = f.where("condition <> 'CLN'").join(clean, ["detector", "video"])
-    return records.violations(joined, {n: F.col(n).eqNullSafe(F.col(f"c_{n}")) for n in _NINE}, ["detector", "video", "condition"])
+    return f.where("condition <> 'CLN'").join(clean, ["detector", "video"])
+
+
+@query("join_05", f"{_NINE_PAIRS} SELECT detector, video, condition, {' AND '.join(_NINE)} AS compatible FROM j")
+def join_05(spark, sf):
+    """Clean and degraded records of a video, and whether the pair agrees in nine fields."""
+    agree = F.lit(True)
+    for n in _NINE:
+        agree = agree & F.col(n).eqNullSafe(F.col(f"c_{n}"))
+    return nine_pairs(spark, sf).select("detector", "video", "condition", agree.alias("compatible"))
+
+
+@query("qc_06", f"{_NINE_PAIRS} {check_sql('j', 'detector, video, condition', {n: n for n in _NINE})}")
+def qc_06(spark, sf):
+    """Pairs of clean and degraded records that differ in any of nine fields."""
+    return records.violations(nine_pairs(spark, sf), {n: F.col(n).eqNullSafe(F.col(f"c_{n}")) for n in _NINE}, ["detector", "video", "condition"])
 
 
 # two training views of the same videos; the second has lost some and holds some of the test set

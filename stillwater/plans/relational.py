@@ -128,7 +128,6 @@ def join_04(spark, sf):
     return r9(metrics.pairs(X.decisions(spark, sf)).select("detector", "video", "condition", "video_score", "clean_score"))
 
 
-query("join_05", X.ORACLE["join_04"])(join_04)
 
 
 @query("join_07", "SELECT d.doc_id, d.source, l.quality, l.doc_id IS NULL AS unscored FROM documents d LEFT JOIN labels l USING (doc_id)")
