@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stillwater.llm import common
+from stillwater.llm import common, labelled
 
 FIT_ROWS = 2000
 LEAST_LENGTH = 16
@@ -123,12 +123,13 @@ def write(spans: list[tuple[int, int, int]]) -> str:
 
 
 def train(docs: DataFrame, most: int = FIT_ROWS) -> np.ndarray:
-    """Fit on about ``most`` documents that a hash of doc_id chooses, however many there are."""
+    """Fit on about ``most`` documents that a hash of doc_id chooses, however many there are, and at most
+    ``labelled.MOST_BYTES`` of their texts.  Of a doc_id that has several texts, the first in byte order teaches.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null and doc_id is not null")
     n = rows.count()
-    bound = int(min(1.0, most / max(n, 1)) * 1_000_000)
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < bound).collect()
-    return fit([r["text"] for r in sorted(chosen, key=lambda r: (r["doc_id"], r["text"]))])
+    chosen = rows.where(labelled.turn() < int(min(1.0, most / max(n, 1)) * 1_000_000))
+    return fit([r["text"] for r in labelled.bounded(chosen.groupBy("doc_id").agg(F.min("text").alias("text")))])
 
 
 def scan(docs: DataFrame, model: np.ndarray) -> DataFrame:

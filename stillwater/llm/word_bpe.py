@@ -98,16 +98,20 @@ class Head:
 
 
 def _head(table: DataFrame) -> Head:
-    """Words from a count on that at most HEAD_WORDS words reach, found from a histogram of the counts' logarithms."""
-    short = table.where(F.octet_length("word") <= LONGEST).withColumn("level", F.floor(F.log2("n") * 16).cast("int"))
-    rows = short.groupBy("level").agg(F.count("*").alias("n"), F.sum(F.octet_length("word") + F.octet_length("ids")).alias("b")).collect()  # 16 a power of 2
+    """Words from a weight on that at most HEAD_WORDS words reach, found from a histogram of the weights' logarithms.
+
+    The weight of a word is its count; one of more than LONGEST bytes counts so much less as it is longer.
+    """
+    weight = F.col("n") * LONGEST / F.greatest(F.lit(LONGEST), F.octet_length("word"))
+    ranked = table.withColumn("level", F.floor(F.log2(weight) * 16).cast("int"))
+    rows = ranked.groupBy("level").agg(F.count("*").alias("n"), F.sum(F.octet_length("word") + F.octet_length("ids")).alias("b")).collect()  # 16 a power of 2
     least, words, size = 1 << 20, 0, 0
     for row in sorted(rows, key=lambda r: -r["level"]):
         words, size = words + row["n"], size + row["b"]
         if words > HEAD_WORDS or size > HEAD_BYTES:
             break
         least = row["level"]
-    return Head(short.where(F.col("level") >= least).select("word", "ids").toArrow())
+    return Head(ranked.where(F.col("level") >= least).select("word", "ids").toArrow())
 
 
 def encode(docs: DataFrame, vocabulary: str, then, schema: str, scratch: common.Scratch, keep: list[str] | None = None) -> DataFrame:
@@ -135,10 +139,10 @@ def encode(docs: DataFrame, vocabulary: str, then, schema: str, scratch: common.
                             words.append(w)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(words, pa.string())], names=["_row", "pos", "word"])
 
-    # rows that repeat doc_id and text have one key and ask for the same lists
+    # rows that repeat doc_id and text have one key and ask for the same list, each place of which is kept once
     marked = _texts(docs).select(F.xxhash64("doc_id", "text").alias("_row"), "text")
     asked = marked.mapInArrow(rare, "_row long, pos int, word string")
-    tail = asked.join(table.select("word", "ids"), "word").groupBy("_row").agg(F.collect_list(F.struct("pos", "ids")).alias("_rare"))
+    tail = asked.join(table.select("word", "ids"), "word").groupBy("_row").agg(F.collect_set(F.struct("pos", "ids")).alias("_rare"))
     names = keep if keep is not None else ["doc_id"]
     rows = docs.select(*(F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(names)), common.text_of().alias("_text"), F.xxhash64(F.col("doc_id").cast("long"), common.text_of()).alias("_row"))
     joined = common.packed(rows, "_text").join(tail, "_row", "left")

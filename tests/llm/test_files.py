@@ -99,6 +99,18 @@ def test_word_bpe(spark, docs, rows, monkeypatch):
     assert table(word_bpe.digests(both, WORDS), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
 
 
+def test_word_bpe_of_long_words_and_repeated_rows(spark, monkeypatch):
+    """A word of 200 bytes that half the rows hold is in the head; rows that repeat doc_id and text share one list."""
+    monkeypatch.setattr(word_bpe, "HEAD_WORDS", 1)
+    lib = plain(WORDS)
+    rows = [(1, "zyxwvut rare words"), (1, "zyxwvut rare words"), (None, "q" * 200), (None, "q" * 200)] + [(k, "q" * 200) for k in range(2, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()) for r in word_bpe.encoded(docs, WORDS).collect()]
+    assert sorted(got, key=repr) == sorted(((d, lib.encode(t, add_special_tokens=False).ids) for d, t in rows), key=repr)
+    head = word_bpe._head(word_bpe.word_table(word_bpe.distinct_words(docs), WORDS))
+    assert head.words.column("word").to_pylist() == ["q" * 200]
+
+
 def test_word_bpe_of_nothing(empty):
     assert word_bpe.digests(empty, WORDS).count() == 0
 

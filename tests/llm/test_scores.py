@@ -102,6 +102,15 @@ def test_without_labels(spark):
     assert quality.score(nothing, quality.train(nothing, labels)).count() == 0
 
 
+def test_sample_is_bounded_in_bytes(spark):
+    rows = spark.createDataFrame([(k, "é" * (10 if k % 3 else 1000)) for k in range(60)], "doc_id long, text string")
+    assert [r["doc_id"] for r in labelled.bounded(rows)] == list(range(60))
+    some = labelled.bounded(rows, 5000)
+    assert sum(2 * len(r["text"]) for r in some) <= 5000
+    assert len(some) >= 40 and some == labelled.bounded(rows.repartition(5), 5000)
+    assert labelled.bounded(rows.limit(0)) == [] and labelled.bounded(rows, 0) == []
+
+
 def test_held_out_share(spark):
     ids = spark.range(2000).withColumnRenamed("id", "doc_id")
     n = ids.where(labelled.held_out()).count()
