@@ -47,7 +47,7 @@ STAGES = [
     ("bpe_tokens", encode_tokens),
 ]
 
-#: Nearest-neighbour votes can't be put in SQL; a brute-force comparison of run() is still to be written.
+#: Nearest-neighbour votes can't be put in SQL; the pipeline's test compares run() with brute force.
 ORACLE_SQL = None
 
 
