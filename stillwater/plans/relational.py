@@ -193,15 +193,28 @@ def join_16(spark, sf):
     return a.unionByName(o.join(chosen, "o_custkey", "left_anti").select("o_orderkey", F.lit("evaluation").alias("part")))
 
 
-@query("join_17", "SELECT c.c_custkey, n.n_nationkey AS exact, coalesce(n.n_nationkey, -1) AS chosen FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey AND n.n_nationkey < 10")
+_SEVEN = [f"d{k}" for k in range(2, 9)]
+_SEVEN_SQL = ", ".join(f"{{0}} % {k} = 0 AS d{k}" for k in range(2, 9))
+
+
+@query("join_17", f"""WITH s AS (SELECT CAST(s_suppkey AS BIGINT) AS seq, s_suppkey % 64 AS id, CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey END AS run, {_SEVEN_SQL.format("s_nationkey")} FROM supplier),
+    c AS (SELECT c_custkey, c_nationkey AS run, {_SEVEN_SQL.format("c_nationkey")} FROM customer),
+    m AS (SELECT c_custkey, seq, 1 AS rank FROM c JOIN s ON c_custkey = id UNION ALL SELECT c_custkey, seq, 2 FROM c JOIN s USING (run) UNION ALL SELECT c_custkey, seq, 3 FROM c JOIN s USING ({", ".join(_SEVEN)})),
+    r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY rank, seq DESC) AS n FROM m)
+    SELECT c_custkey, seq AS chosen, rank FROM c LEFT JOIN (SELECT * FROM r WHERE n = 1) USING (c_custkey)""")
 def join_17(spark, sf):
-    """Exact match first, a fallback row otherwise; of equal rank the last by sequence."""
-    reg = read(spark, sf, "nation").where("n_nationkey < 10").select(F.col("n_nationkey").alias("k"), F.lit(1).alias("rank"), F.col("n_nationkey").alias("seq"))
-    any_ = spark.createDataFrame([(-1, 2, 0)], "k int, rank int, seq int")
-    c = read(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    hits = c.join(reg, F.col("c_nationkey") == F.col("k")).unionByName(c.join(F.broadcast(any_), F.lit(True)))
-    best = selection.first_by(hits, ["c_custkey"], [F.col("rank"), F.desc("seq")])
-    return best.select("c_custkey", F.when(F.col("rank") == 1, F.col("k")).cast("int").alias("exact"), F.col("k").cast("int").alias("chosen"))
+    """The registry's last row with the same id, else the last of the same run, else the last that agrees in seven columns.
+
+    The registry is reduced to one row a key for each of the three, so no join multiplies rows.
+    """
+    seven = lambda key: [(F.col(key) % k == 0).alias(f"d{k}") for k in range(2, 9)]
+    run = F.when(F.col("s_suppkey") % 2 == 0, F.col("s_nationkey")).alias("run")
+    registry = read(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("seq"), (F.col("s_suppkey") % 64).alias("id"), run, *seven("s_nationkey"))
+    found = read(spark, sf, "customer").select("c_custkey", F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("run"), *seven("c_nationkey"))
+    for name, keys in (("exact", ["id"]), ("same_run", ["run"]), ("alike", _SEVEN)):
+        found = found.join(registry.dropna(subset=keys).groupBy(*keys).agg(F.max("seq").alias(name)), keys, "left")
+    rank = F.when(F.col("exact").isNotNull(), 1).when(F.col("same_run").isNotNull(), 2).when(F.col("alike").isNotNull(), 3)
+    return found.select("c_custkey", F.coalesce("exact", "same_run", "alike").alias("chosen"), rank.alias("rank"))
 
 
 @query("join_18", "SELECT CAST(l_suppkey AS BIGINT) AS id, count(DISTINCT l_returnflag) AS n_splits FROM lineitem GROUP BY l_suppkey HAVING count(DISTINCT l_returnflag) > 1")

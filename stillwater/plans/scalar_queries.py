@@ -160,10 +160,16 @@ def jsn_02(spark, sf):
     return read(spark, sf, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("map_01", "SELECT n_nationkey, n_nationkey AS lower, n_regionkey AS upper FROM nation")
+_METRICS = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+@query("map_01", " UNION ALL ".join(f"SELECT l_returnflag, '{m}' AS metric, CAST(min({m}) AS DOUBLE) AS lower, CAST(max({m}) AS DOUBLE) AS upper FROM lineitem GROUP BY l_returnflag" for m in _METRICS))
 def map_01(spark, sf):
-    m = F.map_from_arrays(F.array(F.lit("lower"), F.lit("upper")), F.array(F.col("n_nationkey").cast("long"), F.col("n_regionkey").cast("long")))
-    return read(spark, sf, "nation").select("n_nationkey", m["lower"].alias("lower"), m["upper"].alias("upper"))
+    """A map from each metric to its interval, one a group, and its entries as rows."""
+    interval = lambda m: F.struct(F.min(m).cast("double").alias("lower"), F.max(m).cast("double").alias("upper"))
+    intervals = F.map_from_arrays(F.array(*(F.lit(m) for m in _METRICS)), F.array(*(interval(m) for m in _METRICS)))
+    groups = read(spark, sf, "lineitem").groupBy("l_returnflag").agg(intervals.alias("intervals"))
+    return groups.select("l_returnflag", F.explode("intervals").alias("metric", "at")).select("l_returnflag", "metric", "at.lower", "at.upper")
 
 
 @query("hsh_01", "SELECT doc_id, sha256(text) AS digest FROM documents")
@@ -308,7 +314,16 @@ def smp_05(spark, sf):
     return selection.exposures(rows, ["r_name"], "n_name", 7, 32).select("r_name", "n_name", F.col("pass").cast("long").alias("pass"), F.col("place").cast("long").alias("place"))
 
 
-query("smp_07", X.ORACLE["smp_05"])(smp_05)
+@query("smp_07", "WITH r AS (SELECT c_nationkey, min(c_custkey) AS partner FROM customer GROUP BY ALL), p AS (SELECT r_name, n_name, partner, count(*) OVER (PARTITION BY r_name) AS n FROM nation JOIN region ON n_regionkey = r_regionkey JOIN r ON c_nationkey = n_nationkey), e AS (SELECT *, unnest(range(0, CAST(ceil(32 / n) AS BIGINT) + 1)) AS pass FROM p), o AS (SELECT *, row_number() OVER (PARTITION BY r_name ORDER BY pass, md5('7::' || pass || '::' || n_name), n_name) AS place FROM e) SELECT r_name, place, item, label FROM (SELECT r_name, place, n_name AS item, 1 AS label FROM o WHERE place <= 32 UNION ALL SELECT r_name, place, CAST(partner AS VARCHAR), 0 FROM o WHERE place <= 32)")
+def smp_07(spark, sf):
+    """Per method as many exposures of pairs: a manipulated item and its real partner share a place; items without a
+    partner are never exposed.
+    """
+    real = read(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.min("c_custkey").alias("partner"))
+    pairs = read(spark, sf, "nation").join(read(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).join(real, "n_nationkey")
+    shown = selection.exposures(pairs, ["r_name"], "n_name", 7, 32)
+    members = F.array(F.struct(F.col("n_name").alias("item"), F.lit(1).alias("label")), F.struct(F.col("partner").cast("string").alias("item"), F.lit(0).alias("label")))
+    return shown.select("r_name", F.col("place").cast("long").alias("place"), F.explode(members).alias("m")).select("r_name", "place", "m.item", "m.label")
 
 
 @query("smp_08", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n FROM labels WHERE quality = 1), f AS (SELECT doc_id, CAST(('0x' || substr(md5('7::' || doc_id), 1, 8)) AS BIGINT) % (SELECT max(n) FROM r) AS k FROM labels WHERE quality = 0) SELECT f.doc_id, r.doc_id AS partner FROM f JOIN r USING (k)")
