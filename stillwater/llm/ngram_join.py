@@ -72,7 +72,7 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     flat, sizes = common.word_hashes(texts, lower=True)
     n = len(flat)
     rolled = flat.copy()
-    for k in range(1, WORDS):
+    for k in range(1, min(WORDS, n)):
         rolled[: n - k] = rolled[: n - k] * _STEP + flat[k:]
     rolled = common.mix64(rolled)
     out, at = [], 0
@@ -407,6 +407,8 @@ def _named(docs: DataFrame, scratch: common.Scratch) -> DataFrame:
     links, tried, labels, still = scratch.table(small, "small"), None, None, lists.where(F.col("kind") == PREFIX)
     for k in range(ROUNDS):
         opened = _open(still, labels, scratch, f"open-{k}")
+        if opened.isEmpty():
+            break
         chosen = _neighbours(opened, nodes, k)
         if tried is not None:
             chosen = chosen.join(tried, ["u", "v"], "left_anti")
@@ -425,13 +427,15 @@ def _named(docs: DataFrame, scratch: common.Scratch) -> DataFrame:
         common.release(spark)
         if gained * ROUND_GAIN < opened.select("node").distinct().count():
             break
+    if labels is None:  # no list holds two large sets
+        labels = components(links, scratch, "components-small")
     # what different components still share
-    opened = _open(still, labels, scratch, "open")
-    left = scratch.table(_rest(opened, nodes, scratch).join(tried, ["u", "v"], "left_anti"), "left")
-    common.release(spark)
-    last = scratch.table(verified(docs, left, nodes, scratch, "last"), "last")
-    if not last.isEmpty():
-        labels = components(links.unionByName(last), scratch, "components")
+    if not opened.isEmpty() and not (opened := _open(still, labels, scratch, "open")).isEmpty():
+        left = scratch.table(_rest(opened, nodes, scratch).join(tried, ["u", "v"], "left_anti"), "left")
+        common.release(spark)
+        last = scratch.table(verified(docs, left, nodes, scratch, "last"), "last")
+        if not last.isEmpty():
+            labels = components(links.unionByName(last), scratch, "components")
     named = documents.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     return scratch.table(named.select("doc_id", "own", "n_shingles", F.col("label").cast("string").alias("label")), "named")
 

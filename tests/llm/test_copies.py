@@ -283,3 +283,18 @@ def test_long_list_of_near_boundary_sets(spark, monkeypatch):
     rows += [(1000 + k, " ".join([f"u{k}-{i}" for i in range(6 + k % 5)] + passage[:-1] + ["end"])) for k in range(0, 400, 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert table(ngram_join.linked(df), "doc_id", "n_shingles", "component_id") == brute_components(rows)
+
+
+def test_few_words_alone_in_their_partition(spark):
+    """Texts of 0 to 9 words, each in an Arrow batch of its own, beside one long text."""
+    texts = ["", *(" ".join(f"w{k}" for k in range(n)) for n in range(1, 10)), None, "w0 w1", " ".join(f"w{k}" for k in range(40))]
+    pairs = list(enumerate(texts))
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartitionByRange(len(pairs), "doc_id")
+    assert table(ngram_join.linked(df), "doc_id", "n_shingles", "component_id") == brute_components(pairs)
+    kept = {r["doc_id"] for r in ngram_join.drop_near_copies(df).collect()}
+    assert kept == {d for d, _, c in brute_components(pairs) if d == c}
+    for text in texts[:4]:
+        one = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        assert table(ngram_join.linked(one), "doc_id", "n_shingles", "component_id") == [(1, int(bool(text)), 1)]
+    for k in range(10):
+        assert [len(x) for x in ngram_join.shingle_sets([" ".join("abcdefghi"[:k])])] == [max(min(k, 1), k - 4)]
