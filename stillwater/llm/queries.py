@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stillwater.llm import decontaminate, exact_dedup, huffman, ngram_join, quality, repeats, secrets, toxicity, warc, word_bpe
+from stillwater.llm import decontaminate, exact_dedup, filter_audit, huffman, ngram_join, quality, repeats, repetition, secrets, toxicity, warc, whitening, word_bpe
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,4 +57,16 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_huffman_ids, op2_decontaminate, op3_warc, op4_toxicity, op5_word_bpe, op6_exact_dedup, op7_quality, op8_secrets, op9_repeats, op10_ngram_join)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.rules(read(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_huffman_ids, op2_decontaminate, op3_warc, op4_toxicity, op5_word_bpe, op6_exact_dedup, op7_quality, op8_secrets, op9_repeats, op10_ngram_join, op11_filter_audit, op12_repetition, op13_whitening)}

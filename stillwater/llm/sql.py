@@ -61,4 +61,56 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id))
 FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op2_decontaminate": OP2, "op6_exact_dedup": OP6, "op9_repeats": OP9, "op10_ngram_join": OP10}
+OP11 = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_PLAIN} AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS quality, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+failed AS (SELECT part, coalesce(quality, 0) AS quality, coalesce(toxic, 0) AS toxic,
+                  CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+                  + CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) THEN 4 ELSE 0 END
+                  + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > first_id THEN 16 ELSE 0 END AS mask
+           FROM d LEFT JOIN l USING (doc_id)),
+counts AS (SELECT part, mask, count(*) AS n, sum(quality) AS good, sum(toxic) AS bad FROM failed GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+           WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT o, step, substr(o, step, 1) AS x, 1 << (ascii(substr(o, step, 1)) - 65) AS own,
+                 coalesce(list_sum([1 << (ascii(substr(o, k, 1)) - 65) FOR k IN range(1, step)]), 0)::INTEGER AS before
+          FROM (SELECT o, unnest(range(1, 6)) AS step FROM orders)),
+told AS (SELECT part, o, step, x, sum(CASE WHEN mask & (before | own) = 0 THEN n ELSE 0 END) AS kept,
+                sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+                sum(CASE WHEN mask & own <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS redundant,
+                sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+                sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost,
+                sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN bad ELSE 0 END) AS toxic_lost
+         FROM counts, steps GROUP BY part, o, step, x)
+SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM told
+"""
+
+_SHARES = " OR ".join(f"100 * coalesce(c{n}, 0) > 20 * word_chars" for n in (5, 6, 7, 8, 9, 10))
+
+OP12 = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_PLAIN} AS w FROM documents),
+base AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+                CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols FROM d),
+lines AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS turn
+          FROM (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(t, chr(10)) AS l FROM d))
+          WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+copied AS (SELECT doc_id, count(*) AS n, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS chars FROM lines WHERE turn > 1 GROUP BY doc_id),
+places AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s
+           FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT unnest([3, 5, 6, 7, 8, 9, 10]) AS n) WHERE len(w) >= n)),
+seen AS (SELECT doc_id, n, i, row_number() OVER (PARTITION BY doc_id, n, s ORDER BY i) AS turn, count(*) OVER (PARTITION BY doc_id, n, s) AS times FROM places),
+inside AS (SELECT DISTINCT doc_id, n, unnest(range(i, i + n)) AS k FROM seen WHERE (n = 3 AND times > 1) OR (n > 3 AND turn > 1)),
+sums AS (SELECT doc_id, n, count(*) AS words, sum(length(w[k])) AS chars FROM inside JOIN d USING (doc_id) GROUP BY doc_id, n),
+wide AS (SELECT doc_id, max(words) FILTER (n = 3) AS repeated, {", ".join(f"max(chars) FILTER (n = {n}) AS c{n}" for n in (5, 6, 7, 8, 9, 10))} FROM sums GROUP BY doc_id),
+full_rows AS (SELECT *, n_words < 50 OR 100 * coalesce(repeated, 0) > 50 * n_words AS base_failed
+              FROM base LEFT JOIN copied USING (doc_id) LEFT JOIN wide USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(coalesce(n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeated, 0) AS BIGINT) AS n_repeat_words,
+       CAST(coalesce(chars, 0) AS BIGINT) AS dup_line_chars, {", ".join(f"CAST(coalesce(c{n}, 0) AS BIGINT) AS dup_chars_{n}" for n in (5, 6, 7, 8, 9, 10))},
+       base_failed, NOT (base_failed OR 100 * coalesce(chars, 0) > 20 * word_chars OR {_SHARES}) AS kept
+FROM full_rows
+"""
+
+ORACLE: dict[str, str] = {"op2_decontaminate": OP2, "op6_exact_dedup": OP6, "op9_repeats": OP9, "op10_ngram_join": OP10, "op11_filter_audit": OP11, "op12_repetition": OP12}
