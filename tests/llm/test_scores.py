@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 
+import pytest
 
 from stillwater.llm import labelled, quality, secrets, toxicity
 
@@ -66,7 +67,8 @@ def test_noisy_or_is_brute_force(spark):
             if words:
                 logit = model.bias + sum(model.weights.get(x, 0) for w in words for x in toxicity.features(w.encode()))
                 stay *= 1 - 1 / (1 + math.exp(-logit))
-        assert abs(toxicity.score_bags(model, [toxicity.bag(text)])[0] - (1 - stay)) < 1e-9
+        noisy_or, cut = 1 - stay, model.cut
+        assert abs(toxicity.score_bags(model, [toxicity.bag(text)])[0] - noisy_or * (1 - cut) / (noisy_or * (1 - cut) + stay * cut)) < 1e-9
 
 
 def test_quality(spark):
@@ -144,3 +146,13 @@ def test_words_are_no_secrets(docs):
     assert sum(r["n_random"] for r in secrets.scan(docs, secrets.train(docs)).collect()) == 0
 
 
+
+
+@pytest.mark.parametrize("sf, least", [("sf0.01", 0.6), ("sf0.1", 0.85)])
+def test_toxicity_of_the_given_tables(spark, sf, least):
+    """Recall over held-out rows, of 51 and of 449 toxic labels in all, and clean rows that are left alone."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.score(docs, toxicity.train(docs, labels)).where("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
+    toxic = [r["predicted"] for r in got if r["toxic"] == 1]
+    clean = [r["predicted"] for r in got if r["toxic"] == 0]
+    assert sum(toxic) >= least * len(toxic) and sum(clean) <= 0.01 * len(clean)
