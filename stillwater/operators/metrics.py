@@ -85,13 +85,22 @@ def roc_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
     return out.join(acc, keys)
 
 
-def fan_out(rows: DataFrame) -> DataFrame:
-    """Each row once a metric group: real videos of the first dataset belong to all five groups, manipulated ones to
-    their method's and the pooled one; the second dataset has the pooled group alone.  Validation rows take no part.
+def groups_of() -> Column:
+    """The metric groups of a row: real videos of the first dataset belong to all five, manipulated ones to their method's and
+    the pooled one; the second dataset has the pooled group alone.
     """
     methods = F.array(*(F.lit(m) for m in METHODS), F.lit("pooled"))
-    groups = F.when(F.col("dataset") == "second", F.array(F.lit("pooled"))).when(F.col("study_label") == 0, methods).otherwise(F.array("manipulation", F.lit("pooled")))
-    return rows.where(~((F.col("dataset") == "first") & (F.col("role") == "validation"))).withColumn("metric_group", F.explode(groups))
+    return F.when(F.col("dataset") == "second", F.array(F.lit("pooled"))).when(F.col("study_label") == 0, methods).otherwise(F.array("manipulation", F.lit("pooled")))
+
+
+def evaluated() -> Column:
+    """False for validation rows, which take no part in any metric."""
+    return ~((F.col("dataset") == "first") & (F.col("role") == "validation"))
+
+
+def fan_out(rows: DataFrame) -> DataFrame:
+    """Each row once a metric group."""
+    return rows.where(evaluated()).withColumn("metric_group", F.explode(groups_of()))
 
 
 GROUP_KEYS = ["detector", "dataset", "role", "condition", "metric_group"]

@@ -312,7 +312,7 @@ def sup_10(spark, sf):
     return clean.join(bad, ["detector", "condition", "video"], "full").where("a is null or b is null").select("detector", "condition", "video", F.col("a").isNull().alias("only_degraded"))
 
 
-@query("sup_13", f"WITH {X.PAIRS}, u AS (SELECT detector, condition, video, video_score, clean_score, row_number() OVER (PARTITION BY detector, condition ORDER BY video) - 1 AS k, count(*) OVER (PARTITION BY detector, condition) AS n FROM pairs WHERE role = 'test' AND study_label = 0), d AS (SELECT detector, condition, i, CAST(('0x' || substr(md5('1024::pair::0::real::' || i), 1, 8)) AS BIGINT) % n AS k FROM (SELECT *, unnest(range(0, n)) AS i FROM (SELECT DISTINCT detector, condition, n FROM u))) SELECT detector, condition, i, video, round(video_score, 9) AS video_score, round(clean_score, 9) AS clean_score FROM d JOIN u USING (detector, condition, k)")
+@query("sup_13", f"WITH {X.PAIRS}, u AS (SELECT detector, condition, video, video_score, clean_score, row_number() OVER (PARTITION BY detector, condition ORDER BY CAST(video AS VARCHAR)) - 1 AS k, count(*) OVER (PARTITION BY detector, condition) AS n FROM pairs WHERE role = 'test' AND study_label = 0), d AS (SELECT detector, condition, i, CAST(('0x' || substr(md5('1024::pair::0::real::' || i), 1, 8)) AS BIGINT) % n AS k FROM (SELECT *, unnest(range(0, n)) AS i FROM (SELECT DISTINCT detector, condition, n FROM u))) SELECT detector, condition, i, video, round(video_score, 9) AS video_score, round(clean_score, 9) AS clean_score FROM d JOIN u USING (detector, condition, k)")
 def sup_13(spark, sf):
     """Both sides of a class, materialised from one draw."""
     rows = metrics.pairs(X.decisions(spark, sf)).where("role = 'test' and study_label = 0").select("detector", "condition", "video", "video_score", "clean_score").withColumn("stratum", F.lit("real"))

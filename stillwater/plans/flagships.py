@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stillwater.functions import scalars as S
-from stillwater.operators import metrics, resampling, thresholds, videos
+from stillwater.operators import metrics, replicates as blocks, resampling, thresholds, videos
 from stillwater.plans import fixtures as X
 from stillwater.plans.fixtures import query, r9, read
 
-#: Replicates of the queries that are compared with SQL, and of the whole job.
-REPLICATES, WHOLE = 20, 2000
+#: The study's number of replicates.
+REPLICATES = 2000
 
 
 @query("f1_video_scores", f"WITH {X.VIDEOS} SELECT detector, dataset, role, video, condition, n AS clean_valid_frame_count, n_ok AS successful_frame_count, round(video_score, 9) AS video_score, CASE WHEN video_score IS NULL THEN 'invalid_condition' ELSE 'ok' END AS inference_status, CASE WHEN video_score IS NULL THEN 'failed frame' END AS failure_reason FROM videos")
@@ -37,41 +37,65 @@ def f4_paired_deltas(spark, sf):
     return r9(metrics.paired_deltas(X.decisions(spark, sf)))
 
 
-def _resampled_sql(source: str, context: str, stream: str, name: str) -> str:
+#: Units of draws in SQL: the video, or the source that twelve videos in a row share.
+_VIDEO = "CAST(video AS VARCHAR)"
+_CLUSTER = "CASE WHEN dataset = 'first' THEN 'source::' || (video // 12) ELSE 'base::' || video END"
+
+
+def _resampled_sql(source: str, context: str, stream: str, name: str, unit: str = _VIDEO) -> str:
     """Rows of source with replicate and weight, by the portable draw."""
-    return f"""{name}_s AS (SELECT *, CASE WHEN study_label = 0 THEN 'real' WHEN manipulation <> '' THEN manipulation ELSE 'manipulated' END AS stratum FROM {source}),
-{name}_u AS (SELECT *, row_number() OVER (PARTITION BY {context}, stratum ORDER BY video) - 1 AS k, count(*) OVER (PARTITION BY {context}, stratum) AS n FROM (SELECT DISTINCT {context}, stratum, video FROM {name}_s)),
-{name}_d AS (SELECT {context}, stratum, replicate, CAST(('0x' || substr(md5('1024::{stream}::' || replicate || '::' || stratum || '::' || i), 1, 8)) AS BIGINT) % n AS k
+    return f"""{name}_s AS MATERIALIZED (SELECT *, {unit} AS unit, CASE WHEN study_label = 0 THEN 'real' WHEN manipulation <> '' THEN manipulation ELSE 'manipulated' END AS stratum FROM {source}),
+{name}_u AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {context}, stratum ORDER BY unit) - 1 AS k, count(*) OVER (PARTITION BY {context}, stratum) AS n FROM (SELECT DISTINCT {context}, stratum, unit FROM {name}_s)),
+{name}_d AS MATERIALIZED (SELECT {context}, stratum, replicate, CAST(('0x' || substr(md5('1024::{stream}::' || replicate || '::' || stratum || '::' || i), 1, 8)) AS BIGINT) % n AS k
   FROM (SELECT *, unnest(range(0, n)) AS i FROM (SELECT {context}, stratum, n, unnest(range(0, {REPLICATES})) AS replicate FROM (SELECT {context}, stratum, max(n) AS n FROM {name}_u GROUP BY ALL)))),
-{name}_w AS (SELECT {context}, stratum, replicate, k, count(*) AS w FROM {name}_d GROUP BY ALL),
-{name} AS (SELECT s.*, w.replicate, w.w FROM {name}_s s JOIN {name}_u u USING ({context}, stratum, video) JOIN {name}_w w USING ({context}, stratum, k))"""
+{name}_w AS MATERIALIZED (SELECT {context}, stratum, replicate, k, count(*) AS w FROM {name}_d GROUP BY ALL),
+{name} AS MATERIALIZED (SELECT s.*, w.replicate, w.w FROM {name}_s s JOIN {name}_u u USING ({context}, stratum, unit) JOIN {name}_w w USING ({context}, stratum, k))"""
 
 
-def _weighted_cut(source: str) -> str:
-    return f"""rh AS (SELECT detector, replicate, video_score AS score, sum(w) AS n FROM {source} GROUP BY ALL),
-rc AS (SELECT *, sum(n) OVER (PARTITION BY detector, replicate ORDER BY score DESC) AS c, sum(n) OVER (PARTITION BY detector, replicate) AS t FROM rh),
-rcut AS (SELECT detector, replicate, coalesce(min(CASE WHEN c <= (5 * t) // 100 THEN score END), nextafter(max(score), 'infinity'::DOUBLE)) AS rt FROM rc GROUP BY ALL)"""
+def _weighted_cut(source: str, keys: str = "detector, replicate", score: str = "video_score", name: str = "rcut") -> str:
+    return f"""{name}_h AS (SELECT {keys}, {score} AS score, sum(w) AS n FROM {source} GROUP BY ALL),
+{name}_c AS (SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY score DESC) AS c, sum(n) OVER (PARTITION BY {keys}) AS t FROM {name}_h),
+{name} AS (SELECT {keys}, coalesce(min(CASE WHEN c <= (5 * t) // 100 THEN score END), nextafter(max(score), 'infinity'::DOUBLE)) AS rt FROM {name}_c GROUP BY ALL)"""
 
 
 _CONTEXT = "detector, dataset, role, condition"
 _FANNED = "unnest(CASE WHEN dataset = 'second' THEN ['pooled'] WHEN study_label = 0 THEN ['M1', 'M2', 'M3', 'M4', 'pooled'] ELSE [manipulation, 'pooled'] END) AS metric_group"
 _RGROUP = f"{X.GROUP}, replicate"
-_ABS = f"""{X.DECISIONS}, {_resampled_sql("calib", "detector", "primary_clean_validation", "cs")}, {_weighted_cut("cs")},
-scored AS (SELECT * FROM decisions WHERE video_score IS NOT NULL), {_resampled_sql("scored", _CONTEXT, "absolute", "rs")},
-rf AS (SELECT rs.* EXCLUDE (decision), CAST(video_score >= rt AS INTEGER) AS decision, {_FANNED} FROM rs JOIN rcut USING (detector, replicate) WHERE NOT (dataset = 'first' AND role = 'validation')),
+_RATED = f"""(SELECT * FROM rcut) AS at_cut USING (detector, replicate) WHERE NOT (dataset = 'first' AND role = 'validation')"""
+
+
+def _absolute_sql(unit: str = _VIDEO) -> str:
+    """After DECISIONS: a and e, the AUC and the rates of each group and replicate."""
+    return f"""{_resampled_sql("calib", "detector", "primary_clean_validation", "cs", unit)}, {_weighted_cut("cs")},
+scored AS (SELECT * FROM decisions WHERE video_score IS NOT NULL), {_resampled_sql("scored", _CONTEXT, "absolute", "rs", unit)},
+rf AS (SELECT rs.* EXCLUDE (decision), CAST(video_score >= rt AS INTEGER) AS decision, {_FANNED} FROM rs JOIN {_RATED}),
 {X.auc_sql("rf", _RGROUP, "video_score", "study_label", "a", "w")}, {X.rates_sql("rf", _RGROUP, "study_label", "decision", "e", "w")}"""
-_PAIRED = f"""{X.PAIRS}, {_resampled_sql("calib", "detector", "primary_clean_validation", "cs")}, {_weighted_cut("cs")}, {_resampled_sql("pairs", _CONTEXT, "paired", "rs")},
-rf AS (SELECT rs.* EXCLUDE (decision, clean_decision), CAST(video_score >= rt AS INTEGER) AS decision, CAST(clean_score >= rt AS INTEGER) AS clean_decision, {_FANNED} FROM rs JOIN rcut USING (detector, replicate) WHERE NOT (dataset = 'first' AND role = 'validation')),
-{X.auc_sql("rf", _RGROUP, "video_score", "study_label", "a", "w")}, {X.rates_sql("rf", _RGROUP, "study_label", "decision", "e", "w")},
-{X.auc_sql("rf", _RGROUP, "clean_score", "study_label", "ca", "w")}, {X.rates_sql("rf", _RGROUP, "study_label", "clean_decision", "ce", "w")}"""
 
 
-def _interval_sql(names: list[str], source: str) -> str:
-    return f"SELECT {X.GROUP}, count(*) AS n_replicates, " + ", ".join(f"round(quantile_cont({m}, {p}), 9) AS {m}_{side}" for m in names for p, side in ((0.025, "lower"), (0.975, "upper"))) + f" FROM ({source}) GROUP BY ALL"
+def _paired_sql(unit: str = _VIDEO) -> str:
+    """After PAIRS: pa, pe, ca and ce, the AUC and the rates of the degraded and the clean side."""
+    return f"""{_resampled_sql("calib", "detector", "primary_clean_validation", "pcs", unit)}, {_weighted_cut("pcs", name="pcut")}, {_resampled_sql("pairs", _CONTEXT, "paired", "ps", unit)},
+pf AS (SELECT ps.* EXCLUDE (decision, clean_decision), CAST(video_score >= rt AS INTEGER) AS decision, CAST(clean_score >= rt AS INTEGER) AS clean_decision, {_FANNED} FROM ps JOIN {_RATED.replace("rcut", "pcut")}),
+{X.auc_sql("pf", _RGROUP, "video_score", "study_label", "pa", "w")}, {X.rates_sql("pf", _RGROUP, "study_label", "decision", "pe", "w")},
+{X.auc_sql("pf", _RGROUP, "clean_score", "study_label", "ca", "w")}, {X.rates_sql("pf", _RGROUP, "study_label", "clean_decision", "ce", "w")}"""
+
+
+_DISPLACED = f"""diag AS (SELECT b.detector, b.condition, b.video, b.study_label, b.manipulation, b.video_score, c.video_score AS clean_score FROM videos b JOIN calib c USING (detector, video)
+  WHERE b.dataset = 'first' AND b.role = 'validation' AND b.study_label = 0 AND b.condition <> 'CLN' AND b.video_score IS NOT NULL),
+{_resampled_sql("diag", "detector, condition", "diagnostic", "ds")}, {_weighted_cut("ds", "detector, condition, replicate", "video_score", "own")}, {_weighted_cut("ds", "detector, condition, replicate", "clean_score", "ref")},
+moved AS (SELECT detector, condition, replicate, own.rt - ref.rt AS displacement FROM own JOIN ref USING (detector, condition, replicate))"""
+
+_ABS = f"{X.DECISIONS}, {_absolute_sql()}"
+_PAIRED = f"{X.PAIRS}, {_paired_sql()}"
+
+
+def _interval_sql(names: list[str], source: str, keys: str = X.GROUP) -> str:
+    return f"SELECT {keys}, count(*) AS n_replicates, " + ", ".join(f"round(quantile_cont({m}, {p}), 9) AS {m}_{side}" for m in names for p, side in ((0.025, "lower"), (0.975, "upper"))) + f" FROM ({source}) GROUP BY ALL"
 
 
 _ABS_VALUES = f"SELECT {_RGROUP}, auc, fpr, fnr, hter FROM a JOIN e USING ({_RGROUP})"
-_PAIR_VALUES = f"SELECT {_RGROUP}, a.auc - ca.auc AS delta_auc, e.fpr - ce.fpr AS delta_fpr, e.fnr - ce.fnr AS delta_fnr, e.hter - ce.hter AS delta_hter FROM a JOIN e USING ({_RGROUP}) JOIN ca USING ({_RGROUP}) JOIN ce USING ({_RGROUP})"
+_PAIR_VALUES = f"SELECT {_RGROUP}, pa.auc - ca.auc AS delta_auc, pe.fpr - ce.fpr AS delta_fpr, pe.fnr - ce.fnr AS delta_fnr, pe.hter - ce.hter AS delta_hter FROM pa JOIN pe USING ({_RGROUP}) JOIN ca USING ({_RGROUP}) JOIN ce USING ({_RGROUP})"
+_ABS_NAMES, _PAIR_NAMES = ["auc", "fpr", "fnr", "hter"], ["delta_auc", "delta_fpr", "delta_fnr", "delta_hter"]
 
 
 def _calibrated(spark, sf):
@@ -88,7 +112,7 @@ def f5_bootstrap(spark, sf):
 @query("bst_07", f"WITH {_ABS} SELECT {_RGROUP}, round(auc, 9) AS auc, round(fpr, 9) AS fpr, round(fnr, 9) AS fnr, round(hter, 9) AS hter FROM a JOIN e USING ({_RGROUP})")
 def bst_07(spark, sf):
     decided, calib = _calibrated(spark, sf)
-    return r9(resampling.absolute(decided, calib, REPLICATES).select(*metrics.GROUP_KEYS, "replicate", "auc", "fpr", "fnr", "hter"))
+    return r9(resampling.absolute(decided, calib, REPLICATES).select(*metrics.GROUP_KEYS, F.col("replicate").cast("long").alias("replicate"), "auc", "fpr", "fnr", "hter"))
 
 
 @query("bst_08", f"WITH {_PAIRED} {_interval_sql(['delta_auc', 'delta_fpr', 'delta_fnr', 'delta_hter'], _PAIR_VALUES)}")
@@ -99,32 +123,96 @@ def bst_08(spark, sf):
 
 @query("bst_10", f"WITH {X.CUT}, {_resampled_sql('calib', 'detector', 'primary_clean_validation', 'cs')}, {_weighted_cut('cs')} SELECT detector, replicate, round(rt, 9) AS threshold_value FROM rcut")
 def bst_10(spark, sf):
-    return r9(resampling.replicate_thresholds(X.calibration(X.video_scores(spark, sf)), REPLICATES, 1024).select("detector", "replicate", "threshold_value"))
+    return r9(resampling.replicate_thresholds(X.calibration(X.video_scores(spark, sf)), REPLICATES, 1024).select("detector", F.col("replicate").cast("long").alias("replicate"), "threshold_value"))
 
 
-@query("bst_03", f"WITH {X.CUT}, {_resampled_sql('calib', 'detector', 'x', 'cs')} SELECT detector, stratum, video, k, n FROM cs_u")
+@query("bst_03", f"WITH {X.CUT}, {_resampled_sql('calib', 'detector', 'x', 'cs')} SELECT detector, stratum, CAST(unit AS BIGINT) AS video, k, n FROM cs_u")
 def bst_03(spark, sf):
     return resampling.units(X.calibration(X.video_scores(spark, sf)).withColumn("stratum", resampling.stratum()), ["detector"]).select("detector", "stratum", "video", F.col("k").cast("long").alias("k"), "n")
 
 
-@query("f5_bootstrap_whole", None)
-def f5_bootstrap_whole(spark, sf):
-    """The reference's 2000 replicates."""
-    decided, calib = _calibrated(spark, sf)
-    return r9(resampling.intervals(resampling.absolute(decided, calib, WHOLE), metrics.GROUP_KEYS, ["auc", "fpr", "fnr", "hter"]))
+for _alias, _target in (("f5_bootstrap_whole", "f5_bootstrap"), ("bst_14_whole", "f5_bootstrap"), ("bst_08_whole", "bst_08"), ("bst_12_whole", "bst_08")):
+    query(_alias, X.ORACLE[_target])(X.QUERIES[_target])
+
 
+def _clustered(decided):
+    """Twelve videos in a row share a source, so a source is in several strata and has several videos in one."""
+    return decided.withColumn("source", F.expr("video div 12")).withColumn("cluster", resampling.cluster())
 
-query("bst_14_whole", None)(f5_bootstrap_whole)
 
+@query("bst_11", f"WITH {X.DECISIONS}, {_absolute_sql(_CLUSTER)} {_interval_sql(_ABS_NAMES, _ABS_VALUES)}")
+def bst_11(spark, sf):
+    """Method groups and the pooled one over one draw of source units, each of which serves several videos."""
+    decided, calib = map(_clustered, _calibrated(spark, sf))
+    return r9(resampling.intervals(resampling.absolute(decided, calib, REPLICATES, unit="cluster"), metrics.GROUP_KEYS, _ABS_NAMES))
 
-@query("bst_08_whole", None)
-def bst_08_whole(spark, sf):
-    """The reference's 2000 replicates."""
+
+@query("bst_12", f"WITH {X.PAIRS}, {_paired_sql(_CLUSTER)} {_interval_sql(_PAIR_NAMES, _PAIR_VALUES)}")
+def bst_12(spark, sf):
+    """The paired form: one draw of source units for the clean and the degraded side of all groups."""
+    decided, calib = map(_clustered, _calibrated(spark, sf))
+    return r9(resampling.intervals(resampling.paired(decided, calib, REPLICATES, unit="cluster"), metrics.GROUP_KEYS, _PAIR_NAMES))
+
+
+def _moved(spark, sf, scores):
+    clean = X.calibration(scores).select("detector", "video", F.col("video_score").alias("clean_score"))
+    return scores.where("dataset = 'first' and role = 'validation' and study_label = 0 and condition <> 'CLN' and video_score is not null").select("detector", "condition", "video", "video_score").join(clean, ["detector", "video"])
+
+
+@query("bst_09", f"WITH {X.CUT}, {_DISPLACED} {_interval_sql(['displacement'], 'SELECT * FROM moved', 'detector, condition')}")
+def bst_09(spark, sf):
+    """Interval of the displacement of each condition's own operating point, one draw a replicate for both sides."""
+    moved = resampling.displaced(_moved(spark, sf, X.stored(X.video_scores(spark, sf), "scores")), REPLICATES)
+    return r9(resampling.intervals(moved, ["detector", "condition"], ["displacement"]))
+
+
+def _long_sql(kind: str, names: list[str], keys: str) -> str:
+    """One row a metric of an interval table and its point estimates."""
+    return " UNION ALL ".join(f"SELECT '{kind}' AS kind, {keys}, '{m}' AS metric, n_replicates, round({m}, 9) AS estimate, {m}_lower AS lower, {m}_upper AS upper FROM {kind}_i JOIN {kind}_e USING ({keys})" for m in names)
+
+
+_POINTS = f"""{X.auc_sql('ufan', X.GROUP, 'video_score', 'study_label', 'fa')}, {X.rates_sql('ufan', X.GROUP, 'study_label', 'decision', 'fe')},
+{X.auc_sql('pfan', X.GROUP, 'video_score', 'study_label', 'ga')}, {X.rates_sql('pfan', X.GROUP, 'study_label', 'decision', 'ge')}, {X.auc_sql('pfan', X.GROUP, 'clean_score', 'study_label', 'ha')}, {X.rates_sql('pfan', X.GROUP, 'study_label', 'clean_decision', 'he')},
+absolute_e AS (SELECT {X.GROUP}, auc, fpr, fnr, hter FROM fa JOIN fe USING ({X.GROUP})),
+paired_e AS (SELECT {X.GROUP}, ga.auc - ha.auc AS delta_auc, ge.fpr - he.fpr AS delta_fpr, ge.fnr - he.fnr AS delta_fnr, ge.hter - he.hter AS delta_hter FROM ga JOIN ge USING ({X.GROUP}) JOIN ha USING ({X.GROUP}) JOIN he USING ({X.GROUP})),
+{X.threshold_sql('diag', 'detector, condition', 'video_score', 'down')}, {X.threshold_sql('diag', 'detector, condition', 'clean_score', 'dref')},
+diagnostic_e AS (SELECT detector, condition, down.threshold_value - dref.threshold_value AS displacement FROM down JOIN dref USING (detector, condition))"""
+_ARTIFACT = f"""WITH {X.PAIRS}, {_absolute_sql()}, {_paired_sql()}, {_DISPLACED}, ufan AS (SELECT *, {_FANNED} FROM scored WHERE NOT (dataset = 'first' AND role = 'validation')), {_POINTS},
+absolute_i AS ({_interval_sql(_ABS_NAMES, _ABS_VALUES)}), paired_i AS ({_interval_sql(_PAIR_NAMES, _PAIR_VALUES)}), diagnostic_i AS ({_interval_sql(['displacement'], 'SELECT * FROM moved', 'detector, condition')})
+{_long_sql('absolute', _ABS_NAMES, X.GROUP)} UNION ALL {_long_sql('paired', _PAIR_NAMES, X.GROUP)}
+UNION ALL SELECT 'diagnostic' AS kind, detector, NULL AS dataset, NULL AS role, condition, NULL AS metric_group, 'displacement' AS metric, n_replicates, round(displacement, 9) AS estimate, displacement_lower AS lower, displacement_upper AS upper FROM diagnostic_i JOIN diagnostic_e USING (detector, condition)"""
+
+
+@query("bst_14", _ARTIFACT)
+def bst_14(spark, sf):
+    """The whole artifact: estimates and intervals of the absolute, paired and diagnostic parts, a row a metric."""
     decided, calib = _calibrated(spark, sf)
-    return r9(resampling.intervals(resampling.paired(decided, calib, WHOLE), metrics.GROUP_KEYS, ["delta_auc", "delta_fpr", "delta_fnr", "delta_hter"]))
+    moved = X.stored(_moved(spark, sf, decided), "moved")
+    own, clean = (thresholds.low_fpr(moved.withColumn("score", F.col(c)), ["detector", "condition"]).select("detector", "condition", F.col("threshold_value").alias(c)) for c in ("video_score", "clean_score"))
+    rows = metrics.fan_out(decided.where(F.col("video_score").isNotNull()))
+    parts = {
+        "absolute": (resampling.absolute(decided, calib, REPLICATES), metrics.bundle(rows, metrics.GROUP_KEYS), metrics.GROUP_KEYS, _ABS_NAMES),
+        "paired": (resampling.paired(decided, calib, REPLICATES), metrics.paired_deltas(decided), metrics.GROUP_KEYS, _PAIR_NAMES),
+        "diagnostic": (resampling.displaced(moved, REPLICATES), own.join(clean, ["detector", "condition"]).withColumn("displacement", F.col("video_score") - F.col("clean_score")), ["detector", "condition"], ["displacement"]),
+    }
+    out = None
+    for kind, (values, points, keys, names) in parts.items():
+        joined = resampling.intervals(values, keys, names).join(points.select(*keys, *names), keys)
+        cells = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("estimate"), F.col(f"{m}_lower").alias("lower"), F.col(f"{m}_upper").alias("upper")) for m in names))
+        known = [F.col(k) if k in keys else F.lit(None).cast("string").alias(k) for k in metrics.GROUP_KEYS]
+        part = joined.select(F.lit(kind).alias("kind"), *known, "n_replicates", F.inline(cells))
+        out = part if out is None else out.unionByName(part)
+    return r9(out)
 
 
-query("bst_12_whole", None)(bst_08_whole)
+@query("bst_05_twister", f"WITH {X.CUT}, u AS (SELECT detector, dataset, {_CLUSTER} AS unit FROM calib), n AS (SELECT detector, count(DISTINCT unit) AS n FROM u GROUP BY ALL) SELECT detector, 'real' AS stratum, CAST(replicate AS INTEGER) AS replicate, CAST(n AS BIGINT) AS drawn FROM (SELECT detector, n, unnest(range(0, {REPLICATES})) AS replicate FROM n)")
+def bst_05_twister(spark, sf):
+    """How many units each replicate drew by the Mersenne Twister: as many as the stratum has.  Which ones it drew is compared
+    with Python's generator in the tests; SQL has no such generator.
+    """
+    calib = _clustered(X.calibration(X.video_scores(spark, sf))).withColumn("stratum", resampling.stratum()).withColumn("unit", F.col("cluster"))
+    drawn = blocks.draw_counts(calib, ["detector"], REPLICATES, 1024, "primary_clean_validation")
+    return drawn.groupBy("detector", "stratum", "replicate").agg(F.sum("w").alias("drawn"))
 
 
 @query("bst_04", f"WITH {X.CUT}, {_resampled_sql('calib', 'detector', 'x', 'cs')} SELECT detector, stratum, replicate, k, w FROM cs_w")
@@ -223,7 +311,7 @@ def agg_19(spark, sf):
     return r9(thresholds.low_fpr(tied(spark, sf).where("label = 0"), ["detector"], 20, 100))
 
 
-for _alias, _target in (("agg_13", "f3_absolute_metrics"), ("agg_14", "f3_absolute_metrics"), ("agg_15", "f3_absolute_metrics"), ("agg_16", "f4_paired_deltas"), ("agg_02", "f1_video_scores"), ("agg_20", "f2_operating_point"), ("bst_11", "bst_07"), ("bst_12", "bst_08"), ("bst_14", "f5_bootstrap")):
+for _alias, _target in (("agg_13", "f3_absolute_metrics"), ("agg_14", "f3_absolute_metrics"), ("agg_15", "f3_absolute_metrics"), ("agg_16", "f4_paired_deltas"), ("agg_02", "f1_video_scores"), ("agg_20", "f2_operating_point")):
     query(_alias, X.ORACLE[_target])(X.QUERIES[_target])
 
 

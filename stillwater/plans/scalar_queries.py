@@ -279,10 +279,11 @@ def snk_07(spark, sf):
 
 
 # bootstrap pieces and sampling
-@query("bst_02", f"WITH {X.BASE} SELECT DISTINCT video, CASE WHEN dataset = 'first' THEN 'source' ELSE 'base' END || '::' || video AS unit FROM base")
+@query("bst_02", f"WITH {X.BASE} SELECT stratum, unit, count(*) AS n_videos FROM (SELECT DISTINCT video, CASE WHEN study_label = 0 THEN 'real' WHEN manipulation <> '' THEN manipulation ELSE 'manipulated' END AS stratum, CASE WHEN dataset = 'first' THEN 'source::' || (video // 12) ELSE 'base::' || video END AS unit FROM base) GROUP BY ALL")
 def bst_02(spark, sf):
-    unit = F.concat_ws("::", F.when(F.col("dataset") == "first", "source").otherwise("base"), F.col("video").cast("string"))
-    return X.base(spark, sf).select("video", unit.alias("unit")).distinct()
+    """Sampling keys (stratum, unit): a source has several videos, in several strata."""
+    rows = X.base(spark, sf).withColumn("source", F.expr("video div 12"))
+    return rows.select("video", resampling.stratum().alias("stratum"), resampling.cluster().alias("unit")).distinct().groupBy("stratum", "unit").agg(F.count("*").alias("n_videos"))
 
 
 @query("smp_01", "SELECT c_custkey, row_number() OVER (ORDER BY md5('7::' || c_custkey), c_custkey) <= 288 AS fit FROM customer")
@@ -369,19 +370,3 @@ def qc_15(spark, sf):
     lines, orders = read(spark, sf, "lineitem"), read(spark, sf, "orders")
     known = lines.select("l_orderkey").distinct().join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti")
     return checks.audit({"unique_line": checks.repeated_keys(lines, ["l_orderkey", "l_linenumber"]), "orders_known": known, "one_role": checks.not_constant(X.base(spark, sf), ["video"], "role")})
-
-
-@query("bst_09", None)
-def bst_09(spark, sf):
-    """Interval of the displacement of each condition's own threshold, one draw a replicate for both sides."""
-    scores = X.video_scores(spark, sf)
-    clean = X.calibration(scores).select("detector", "video", F.col("video_score").alias("clean"))
-    rows = scores.where("dataset = 'first' and role = 'validation' and study_label = 0 and condition <> 'CLN' and video_score is not null").select("detector", "condition", "video", "video_score").join(clean, ["detector", "video"])
-    from stillwater.operators import thresholds
-
-    drawn = resampling.resampled(rows.withColumn("stratum", F.lit("real")), ["detector", "condition"], 2000, 1024, "diagnostic")
-    keys = ["detector", "condition", "replicate"]
-    own = thresholds.low_fpr(drawn.withColumn("score", F.col("video_score")), keys, weight="w").select(*keys, F.col("threshold_value").alias("own"))
-    ref = thresholds.low_fpr(drawn.withColumn("score", F.col("clean")), keys, weight="w").select(*keys, F.col("threshold_value").alias("ref"))
-    moved = own.join(ref, keys).withColumn("displacement", F.col("own") - F.col("ref"))
-    return r9(resampling.intervals(moved, ["detector", "condition"], ["displacement"]))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stillwater.operators import metrics, resampling
 from stillwater.plans import fixtures as X
 from stillwater.plans.fixtures import query, r9
-from stillwater.plans.flagships import _ABS, _RGROUP, REPLICATES, _calibrated, _resampled_sql
+from stillwater.plans.flagships import _ABS_VALUES, _PAIR_VALUES, _RGROUP, REPLICATES, _absolute_sql, _calibrated, _paired_sql, _resampled_sql
 
 _VIDEO = "detector, dataset, role, video, condition"
 
@@ -73,12 +73,21 @@ def bst_06(spark, sf):
     return numbered.join(drawn.select("detector", "stratum", "replicate", "k", "w"), ["detector", "stratum", "k"]).select("detector", "stratum", "video", F.col("replicate").cast("long").alias("replicate"), "w")
 
 
-@query("bst_13", f"WITH {_ABS} SELECT {_RGROUP}, round(auc, 9) AS auc, round(fpr, 9) AS fpr, round(fnr, 9) AS fnr, round(hter, 9) AS hter FROM a JOIN e USING ({_RGROUP}) WHERE dataset = 'second'")
+_SECOND = "WHERE dataset = 'second'"
+_ZERO = "CASE WHEN abs({0}) < 5e-10 THEN 0.0 ELSE round({0}, 9) END"  # no difference is 0, never -0
+
+
+@query("bst_13", f"WITH {X.PAIRS}, {_absolute_sql()}, {_paired_sql()} SELECT 'absolute' AS kind, {_RGROUP}, round(auc, 9) AS auc, round(fpr, 9) AS fpr, round(fnr, 9) AS fnr, round(hter, 9) AS hter FROM ({_ABS_VALUES}) {_SECOND} UNION ALL SELECT 'paired' AS kind, {_RGROUP}, {_ZERO.format('delta_auc')}, {_ZERO.format('delta_fpr')}, {_ZERO.format('delta_fnr')}, {_ZERO.format('delta_hter')} FROM ({_PAIR_VALUES}) {_SECOND}")
 def bst_13(spark, sf):
-    """The second dataset has one pooled group."""
+    """The second dataset has one pooled group: its metrics and its paired deltas in every replicate."""
     decided, calib = _calibrated(spark, sf)
-    out = resampling.absolute(decided.where("dataset = 'second'"), calib, REPLICATES)
-    return r9(out.select(*metrics.GROUP_KEYS, "replicate", "auc", "fpr", "fnr", "hter"))
+    second = decided.where("dataset = 'second'")
+    names = ["auc", "fpr", "fnr", "hter"]
+    parts = {"absolute": resampling.absolute(second, calib, REPLICATES), "paired": resampling.paired(second, calib, REPLICATES)}
+    columns = {"absolute": names, "paired": [f"delta_{m}" for m in names]}
+    out = [p.select(F.lit(k).alias("kind"), *metrics.GROUP_KEYS, F.col("replicate").cast("long").alias("replicate"), *(F.col(c).alias(m) for m, c in zip(names, columns[k], strict=True))) for k, p in parts.items()]
+    both = r9(out[0].unionByName(out[1]))
+    return both.withColumns({m: F.when(F.abs(m) < 5e-10, 0.0).otherwise(F.col(m)) for m in names})
 
 
 for _alias, _target in (("sup_06", "f3_absolute_metrics"), ("sup_07", "bst_07")):
