@@ -129,3 +129,26 @@ def paired_deltas(decisions: DataFrame) -> DataFrame:
     names = ("auc", "fpr", "fnr", "hter")
     joined = bad.select(*GROUP_KEYS, "n_real", "n_manipulated", *names).join(clean.select(*GROUP_KEYS, *(F.col(m).alias(f"clean_{m}") for m in names)), GROUP_KEYS)
     return joined.select(*GROUP_KEYS, "n_real", "n_manipulated", *((F.col(m) - F.col(f"clean_{m}")).alias(f"delta_{m}") for m in names))
+
+
+def tpr_on_grid(rows: DataFrame, keys: list[str], points: int = 100) -> DataFrame:
+    """keys, step (0 to points - 1), tpr: the curve's TPR, linear between its points, at the FPRs step / (points - 1).
+
+    Where the curve rises at one FPR, the upper end counts there, and the lower end for what lies before; at FPR 0 the TPR is 0.
+    Curves are cut to the first and last point of each cell of the grid, found by a combined aggregation in whole numbers, so
+    the window sees at most ``points`` rows a key.  Keys without both classes have no rows (columns score, label).
+    """
+    cells = points - 1
+    curve_points = curve(rows.where(F.col("score").isNotNull()), keys).where("P > 0 and N > 0").select(*keys, "P", "N", F.col("fp").cast("long").alias("fp"), F.col("tp").cast("long").alias("tp"))
+    place = F.struct("fp", "tp")
+    ends = curve_points.withColumn("step", F.expr(f"({cells} * fp + N - 1) div N")).groupBy(*keys, "step").agg(F.min(place).alias("low"), F.max(place).alias("high"))
+    totals = curve_points.groupBy(*keys).agg(F.max("P").alias("P"), F.max("N").alias("N"))
+    grid = totals.select(*keys, "P", "N", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells).cast("long"))).alias("step")).join(ends, [*keys, "step"], "left")
+    by = Window.partitionBy(*keys).orderBy("step")
+    start = F.struct(F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("tp"))  # the curve begins at no positives
+    last = F.coalesce(F.max("high").over(by.rowsBetween(Window.unboundedPreceding, 0)), start)
+    after = F.min("low").over(by.rowsBetween(1, Window.unboundedFollowing))
+    both = grid.withColumns({"a": last, "b": after})
+    share = (F.col("step") * F.col("N") - cells * F.col("a.fp")) / (cells * (F.col("b.fp") - F.col("a.fp")))
+    hits = F.when(F.col("step") == 0, F.lit(0.0)).when(F.col("b").isNull(), F.col("a.tp").cast("double")).otherwise(F.col("a.tp") + share * (F.col("b.tp") - F.col("a.tp")))
+    return both.select(*keys, "step", (hits / F.col("P")).alias("tpr"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def first_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -44,22 +45,41 @@ def running_best(rows: DataFrame, keys: list[str], order: str, value: str) -> Da
     return rows.withColumns({"best_before": best, "improved": best.isNull() | (F.col(value) > best)})
 
 
-def greedy_cases(rows: DataFrame, classes: list[tuple[str, Column, str, bool]], identity: list[str], k: int, scope: str | None = None, tie: str = "video") -> DataFrame:
-    """For each class in turn, the k best rows not taken before, one an identity (columns case_class, place).
+def case_identity(label: str = "label", source: str = "source", subset: str = "subset", id_: str = "video") -> Column:
+    """Reals are one case a source, fakes one a subset and id."""
+    return F.when(F.col(label) == 0, F.concat_ws("::", F.lit("real"), F.col(source).cast("string"))).otherwise(F.concat_ws("::", F.lit("fake"), F.coalesce(F.col(subset).cast("string"), F.lit("")), F.col(id_).cast("string")))
+
+
+def greedy_cases(rows: DataFrame, classes: list[tuple[str, Column, str, bool]], identity: str, k: int, scope: list[str] | None = None, tie: str = "video") -> DataFrame:
+    """For each class in turn, the k best rows whose identity no earlier class took, one an identity: scope, identity, tie,
+    case_class, place.
 
-    A class is (name, predicate, metric, ascending); ascending reverses the tie-break too.  What earlier classes took
-    depends on them all, so this is one step a class, each over at most k rows a scope.
+    A class is (name, predicate, metric, ascending); ascending reverses the tie-break too, nulls come last.  Earlier classes
+    take at most k identities each, so a class needs no more than its k x classes best: these lists are cut by limits that
+    apply before the shuffle, and only they are resolved one class after the other, in one task a scope.
     """
-    taken: list[DataFrame] = []
-    for name, predicate, metric, ascending in classes:
-        left = rows.where(predicate)
-        if taken:
-            left = left.join(reduce(DataFrame.unionByName, [t.select(*identity) for t in taken]), identity, "left_anti")
-        order = [F.col(metric).asc(), F.col(tie).asc()] if ascending else [F.col(metric).desc(), F.col(tie).desc()]
-        own = first_by(left, identity, order)
-        place = Window.partitionBy(scope) if scope else Window.partitionBy(F.lit(1))
-        taken.append(own.withColumn("place", F.row_number().over(place.orderBy(*order))).where(F.col("place") <= k).withColumn("case_class", F.lit(name)))
-    return reduce(DataFrame.unionByName, taken)
+    scope = scope or []
+    rank, order = {n: i for i, (n, _, _, _) in enumerate(classes)}, {n: asc for n, _, _, asc in classes}
+    cells = [F.when(p, F.struct(F.lit(n).alias("case_class"), (F.col(m) if asc else -F.col(m)).cast("double").alias("metric"), F.col(tie).cast("long").alias("tie"))) for n, p, m, asc in classes]
+    each = rows.select(*scope, F.col(identity).cast("string").alias("_identity"), F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("c")).select(*scope, "_identity", "c.case_class", "c.metric", "c.tie")
+    down = F.col("case_class").isin([n for n, asc in order.items() if not asc])
+    each = each.withColumn("_turn", F.when(down, -F.col("tie")).otherwise(F.col("tie")))
+    best = each.groupBy(*scope, "case_class", "_identity").agg(F.min(F.struct(F.col("metric").isNull().alias("none"), "metric", "_turn", "tie")).alias("b"))
+    listed = Window.partitionBy(*scope, "case_class").orderBy("b", "_identity")
+    few = best.withColumn("_r", F.row_number().over(listed)).where(F.col("_r") <= k * len(classes))
+
+    def resolve(table: pa.Table) -> pa.Table:
+        taken, out = set(), []
+        held = sorted(table.to_pylist(), key=lambda r: (rank[r["case_class"]], r["_r"]))
+        for name in rank:
+            own = [r for r in held if r["case_class"] == name and r["_identity"] not in taken][:k]
+            taken |= {r["_identity"] for r in own}
+            out += [{**{c: r[c] for c in scope}, "identity": r["_identity"], tie: r["b"]["tie"], "case_class": name, "place": i + 1} for i, r in enumerate(own)]
+        return pa.Table.from_pylist(out, schema)
+
+    fields = T.StructType([*(few.schema[c] for c in scope), T.StructField("identity", T.StringType()), T.StructField(tie, T.LongType()), T.StructField("case_class", T.StringType()), T.StructField("place", T.LongType())])
+    schema = to_arrow_schema(fields)
+    return few.groupBy(*scope).applyInArrow(resolve, fields)
 
 
 def hash_sample(rows: DataFrame, keys: list[str], id_: str, seed: int, k: Column) -> DataFrame:

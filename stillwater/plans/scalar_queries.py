@@ -363,10 +363,3 @@ def qc_07(spark, sf):
 @query("qc_08", f"WITH {X.BASE} SELECT video, count(DISTINCT n) AS n_values FROM (SELECT video, condition, count(*) AS n FROM base GROUP BY ALL) GROUP BY video HAVING count(DISTINCT n) > 1")
 def qc_08(spark, sf):
     return checks.not_constant(X.base(spark, sf).groupBy("video", "condition").agg(F.count("*").alias("n")), ["video"], "n")
-
-
-@query("qc_15", f"WITH {X.BASE} SELECT 'unique_line' AS check, count(*) AS violations FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) UNION ALL SELECT 'orders_known', count(*) FROM (SELECT l_orderkey FROM lineitem EXCEPT SELECT o_orderkey FROM orders) UNION ALL SELECT 'one_role', count(*) FROM (SELECT video FROM base GROUP BY video HAVING count(DISTINCT role) > 1)")
-def qc_15(spark, sf):
-    lines, orders = read(spark, sf, "lineitem"), read(spark, sf, "orders")
-    known = lines.select("l_orderkey").distinct().join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti")
-    return checks.audit({"unique_line": checks.repeated_keys(lines, ["l_orderkey", "l_linenumber"]), "orders_known": known, "one_role": checks.not_constant(X.base(spark, sf), ["video"], "role")})

@@ -45,12 +45,6 @@ def sup_16(spark, sf):
     )
 
 
-@query("sup_22", f"WITH {X.BASE} SELECT DISTINCT dataset, role, video, study_label FROM base WHERE dataset = 'second' OR role = 'test' OR (role = 'validation' AND study_label = 0)")
-def sup_22(spark, sf):
-    """What is degraded: real validation videos, all test videos, all of the second dataset."""
-    return X.base(spark, sf).where("dataset = 'second' or role = 'test' or (role = 'validation' and study_label = 0)").select("dataset", "role", "video", "study_label").distinct()
-
-
 @query("sup_25", f"WITH {X.PLAN} SELECT video, CAST(unnest(range(0, n)) AS INTEGER) AS temporal_position FROM plan")
 def sup_25(spark, sf):
     """One row a planned frame."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,3 +76,43 @@ def with_folder_dimensions(rows: DataFrame, names: list[str]) -> DataFrame:
     """The last folders of each row's file as columns."""
     parts = F.split(F.input_file_name(), "/")
     return rows.select("*", *(F.element_at(parts, k - len(names) - 1).alias(n) for k, n in enumerate(names)))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1 on), value: the lines of text files with their numbers, blank ones counted.
+
+    A file may be read in several splits: lines are ranked inside their split, and the lines of all splits before it in the file
+    come from a table of one row a split.  No task sees more than a split.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value", F.monotonically_increasing_id().alias("at"))
+    sizes = rows.groupBy("file", "start").agg(F.count("*").alias("n"))
+    before = sizes.select("file", "start", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    ranked = rows.withColumn("own", F.row_number().over(Window.partitionBy("file", "start").orderBy("at")))
+    return ranked.join(before, ["file", "start"]).select("file", (F.col("before") + F.col("own")).alias("line"), "value")
+
+
+def bad_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """file, line, value of lines that aren't blank and give no object of the schema."""
+    parsed = F.from_json("value", f"{schema}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    return lines.withColumn("r", parsed).where("r is null or r._broken is not null").select("file", "line", "value")
+
+
+def strict_json_lines(spark: SparkSession, path: str, schema: str, told: int = 5) -> DataFrame:
+    """The rows of JSON lines; an error names the file and line of the first malformed ones."""
+    bad = bad_json_lines(spark, path, schema).orderBy("file", "line").limit(told).collect()
+    if bad:
+        raise ValueError("; ".join(f"{r['file']}:{r['line']}: no object of {schema}: {r['value'][:80]}" for r in bad))
+    return json_lines(spark, path, schema)
+
+
+def label_list_faults(spark: SparkSession, path: str) -> DataFrame:
+    """file, line, value, fault of the lines of a list ``label path``: no_label, no_path, or repeated (a path that an earlier
+    line of any file has, in order of file and line).  Blank lines are none.
+    """
+    parts = F.split(F.trim("value"), r"\s+", 2)
+    rows = numbered_lines(spark, path).where(F.trim("value") != "").withColumns({"label": F.expr("try_cast(split(trim(value), '\\\\s+', 2)[0] as int)"), "path": F.when(F.size(parts) > 1, parts[1])})
+    several = rows.where("path is not null").groupBy("path").agg(F.count("*").alias("n"), F.min(F.struct("file", "line")).alias("first")).where("n > 1").drop("n")
+    joined = rows.join(several, "path", "left")
+    fault = F.when(F.col("label").isNull(), "no_label").when(F.col("path").isNull(), "no_path").when(F.col("first") != F.struct("file", "line"), "repeated")
+    return joined.withColumn("fault", fault).where("fault is not null").select("file", "line", "value", "fault")
