@@ -6,9 +6,8 @@ identifiers.  The bytes of a chunk move once, to verify that equal hashes mean e
 number of their own.  Documents are then compared by these short lists alone.
 
 Null text counts as empty, and all empty texts are equal.  Rows without doc_id come last when a group chooses the row
-that stays.  In ``exact_groups`` rows that repeat both doc_id and text share one verdict; ``drop_exact_copies`` keeps one
-row of a group, whether its rows repeat doc_id, text, both or have no doc_id.  Other columns are read only to choose
-among rows that repeat both.
+that stays.  One row of a group is kept, whether its rows repeat doc_id, text, both or have no doc_id.  Other columns are read
+only by ``drop_exact_copies``, to choose among rows that repeat both.
 """
 
 from __future__ import annotations
@@ -80,14 +79,16 @@ def _recipes(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
 
 
 def recipes(docs: DataFrame, scratch: common.Scratch, bits: int = 64, keyed: bool = False) -> DataFrame:
-    """One row a document: doc_id, n_chars, text_sha256, own (its text_key, null unless keyed), recipe (ordered verified chunk identifiers)."""
+    """One row a document: doc_id, n_chars, text_sha256, own (its text_key, null unless keyed), at (a number of the row), recipe
+    (ordered verified chunk identifiers).
+    """
     own = common.text_key() if keyed else F.lit(None).cast("binary")
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"), own.alias("own"))
-    chunked = scratch.table(chosen.mapInArrow(lambda it: _recipes(it, bits), SCHEMA), "chunks")
+    chunked = scratch.table(chosen.mapInArrow(lambda it: _recipes(it, bits), SCHEMA).withColumn("at", F.monotonically_increasing_id()), "chunks")
     contents = chunked.select(F.explode(F.arrays_zip("chunk_hashes", "pieces")).alias("c")).select(F.col("c.chunk_hashes").alias("hash"), F.col("c.pieces").alias("piece")).distinct()
     clashing = contents.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     clashing = scratch.table(clashing, "clashing")
-    base = chunked.select("doc_id", "n_chars", "text_sha256", "own", F.expr("transform(chunk_hashes, h -> struct(h as hash, 0 as variant))").alias("recipe"))
+    base = chunked.select("doc_id", "n_chars", "text_sha256", "own", "at", F.expr("transform(chunk_hashes, h -> struct(h as hash, 0 as variant))").alias("recipe"))
     if clashing.isEmpty():  # each hash has one content, so the hash is the identifier
         return base
     # Rows of documents with a clashing hash are few; their chunks are numbered by content.
@@ -101,15 +102,15 @@ def recipes(docs: DataFrame, scratch: common.Scratch, bits: int = 64, keyed: boo
     lists = lists.select("doc_id", "text_sha256", F.expr("transform(l, x -> struct(x.hash as hash, x.variant as variant))").alias("r"))
     a, b = base.alias("a"), lists.alias("b")
     joined = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_sha256") == F.col("b.text_sha256")), "left")
-    return joined.select("a.doc_id", "a.n_chars", "a.text_sha256", "a.own", F.coalesce("b.r", "a.recipe").alias("recipe"))
+    return joined.select("a.doc_id", "a.n_chars", "a.text_sha256", "a.own", "a.at", F.coalesce("b.r", "a.recipe").alias("recipe"))
 
 
 def _judged(docs: DataFrame, scratch: common.Scratch, bits: int, keyed: bool) -> DataFrame:
-    """The rows of recipes with their group's keep_id, keep_own and group_size."""
+    """The rows of recipes with their group's keep_id, keep_own, keep_at and group_size."""
     rows = recipes(docs, scratch, bits, keyed)
-    order = F.struct(F.negative("n_chars").alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"), F.col("own").alias("d"))
+    order = F.struct(F.negative("n_chars").alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"), F.col("own").alias("d"), F.col("at").alias("e"))
     groups = rows.groupBy("recipe").agg(F.min(order).alias("best"), F.count("*").alias("group_size"))
-    groups = scratch.table(groups.select("recipe", F.col("best.c").alias("keep_id"), F.col("best.d").alias("keep_own"), "group_size"), "groups")
+    groups = scratch.table(groups.select("recipe", F.col("best.c").alias("keep_id"), F.col("best.d").alias("keep_own"), F.col("best.e").alias("keep_at"), "group_size"), "groups")
     total = groups.agg(F.sum("group_size")).first()[0] or 0
     return common.heavy_light_join(rows, groups, ["recipe"], "group_size", total)
 
@@ -122,7 +123,7 @@ def exact_groups(docs: DataFrame, bits: int = 64) -> DataFrame:
     """
     spark = common.prepare(docs.sparkSession)
     joined = _judged(docs, common.Scratch(spark, "exact_dedup"), bits, keyed=False)
-    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.size("recipe").alias("n_chunks"))
+    return joined.select("doc_id", "keep_id", "group_size", (F.col("at") == F.col("keep_at")).alias("kept"), "text_sha256", F.size("recipe").alias("n_chunks"))
 
 
 def drop_exact_copies(docs: DataFrame, bits: int = 64) -> DataFrame:

@@ -23,8 +23,8 @@ def test_exact_groups(docs, rows, bits):
         groups[re.sub("[\x20\x09-\x0d]", "", t or "")].append((d, t or ""))
     want = []
     for s, members in groups.items():
-        keep = min(members, key=lambda m: (-len(m[1]), m[0] is None, m[0] or 0))[0]
-        want += [(d, keep, len(members), d == keep, sha(s)) for d, _ in members]
+        best = min(range(len(members)), key=lambda k: (-len(members[k][1]), members[k][0] is None, members[k][0] or 0))
+        want += [(d, members[best][0], len(members), k == best, sha(s)) for k, (d, _) in enumerate(members)]
     got = table(exact_dedup.exact_groups(docs, bits), "doc_id", "keep_id", "group_size", "kept", "text_sha256")
     assert got == sorted(want, key=repr)
 
@@ -298,3 +298,12 @@ def test_few_words_alone_in_their_partition(spark):
         assert table(ngram_join.linked(one), "doc_id", "n_shingles", "component_id") == [(1, int(bool(text)), 1)]
     for k in range(10):
         assert [len(x) for x in ngram_join.shingle_sets([" ".join("abcdefghi"[:k])])] == [max(min(k, 1), k - 4)]
+
+
+def test_one_row_of_each_group_is_kept(spark):
+    """Rows that repeat a doc_id, with one text or several, are still told apart."""
+    rows = [(7, "t w o"), (7, "two"), (8, "t wo"), (9, "x"), (9, "x"), (None, "y"), (None, "y"), (None, None), (3, "")]
+    got = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = [(r["text_sha256"], r["doc_id"]) for r in got if r["kept"]]
+    assert sorted(kept, key=repr) == sorted([(sha("two"), 7), (sha("x"), 9), (sha("y"), None), (sha(""), 3)], key=repr)
+    assert len(got) == len(rows)
