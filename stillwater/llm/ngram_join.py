@@ -436,8 +436,11 @@ def _named(docs: DataFrame, scratch: common.Scratch) -> DataFrame:
         last = scratch.table(verified(docs, left, nodes, scratch, "last"), "last")
         if not last.isEmpty():
             labels = components(links.unionByName(last), scratch, "components")
-    named = documents.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    return scratch.table(named.select("doc_id", "own", "n_shingles", F.col("label").cast("string").alias("label")), "named")
+    # documents of one node are as many as a text has copies
+    copies = documents.groupBy("node").agg(F.count("*").alias("n")).join(labels, "node").select(F.col("node").cast("string").alias("node"), F.col("label").cast("string").alias("label"), "n")
+    keyed = documents.select("doc_id", "row", "own", "n_shingles", F.col("node").cast("string").alias("node"))
+    named = common.attach(keyed, copies, "node", "n", documents.count(), ["label"], ["row", "own"])
+    return scratch.table(named.select("doc_id", "own", "n_shingles", F.coalesce("label", "node").alias("label")), "named")
 
 
 def linked(docs: DataFrame) -> DataFrame:
