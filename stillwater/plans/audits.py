@@ -196,16 +196,17 @@ def _written_lines(spark, sf, line: str) -> str:
     return path
 
 
-_FILE = F.regexp_extract("file", "part=([0-9]+)/", 1).cast("long").alias("part")
+def _part_of_file() -> F.Column:
+    return F.regexp_extract("file", "part=([0-9]+)/", 1).cast("long").alias("part")
 
 
 @query("src_02_lines", f"WITH {_lines_sql(_JSON_LINE)} SELECT part, line, value FROM l WHERE value <> '' AND NOT regexp_full_match(value, '\\{{\"c_custkey\": [0-9]+\\}}')")
 def src_02_lines(spark, sf):
     """Malformed lines of JSON files, by file and line."""
-    return readers.bad_json_lines(spark, _written_lines(spark, sf, _JSON_LINE), "c_custkey long").select(_FILE, F.col("line").cast("long").alias("line"), "value")
+    return readers.bad_json_lines(spark, _written_lines(spark, sf, _JSON_LINE), "c_custkey long").select(_part_of_file(), F.col("line").cast("long").alias("line"), "value")
 
 
 @query("src_06_lines", f"WITH {_lines_sql(_LIST_LINE)}, s AS (SELECT part, line, value, TRY_CAST(regexp_extract(trim(value), '^\\S+') AS INTEGER) AS label, nullif(regexp_extract(trim(value), '^\\S+\\s+(.*)$', 1), '') AS path FROM l WHERE trim(value) <> ''), f AS (SELECT *, CASE WHEN label IS NULL THEN 'no_label' WHEN path IS NULL THEN 'no_path' WHEN row_number() OVER (PARTITION BY path ORDER BY part, line) > 1 THEN 'repeated' END AS fault FROM s) SELECT part, line, value, fault FROM f WHERE fault IS NOT NULL")
 def src_06_lines(spark, sf):
     """Lines of a list of labels and paths that lack one of both or repeat a path."""
-    return readers.label_list_faults(spark, _written_lines(spark, sf, _LIST_LINE)).select(_FILE, F.col("line").cast("long").alias("line"), "value", "fault")
+    return readers.label_list_faults(spark, _written_lines(spark, sf, _LIST_LINE)).select(_part_of_file(), F.col("line").cast("long").alias("line"), "value", "fault")

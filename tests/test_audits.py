@@ -124,3 +124,12 @@ def test_faults_of_a_list(spark, tmp_path):
     (tmp_path / "list.txt").write_text("1  a b.mp4\n\n0 c.mp4\nx d.mp4\n1\n 0   a b.mp4 \n1 c.mp4\n")
     got = readers.label_list_faults(spark, str(tmp_path)).orderBy("line").collect()
     assert [(r["line"], r["fault"]) for r in got] == [(4, "no_label"), (5, "no_path"), (6, "repeated"), (7, "repeated")]
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    run = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert len(e.queries()) > 250"], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True, timeout=120)
+    assert run.returncode == 0, run.stderr
