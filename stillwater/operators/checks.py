@@ -50,3 +50,20 @@ def leaking(rows: DataFrame, ids: list[str], split: str) -> DataFrame:
 def audit(checks: dict[str, DataFrame]) -> DataFrame:
     """check, violations."""
     return reduce(DataFrame.unionByName, [df.groupBy().agg(F.lit(name).alias("check"), F.count("*").alias("violations")) for name, df in checks.items()])
+
+
+def wrong_decisions(rows: DataFrame, keys: list[str], score: str = "video_score", threshold: str = "threshold_value", decision: str = "decision") -> DataFrame:
+    """keys, stated, computed: decisions that score and threshold don't give; none is right where either is null."""
+    computed = (F.col(score) >= F.col(threshold)).cast("int")
+    return rows.select(*keys, F.col(decision).alias("stated"), computed.alias("computed")).where(~F.col("stated").eqNullSafe(F.col("computed")))
+
+
+def identities(rows: DataFrame, keys: list[str], fields: list[str], position: str) -> DataFrame:
+    """keys and rule: a row for each field with several values in a group (null counts as an empty text), and one, named by
+    the position, where rows of a group share a position.  Least and greatest values tell, so no row is copied a field.
+    """
+    texts = {f: F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields}
+    ends = [c for f, t in texts.items() for c in (F.min(t).alias(f"_a_{f}"), F.max(t).alias(f"_b_{f}"))]
+    g = rows.groupBy(*keys).agg(*ends, (F.count("*") - F.countDistinct(position)).alias("_again"))
+    broken = [F.when(F.col(f"_a_{f}") != F.col(f"_b_{f}"), F.lit(f)) for f in fields] + [F.when(F.col("_again") > 0, F.lit(position))]
+    return g.select(*keys, F.explode(F.filter(F.array(*broken), lambda x: x.isNotNull())).alias("rule"))

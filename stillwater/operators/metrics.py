@@ -152,3 +152,10 @@ def tpr_on_grid(rows: DataFrame, keys: list[str], points: int = 100) -> DataFram
     share = (F.col("step") * F.col("N") - cells * F.col("a.fp")) / (cells * (F.col("b.fp") - F.col("a.fp")))
     hits = F.when(F.col("step") == 0, F.lit(0.0)).when(F.col("b").isNull(), F.col("a.tp").cast("double")).otherwise(F.col("a.tp") + share * (F.col("b.tp") - F.col("a.tp")))
     return both.select(*keys, "step", (hits / F.col("P")).alias("tpr"))
+
+
+def with_row_mean(rows: DataFrame, columns: list[str], name: str = "mean") -> DataFrame:
+    """The mean over those of the columns that aren't null; null where all are."""
+    held = F.array_compact(F.array(*columns))
+    total = F.aggregate(held, F.lit(0.0), lambda a, x: a + x)
+    return rows.withColumn(name, F.when(F.size(held) > 0, total / F.size(held)))

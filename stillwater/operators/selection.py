@@ -99,3 +99,20 @@ def exposures(rows: DataFrame, keys: list[str], id_: str, seed: int, target: int
     passes = rows.withColumn("n", n).withColumn("pass", F.explode(F.sequence(F.lit(0), F.ceil(F.lit(target) / F.col("n")).cast("int"))))
     order = F.md5(F.concat_ws("::", F.lit(str(seed)), F.col("pass").cast("string"), F.col(id_).cast("string")))
     return passes.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("pass", order, id_))).where(F.col("place") <= target).drop("n")
+
+
+def largest(rows: DataFrame, keys: list[str], size: str, order: str) -> DataFrame:
+    """The row of each key with the largest size, of those that tie the first in a numeric order, without a sort."""
+    others = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(F.col(size), -F.col(order))).alias("r")).select(*keys, *(F.col(f"r.{c}").alias(c) for c in others))
+
+
+def scored(rows: DataFrame, score: str = "score", available: str = "score_available") -> DataFrame:
+    """Records in text form that have a score and don't say that it isn't available; the score becomes a number.
+
+    Blank and ``null`` are no score; a text that is no number is an error.  A missing column ``available`` says yes, a null no.
+    """
+    text = F.trim(score)
+    number = F.when(~F.lower(text).isin("", "null"), text).cast("double")
+    there = F.lower(F.trim(F.col(available).cast("string"))).isin("1", "true", "yes", "y") if available in rows.columns else F.lit(True)
+    return rows.where(there).withColumn(score, number).where(F.col(score).isNotNull())

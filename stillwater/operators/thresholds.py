@@ -79,3 +79,9 @@ def decide(rows: DataFrame, thresholds: DataFrame, keys: list[str], score: str =
     """
     joined = rows.join(thresholds.select(*keys, "threshold_value"), keys, "left")
     return joined.withColumns({"decision": (F.col(score) >= F.col("threshold_value")).cast("int"), "decision_status": F.when(F.col(score).isNull(), "not_scored").otherwise("decided")})
+
+
+def false_positives(real: DataFrame, keys: list[str], score: str, threshold: str) -> DataFrame:
+    """keys, fp, n_real, fpr: rows of the real class at or above their threshold, and their share."""
+    fp = F.count_if(F.col(score) >= F.col(threshold))
+    return real.groupBy(*keys).agg(fp.alias("fp"), F.count("*").alias("n_real"), (fp / F.count("*")).alias("fpr"))

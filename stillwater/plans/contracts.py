@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stillwater.functions import scalars as S
-from stillwater.operators import metrics, records, resampling
+from stillwater.operators import metrics, reconcile, records, resampling
 from stillwater.plans import fixtures as X
 from stillwater.plans.fixtures import query, r9, read, scratch
 from stillwater.sources import readers, writers
@@ -383,14 +383,19 @@ def sup_21(spark, sf):
     return manifest(spark, sf).where("dataset = 'second'").groupBy("study_label").agg(F.count("*").alias("n")).withColumn("expected", F.when(F.col("study_label") == 0, 178).otherwise(340))
 
 
-@query("sup_23", f"{_VIEWS}, d AS (SELECT CAST(video AS INTEGER) AS video, n FROM (SELECT video, count(*) AS n FROM base GROUP BY video)) SELECT video, n, a.video IS NOT NULL AS in_first, b.video IS NOT NULL AS in_second FROM d LEFT JOIN a USING (video) LEFT JOIN b USING (video) WHERE (a.video IS NULL) <> (b.video IS NULL) OR (n < 20 AND a.video IS NOT NULL)")
+_FRAMES = """k AS (SELECT video, condition, temporal_position AS position, event_id, inference_status = 'ok' AS good FROM base),
+done AS (SELECT video, condition, position FROM k WHERE good),
+one AS (SELECT video, condition, position FROM k WHERE good AND event_id % 53 <> 4 UNION ALL SELECT video, condition, position FROM k WHERE good AND event_id % 59 = 5),
+two AS (SELECT video, condition, position FROM k WHERE good OR event_id % 194 = 0)"""
+
+
+@query("sup_23", f"WITH {X.BASE}, {_FRAMES}, c AS (SELECT video, condition, position, count(*) FILTER (t = 0) AS n_done, count(*) FILTER (t = 1) AS n_one, count(*) FILTER (t = 2) AS n_two FROM (SELECT *, 0 AS t FROM done UNION ALL SELECT *, 1 FROM one UNION ALL SELECT *, 2 FROM two) GROUP BY ALL) SELECT video, condition, position, list_filter([CASE WHEN n_done = 0 THEN 'done' END, CASE WHEN n_one = 0 THEN 'one' END, CASE WHEN n_two = 0 THEN 'two' END], lambda x: x IS NOT NULL) AS missing, list_filter([CASE WHEN n_done > 1 THEN 'done' END, CASE WHEN n_one > 1 THEN 'one' END, CASE WHEN n_two > 1 THEN 'two' END], lambda x: x IS NOT NULL) AS repeated FROM c WHERE NOT (n_done = 1 AND n_one = 1 AND n_two = 1)")
 def sup_23(spark, sf):
-    """Videos of the documents that the two views don't agree on, or that have too few frames for them."""
-    a, b = views(spark, sf)
-    d = X.base(spark, sf).groupBy("video").agg(F.count("*").alias("n"))
-    j = d.join(a.select("video", F.lit(True).alias("x")), "video", "left").join(b.select("video", F.lit(True).alias("y")), "video", "left")
-    j = j.select("video", "n", F.col("x").isNotNull().alias("in_first"), F.col("y").isNotNull().alias("in_second"))
-    return j.where("in_first <> in_second or (n < 20 and in_first)").withColumn("video", F.col("video").cast("int"))
+    """Frames that the two views of the training documents and the set of materialised frames don't hold once each."""
+    k = X.base(spark, sf).select("video", "condition", F.col("temporal_position").alias("position"), "event_id", (F.col("inference_status") == "ok").alias("good"))
+    one = k.where("good").select("*", F.explode(F.expr("CASE WHEN event_id % 53 = 4 THEN IF(event_id % 59 = 5, array(1), array()) WHEN event_id % 59 = 5 THEN array(1, 1) ELSE array(1) END")).alias("_"))
+    sets = {"done": k.where("good"), "one": one, "two": k.where("good or event_id % 194 = 0")}
+    return reconcile.reconciled(sets, ["video", "condition", "position"], []).drop("differing")
 
 
 _PLAN_RULES = {"positions": "n_frames = n_distinct", "contiguous": "n_frames = last + 1", "frames": "n_frames >= 4", "role": "n_roles = 1"}
@@ -403,26 +408,76 @@ def sup_26(spark, sf):
     return records.group_violations(rows, _VC, _PLAN_RULES, n_frames=F.count("*"), n_distinct=F.countDistinct("position"), last=F.max("position"), n_roles=F.countDistinct("role"))
 
 
-@query("sup_31", f"WITH {X.BASE}, v AS (SELECT video, count(*) AS n FROM base GROUP BY video), p AS (SELECT video, n, k, (2 * k + 1) * n // 16 + CASE WHEN video % 40 = 11 AND k = 3 THEN 1 ELSE 0 END AS stated FROM v, range(0, 8) r(k)) SELECT video, k, stated, (2 * k + 1) * n // 16 AS computed FROM p WHERE stated <> (2 * k + 1) * n // 16")
+_TARGETS = 12
+_PLAN_AUDIT = {
+    "preflight": "decoded IS NOT NULL",
+    "role": "role = stated_role",
+    "budget": f"budget = {_TARGETS}",
+    "status": f"status = CASE WHEN coalesce(decoded, 0) >= {_TARGETS} THEN 'ok' ELSE 'invalid' END",
+    "invalid_is_empty": "status = 'ok' OR n_indices = 0",
+    "complete": f"status <> 'ok' OR n_indices = {_TARGETS}",
+    "midpoints": "n_indices = 0 OR n_midpoints = n_indices",
+    "inside": "n_indices = 0 OR (least >= 0 AND most < counted)",
+    "distinct": "n_distinct = n_indices",
+}
+_SUMMARY_AUDIT = {"base_video_count": "stated_n = n", "ok_count": "stated_ok = n_ok", "minimum_decoded": "stated_min = min_decoded", "maximum_decoded": "stated_max = max_decoded"}
+_STATED_PLAN = f"""video, role, CASE WHEN video % 13 = 5 THEN 'test' ELSE role END AS stated_role, counted, CASE WHEN video % 10 = 8 THEN NULL ELSE counted END AS decoded, CASE WHEN video % 9 = 6 THEN 11 ELSE {_TARGETS} END AS budget, CASE WHEN (counted >= {_TARGETS}) <> (video % 11 = 4) THEN 'ok' ELSE 'invalid' END AS status"""
+_INDEX = f"(2 * k + 1) * counted {{div}} {2 * _TARGETS}"
+
+
+def _plan_sql(div: str) -> str:
+    return f"{_INDEX.format(div=div)} + CASE WHEN video % 7 = 3 AND k = 3 THEN 1 WHEN video % 14 = 12 AND k = {_TARGETS - 1} THEN 99999 ELSE 0 END"
+
+
+@query(
+    "sup_31",
+    f"""WITH {X.BASE}, v AS (SELECT video, role, count(*) AS counted FROM base WHERE condition = 'CLN' GROUP BY ALL), s AS (SELECT {_STATED_PLAN} FROM v),
+i AS (SELECT video, k, counted, {_plan_sql("//")} AS idx FROM s, range(0, {_TARGETS}) r(k) WHERE (status = 'ok' OR video % 4 = 0) AND NOT (video % 15 = 14 AND k = {_TARGETS - 1})),
+a AS (SELECT video, count(*) AS n_indices, count(*) FILTER (idx = {_INDEX.format(div="//")}) AS n_midpoints, min(idx) AS least, max(idx) AS most, count(DISTINCT idx) AS n_distinct FROM i GROUP BY ALL),
+p AS (SELECT 'video::' || video AS subject, s.* EXCLUDE (video), coalesce(n_indices, 0) AS n_indices, coalesce(n_midpoints, 0) AS n_midpoints, least, most, coalesce(n_distinct, 0) AS n_distinct FROM s LEFT JOIN a USING (video)),
+t AS (SELECT 'summary' AS subject, count(*) AS n, count(*) FILTER (status = 'ok') AS n_ok, min(decoded) AS min_decoded, max(decoded) AS max_decoded, count(*) AS stated_n, count(*) FILTER (counted >= {_TARGETS}) AS stated_ok, min(counted) AS stated_min, max(decoded) + 1 AS stated_max FROM s)
+{check_sql("p", "subject", _PLAN_AUDIT)} UNION ALL {check_sql("t", "subject", _SUMMARY_AUDIT)}""",
+)
 def sup_31(spark, sf):
-    """Planned indices that the midpoint rule doesn't give."""
-    v = X.base(spark, sf).groupBy("video").agg(F.count("*").alias("n")).withColumn("k", F.explode(F.expr("sequence(0L, 7L)")))
-    p = v.withColumn("computed", F.expr("(2 * k + 1) * n div 16"))
-    return p.withColumn("stated", F.expr("computed + CASE WHEN video % 40 = 11 AND k = 3 THEN 1 ELSE 0 END")).where("stated <> computed").select("video", "k", "stated", "computed")
+    """The temporal plan's rows, each against the manifest, the preflight and the midpoint rule, and the summary against the
+    rows: all from one table of one row a video; an index list is judged where it stands.
+    """
+    v = X.base(spark, sf).where("condition = 'CLN'").groupBy("video", "role").agg(F.count("*").alias("counted"))
+    s = v.selectExpr(*X.split_columns(_STATED_PLAN))
+    steps = f"sequence(0L, {_TARGETS - 1}L)"
+    s = s.withColumn("indices", F.expr(f"IF(status = 'ok' OR video % 4 = 0, transform(filter({steps}, k -> NOT (video % 15 = 14 AND k = {_TARGETS - 1})), k -> {_plan_sql('div')}), array())")).withColumn("midpoints", F.expr(f"transform({steps}, k -> {_INDEX.format(div='div')})"))
+    rows = X.stored(s, "plan")
+    p = rows.selectExpr("concat('video::', video) AS subject", "*", "CAST(size(indices) AS BIGINT) AS n_indices", "CAST(size(filter(zip_with(indices, midpoints, (a, b) -> a = b), x -> x)) AS BIGINT) AS n_midpoints", "array_min(indices) AS least", "array_max(indices) AS most", "CAST(size(array_distinct(indices)) AS BIGINT) AS n_distinct")
+    t = rows.agg(F.count("*").alias("n"), F.count_if(F.col("status") == "ok").alias("n_ok"), F.min("decoded").alias("min_decoded"), F.max("decoded").alias("max_decoded"), F.count("*").alias("stated_n"), F.count_if(F.col("counted") >= _TARGETS).alias("stated_ok"), F.min("counted").alias("stated_min"), (F.max("decoded") + 1).alias("stated_max")).withColumn("subject", F.lit("summary"))
+    return records.violations(p, _PLAN_AUDIT, ["subject"]).unionByName(records.violations(t, _SUMMARY_AUDIT, ["subject"]))
 
 
 _GEOMETRY = {"index": "idx = planned", "reason": "valid = (reason IS NULL)", "crop": "valid OR crop IS NULL", "inside": "crop IS NULL OR crop BETWEEN 0 AND 400"}
 _GEO_SQL = "video, temporal_position, temporal_position AS planned, temporal_position + CASE WHEN event_id % 307 = 9 THEN 1 ELSE 0 END AS idx, inference_status = 'ok' AS valid, CASE WHEN inference_status <> 'ok' AND event_id % 2 = 0 THEN 'no face' END AS reason, CASE WHEN inference_status = 'ok' OR event_id % 5 = 0 THEN event_id % 407 END AS crop"
 
 
-@query("sup_32", f"WITH {X.BASE}, g AS (SELECT event_id, {_GEO_SQL} FROM base) {check_sql('g', 'event_id', _GEOMETRY)}")
-def sup_32(spark, sf):
-    """Geometry records whose index isn't the planned one, invalid ones without a reason or with crop facts, crops outside."""
-    return records.violations(X.base(spark, sf).selectExpr("event_id", *_split(_GEO_SQL)), _GEOMETRY, ["event_id"])
+_VIDEO_GEOMETRY = {"complete": "n = n_positions", "last": "last_position = n - 1"}
+_GEO_FAULTS = "video, condition, event_id, temporal_position + CASE WHEN event_id % 211 = 6 THEN 1 ELSE 0 END AS position, inference_status = 'ok' AND event_id % 151 <> 7 AS valid, inference_status = 'ok' AS stated_valid"
 
 
-def _split(expressions: str) -> list[str]:
-    return [x.strip() for x in expressions.split(", ")]
+@query(
+    "sup_32",
+    f"""WITH {X.BASE}, g AS (SELECT 'record::' || event_id AS subject, {_GEO_SQL} FROM base), f AS (SELECT {_GEO_FAULTS} FROM base),
+v AS (SELECT 'video::' || video || '::' || condition AS subject, count(*) AS n, count(DISTINCT position) AS n_positions, max(position) AS last_position, count(*) FILTER (valid) AS n_valid, count(*) FILTER (stated_valid) AS stated FROM f GROUP BY video, condition),
+d AS (SELECT k, sum(found) AS found, sum(stated) AS stated FROM (SELECT n_valid AS k, 1 AS found, 0 AS stated FROM v UNION ALL SELECT stated, 0, 1 FROM v) GROUP BY k)
+{check_sql("g", "subject", _GEOMETRY)} UNION ALL {check_sql("v", "subject", _VIDEO_GEOMETRY)} UNION ALL SELECT 'valid::' || k, 'distribution' FROM d WHERE found <> stated""",
+)
+def sup_32(spark, sf):
+    """The geometry audit: records whose index isn't the planned one, invalid ones without a reason or with crop facts, crops
+    outside; videos without all their positions; numbers of valid frames that as many videos don't have as the summary says.
+    """
+    base = X.base(spark, sf)
+    each = records.violations(base.selectExpr("concat('record::', event_id) AS subject", *X.split_columns(_GEO_SQL)), _GEOMETRY, ["subject"])
+    facts = base.selectExpr(*X.split_columns(_GEO_FAULTS)).groupBy("video", "condition").agg(F.count("*").alias("n"), F.countDistinct("position").alias("n_positions"), F.max("position").alias("last_position"), F.count_if("valid").alias("n_valid"), F.count_if("stated_valid").alias("stated"))
+    v = X.stored(facts.withColumn("subject", F.concat_ws("::", F.lit("video"), F.col("video").cast("string"), "condition")), "facts")
+    sides = v.select(F.explode(F.array(F.struct(F.col("n_valid").alias("k"), F.lit(1).alias("side")), F.struct(F.col("stated").alias("k"), F.lit(-1).alias("side")))).alias("s"))
+    d = sides.groupBy("s.k").agg(F.sum("s.side").alias("gap")).where("gap <> 0").select(F.concat(F.lit("valid::"), F.col("k").cast("string")).alias("subject"), F.lit("distribution").alias("rule"))
+    return each.unionByName(records.violations(v, _VIDEO_GEOMETRY, ["subject"])).unionByName(d)
 
 
 @query("sup_29", "WITH l AS (SELECT c_nationkey AS label, CASE WHEN c_custkey % 25 = 4 THEN 'same.mp4' ELSE c_name || '.mp4' END AS path, c_custkey % 9 = 2 AS gone FROM customer) SELECT label, count(*) AS listed, count(*) - count(DISTINCT path) AS repeated, count(*) FILTER (gone) AS missing FROM l GROUP BY label")

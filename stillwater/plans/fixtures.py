@@ -68,6 +68,18 @@ def r9(df: DataFrame, digits: int = 9) -> DataFrame:
     return df.select(*(F.round(f.name, digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else f.name for f in df.schema))
 
 
+def split_columns(expressions: str) -> list[str]:
+    """The columns of a select list, which may hold commas in brackets."""
+    out, depth = [""], 0
+    for c in expressions:
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
+
+
 def base(spark: SparkSession, sf: str) -> DataFrame:
     user = F.col("user_id")
     label = F.expr("cast((user_id div 3) % 2 as int)")

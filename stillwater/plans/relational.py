@@ -148,10 +148,12 @@ def join_07(spark, sf):
     return videos.with_unscored(scored, read(spark, sf, "documents").select("doc_id", "source"), ["doc_id"]).withColumn("unscored", F.col("quality").isNull())
 
 
-@query("join_08", "SELECT coalesce(s_nationkey, c_nationkey) AS k, CASE WHEN s_nationkey IS NULL THEN 'right' ELSE 'left' END AS side FROM (SELECT DISTINCT s_nationkey FROM supplier) FULL JOIN (SELECT DISTINCT c_nationkey FROM customer) ON s_nationkey = c_nationkey WHERE s_nationkey IS NULL OR c_nationkey IS NULL")
+@query("join_08", "WITH a AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 5 <> 0 AND (user_id + length(event_type)) % 7 <> 0), b AS (SELECT DISTINCT user_id, event_type FROM events WHERE (user_id + length(event_type)) % 8 <> 1) SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.event_type, b.event_type) AS event_type, CASE WHEN a.user_id IS NULL THEN 'right' ELSE 'left' END AS side FROM a FULL JOIN b ON a.user_id = b.user_id AND a.event_type = b.event_type WHERE a.user_id IS NULL OR b.user_id IS NULL")
 def join_08(spark, sf):
-    a, b = read(spark, sf, "supplier").select(F.col("s_nationkey").alias("k")), read(spark, sf, "customer").select(F.col("c_nationkey").alias("k"))
-    return checks.unmatched(a, b, ["k"])
+    """Videos and conditions that only one of two artifacts has; each lacks some of the events' pairs."""
+    e = read(spark, sf, "events")
+    code = F.col("user_id") + F.length("event_type")
+    return checks.unmatched(e.where((F.col("event_id") % 5 != 0) & (code % 7 != 0)), e.where(code % 8 != 1), ["user_id", "event_type"])
 
 
 @query("join_09", "SELECT c_custkey, list_sort(list(o_orderkey)) AS orders FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY ALL")
@@ -177,9 +179,11 @@ def join_12(spark, sf):
     return drawn.join(read(spark, sf, "orders"), "o_orderkey").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").cast("decimal(30,2)").alias("total"))
 
 
-@query("join_13", "SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+@query("join_13", "SELECT c_custkey FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') ON c_custkey = o_custkey")
 def join_13(spark, sf):
-    return read(spark, sf, "customer").join(read(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers without an order in progress."""
+    pending = read(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return read(spark, sf, "customer").join(pending, "c_custkey", "left_anti").select("c_custkey")
 
 
 @query("join_14", "WITH s AS (SELECT l_returnflag AS k, l_discount AS t, count(*) AS n FROM lineitem GROUP BY ALL) SELECT a.k, a.t, CAST(sum(b.n) AS BIGINT) AS at_least FROM s a JOIN s b ON a.k = b.k AND b.t >= a.t GROUP BY ALL")
@@ -375,7 +379,12 @@ def srt_08(spark, sf):
     return read(spark, sf, "customer").groupBy("c_nationkey").agg(F.min_by("c_custkey", by).alias("poorest"), F.max_by("c_custkey", by).alias("richest"))
 
 
-query("srt_09", X.ORACLE["srt_08"])(srt_08)
+
+
+@query("srt_09", "SELECT p_brand, p_partkey, p_size FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) = 1")
+def srt_09(spark, sf):
+    """The largest of each set, the first of those that tie."""
+    return selection.largest(read(spark, sf, "part").select("p_brand", "p_partkey", "p_size"), ["p_brand"], "p_size", "p_partkey")
 
 
 @query("srt_10", "SELECT doc_id, row_number() OVER (ORDER BY lang, source, -n_chars, doc_id) AS place FROM documents")
@@ -433,7 +442,16 @@ def flt_03(spark, sf):
     return X.decisions(spark, sf).where("video_score is not null and decision_status = 'decided' and decision in (0, 1)").select("detector", "video", "condition")
 
 
-query("flt_04", X.ORACLE["flt_03"])(flt_03)
+
+
+@query("flt_04", "WITH e AS (SELECT event_id, CASE WHEN event_id % 7 = 3 THEN '' WHEN event_id % 11 = 5 THEN ' null ' ELSE ' ' || value || ' ' END AS score, CASE WHEN event_id % 13 = 4 THEN ' No ' WHEN event_id % 17 = 6 THEN NULL WHEN event_id % 2 = 0 THEN 'yes' ELSE 'TRUE' END AS score_available FROM events) SELECT event_id, round(CAST(trim(score) AS DOUBLE), 6) AS score FROM e WHERE lower(trim(score_available)) IN ('1', 'true', 'yes', 'y') AND lower(trim(score)) NOT IN ('', 'null')")
+def flt_04(spark, sf):
+    """The scored subset of records in text form."""
+    value = F.concat(F.lit(" "), F.col("value").cast("string"), F.lit(" "))
+    score = F.when(F.expr("event_id % 7 = 3"), "").when(F.expr("event_id % 11 = 5"), " null ").otherwise(value)
+    there = F.when(F.expr("event_id % 13 = 4"), " No ").when(F.expr("event_id % 17 = 6"), None).when(F.expr("event_id % 2 = 0"), "yes").otherwise("TRUE")
+    rows = read(spark, sf, "events").select("event_id", score.alias("score"), there.alias("score_available"))
+    return r9(selection.scored(rows).select("event_id", "score"), 6)
 
 
 @query("flt_05", f"WITH {X.BASE} SELECT DISTINCT video FROM base WHERE dataset = 'first' AND role IN ('validation', 'test')")
@@ -468,7 +486,13 @@ def agg_17(spark, sf):
     return d.groupBy("detector").agg(F.countDistinct("threshold_value").alias("n_thresholds"), F.bool_and(F.col("decision") == (F.col("video_score") >= F.col("threshold_value")).cast("int")).alias("agrees"))
 
 
-query("qc_11", X.ORACLE["agg_17"])(agg_17)
+
+
+@query("qc_11", f"WITH {X.DECISIONS}, s AS (SELECT detector, video, condition, CASE WHEN video % 23 = 7 THEN 1 - decision WHEN video % 29 = 3 THEN NULL ELSE decision END AS stated, CASE WHEN video_score IS NOT NULL AND threshold_value IS NOT NULL THEN decision END AS computed FROM decisions) SELECT detector, video, condition, stated, computed FROM s WHERE stated IS DISTINCT FROM computed")
+def qc_11(spark, sf):
+    """Decisions that the scores and thresholds don't give when computed again."""
+    stated = F.when(F.expr("video % 23 = 7"), 1 - F.col("decision")).when(F.expr("video % 29 = 3"), None).otherwise(F.col("decision"))
+    return checks.wrong_decisions(X.decisions(spark, sf).withColumn("decision", stated), ["detector", "video", "condition"])
 
 
 @query("agg_28", "SELECT c_nationkey, round(sum(c_acctbal * c_custkey) / sum(c_custkey), 6) AS mean FROM customer GROUP BY ALL")
@@ -510,16 +534,24 @@ def agg_35(spark, sf):
     return lists.select("conv_id", F.col("l.role").alias("roles"))
 
 
-@query("agg_36", "WITH t AS (SELECT p_brand, p_size, avg(p_retailprice) AS m FROM (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_retailprice DESC, p_partkey) <= 3) GROUP BY ALL) SELECT p_brand, p_size, round(m, 6) AS m, round(avg(m) OVER (PARTITION BY p_brand), 6) AS mean FROM t")
+_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+@query("agg_36", f"WITH t AS (SELECT c_nationkey, c_mktsegment, avg(c_acctbal) AS m FROM (SELECT * FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_acctbal DESC, c_custkey) <= 3) GROUP BY ALL) SELECT c_nationkey, {', '.join(f"round(max(m) FILTER (c_mktsegment = '{x}'), 6) AS {x.lower()}" for x in _SEGMENTS)}, round(avg(m), 6) AS mean FROM t GROUP BY ALL")
 def agg_36(spark, sf):
+    """The mean of each segment's three richest as columns, and the mean over the columns that are there."""
+    best = selection.top_k(read(spark, sf, "customer"), ["c_nationkey", "c_mktsegment"], [F.desc("c_acctbal"), F.col("c_custkey")], 3)
+    table = best.groupBy("c_nationkey").pivot("c_mktsegment", list(_SEGMENTS)).agg(F.avg("c_acctbal"))
+    return r9(metrics.with_row_mean(table.select("c_nationkey", *(F.col(x).alias(x.lower()) for x in _SEGMENTS)), [x.lower() for x in _SEGMENTS]), 6)
+
+
+@query("agg_36_whole", "WITH t AS (SELECT p_brand, p_size, avg(p_retailprice) AS m FROM (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_retailprice DESC, p_partkey) <= 3) GROUP BY ALL) SELECT p_brand, p_size, round(m, 6) AS m, round(avg(m) OVER (PARTITION BY p_brand), 6) AS mean FROM t")
+def agg_36_whole(spark, sf):
     """The mean of each size's three dearest, a row each, with the brand's mean over the sizes that it has."""
     best = selection.top_k(read(spark, sf, "part"), ["p_brand", "p_size"], [F.desc("p_retailprice"), F.col("p_partkey")], 3).groupBy("p_brand", "p_size").agg(F.avg("p_retailprice").alias("m"))
     return r9(best.join(best.groupBy("p_brand").agg(F.avg("m").alias("mean")), "p_brand"), 6)
 
 
-query("agg_36_whole", X.ORACLE["agg_36"])(agg_36)
-
-
 @query("agg_37", f"WITH {X.BASE}, m AS (SELECT condition, avg(s) AS s FROM base GROUP BY ALL) SELECT m.condition, round(m.s - b.s, 6) AS delta FROM m JOIN m b ON b.condition = 'CLN'")
 def agg_37(spark, sf):
     m = X.base(spark, sf).groupBy("condition").agg(F.avg("s").alias("s"))
@@ -550,9 +582,11 @@ def sup_03(spark, sf):
     return out
 
 
-@query("sup_05", f"WITH {X.DECISIONS} SELECT detector, condition, count(*) FILTER (study_label = 0 AND decision = 1) AS fp FROM decisions GROUP BY ALL")
+@query("sup_05", f"WITH {X.DECISIONS} SELECT detector, condition, count(*) FILTER (video_score >= threshold_value) AS fp, count(*) AS n_real, round(count(*) FILTER (video_score >= threshold_value) / count(*), 9) AS fpr FROM decisions WHERE study_label = 0 AND video_score IS NOT NULL GROUP BY ALL")
 def sup_05(spark, sf):
-    return X.decisions(spark, sf).groupBy("detector", "condition").agg(F.count_if((F.col("study_label") == 0) & (F.col("decision") == 1)).alias("fp"))
+    """False positives and their rate among the real videos that have a score, at the frozen threshold."""
+    real = X.decisions(spark, sf).where("study_label = 0 and video_score is not null")
+    return r9(thresholds.false_positives(real, ["detector", "condition"], "video_score", "threshold_value"))
 
 
 @query("sup_24", "SELECT list_value(lang, source) AS key, count(*) AS n FROM documents GROUP BY lang, source")
@@ -567,10 +601,15 @@ def sup_27(spark, sf):
     return planned.join(rows, ["video", "pos"], "left").select("video", F.col("pos").cast("long").alias("pos"), F.col("event_id").isNull().alias("failed"))
 
 
-@query("sup_33", f"WITH {X.BASE} SELECT count(*) AS violations FROM (SELECT video FROM base GROUP BY video HAVING count(DISTINCT (role, dataset, study_label, manipulation)) > 1)")
+_IDENTITY = ("dataset", "role", "subgroup", "study_label", "source_label", "base_video_id", "relative_source_path")
+_FACTS = """video, condition, dataset, role, CASE WHEN event_id % 101 = 3 THEN 'other' ELSE manipulation END AS subgroup, study_label, CASE WHEN event_id % 103 = 5 THEN NULL WHEN study_label = 0 THEN 'real' ELSE 'fake' END AS source_label,
+  CASE WHEN event_id % 107 = 6 THEN -1 ELSE video % 12 END AS base_video_id, CASE WHEN event_id % 109 = 7 THEN 'odd' ELSE 'clip' END AS relative_source_path, CASE WHEN event_id % 113 = 8 THEN 0 ELSE temporal_position END AS position"""
+
+
+@query("sup_33", f"WITH {X.BASE}, f AS (SELECT {_FACTS} FROM base), g AS (SELECT video, condition, {', '.join(f"count(DISTINCT coalesce(CAST({x} AS VARCHAR), '')) AS {x}" for x in _IDENTITY)}, count(*) - count(DISTINCT position) AS again FROM f GROUP BY ALL) {' UNION ALL '.join(f"SELECT video, condition, '{x}' AS rule FROM g WHERE {x} > 1" for x in _IDENTITY)} UNION ALL SELECT video, condition, 'position' FROM g WHERE again > 0")
 def sup_33(spark, sf):
-    rows = X.base(spark, sf).withColumn("identity", F.struct("role", "dataset", "study_label", "manipulation"))
-    return checks.not_constant(rows, ["video"], "identity").agg(F.count("*").alias("violations"))
+    """Videos whose frames disagree on one of seven fields, or share a position."""
+    return checks.identities(X.base(spark, sf).selectExpr(*X.split_columns(_FACTS)), ["video", "condition"], list(_IDENTITY), "position")
 
 
 @query("sup_44", "SELECT l_returnflag, l_linestatus, count(*) AS videos, CAST(sum(l_linenumber) AS BIGINT) AS frames FROM lineitem GROUP BY ALL")

@@ -9,7 +9,7 @@ from stillwater.functions import scalars as S
 from stillwater.operators import checks, resampling, selection
 from stillwater.plans import fixtures as X
 from stillwater.plans.fixtures import query, r9, read, scratch
-from stillwater.sources import readers, writers
+from stillwater.sources import committed, readers, writers
 
 
 # text
@@ -240,10 +240,13 @@ def src_10(spark, sf):
     return readers.aliased(read(spark, sf, "events"), {"id": ["record", "event_id"], "score": ["score", "value"]})
 
 
-@query("src_11", "SELECT count(*) > 0 AS found FROM customer")
+@query("src_11", "SELECT c_mktsegment AS subgroup, CAST(sum(strlen(c_name) + 1) AS BIGINT) AS bytes FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY ALL")
 def src_11(spark, sf):
-    read(spark, sf, "customer").select("c_name").write.mode("overwrite").text(path := scratch(spark, "files"))
-    return readers.files(spark, path, "part-*").select("path", "length").agg((F.count("*") > 0).alias("found"))
+    """Files below two of the five folders that are there, found at any depth; their sizes come without their contents."""
+    names = read(spark, sf, "customer").select("c_name", "c_mktsegment", (F.col("c_custkey") % 3).alias("deep"))
+    names.write.partitionBy("c_mktsegment", "deep").text(path := scratch(spark, "files"))
+    found = readers.discovered(spark, path, "*.txt", [f"c_mktsegment={x}" for x in ("BUILDING", "MACHINERY")])
+    return found.groupBy(F.substring_index("subgroup", "=", -1).alias("subgroup")).agg(F.sum("length").alias("bytes"))
 
 
 @query("src_15", "SELECT c_custkey, 'cust' AS kind FROM customer")
@@ -254,11 +257,21 @@ def src_15(spark, sf):
 
 @query("snk_02", "SELECT o_orderkey FROM orders")
 def snk_02(spark, sf):
-    path = scratch(spark, "append")
-    rows = read(spark, sf, "orders").select("o_orderkey")
-    rows.where("o_orderkey % 2 = 0").write.mode("overwrite").parquet(path)
-    writers.append(rows.where("o_orderkey % 2 <> 0"), path)
-    return spark.read.schema(rows.schema).parquet(path)
+    """Two batches appended, one of them twice: it is there once."""
+    path, rows = scratch(spark, "append"), read(spark, sf, "orders").select("o_orderkey")
+    committed.write(rows.where("o_orderkey % 2 = 0"), path, "even")
+    for _ in range(2):
+        committed.write(rows.where("o_orderkey % 2 <> 0"), path, "odd")
+    return committed.read(spark, path, rows.schema)
+
+
+@query("snk_10", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 2 = 0")
+def snk_10(spark, sf):
+    """A file set replaced by one move: rows of an old batch are seen until the new ones are."""
+    path, rows = scratch(spark, "replace"), read(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    committed.write(rows, path, "first")
+    committed.write(rows.where("o_orderkey % 2 = 0"), path, "second", overwrite=True)
+    return committed.read(spark, path, rows.schema)
 
 
 @query("snk_03", "SELECT n_nationkey AS id, n_name AS name, CAST(NULL AS VARCHAR) AS region FROM nation UNION ALL SELECT r_regionkey, NULL, r_name FROM region")
@@ -309,10 +322,15 @@ def smp_04(spark, sf):
     return read(spark, sf, "supplier").join(c, "s_nationkey", "left_anti").select("s_suppkey")
 
 
-@query("smp_05", "WITH p AS (SELECT r_name, n_name, count(*) OVER (PARTITION BY r_name) AS n FROM nation JOIN region ON n_regionkey = r_regionkey), e AS (SELECT *, unnest(range(0, CAST(ceil(32 / n) AS BIGINT) + 1)) AS pass FROM p) SELECT r_name, n_name, pass, place FROM (SELECT *, row_number() OVER (PARTITION BY r_name ORDER BY pass, md5('7::' || pass || '::' || n_name), n_name) AS place FROM e) WHERE place <= 32")
+@query("smp_05", "WITH p AS (SELECT c_nationkey, c_custkey, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer), t AS (SELECT max(n) + 7 AS target FROM p), e AS (SELECT *, unnest(range(0, CAST(ceil(target / n) AS BIGINT) + 1)) AS pass FROM p, t), o AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY pass, md5('7::' || pass || '::' || c_custkey), c_custkey) AS place FROM e) SELECT c_nationkey, c_custkey, pass, place, row_number() OVER (ORDER BY md5('7::all::' || c_nationkey || '::' || place), c_nationkey, place) AS slot FROM o WHERE place <= target")
 def smp_05(spark, sf):
-    rows = read(spark, sf, "nation").join(read(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return selection.exposures(rows, ["r_name"], "n_name", 7, 32).select("r_name", "n_name", F.col("pass").cast("long").alias("pass"), F.col("place").cast("long").alias("place"))
+    """Every group filled up to one target, no item dropped, then all exposures shuffled into one order."""
+    rows = read(spark, sf, "customer").select("c_nationkey", "c_custkey")
+    target = rows.groupBy("c_nationkey").count().agg(F.max("count")).first()[0] or 0
+    shown = selection.exposures(rows, ["c_nationkey"], "c_custkey", 7, target + 7)
+    shown = shown.select("c_nationkey", "c_custkey", F.col("pass").cast("long").alias("pass"), F.col("place").cast("long").alias("place"))
+    order = F.md5(F.concat_ws("::", F.lit("7::all"), F.col("c_nationkey").cast("string"), F.col("place").cast("string")))
+    return X.numbered(shown, [order, F.col("c_nationkey"), F.col("place")], "slot")
 
 
 @query("smp_07", "WITH r AS (SELECT c_nationkey, min(c_custkey) AS partner FROM customer GROUP BY ALL), p AS (SELECT r_name, n_name, partner, count(*) OVER (PARTITION BY r_name) AS n FROM nation JOIN region ON n_regionkey = r_regionkey JOIN r ON c_nationkey = n_nationkey), e AS (SELECT *, unnest(range(0, CAST(ceil(32 / n) AS BIGINT) + 1)) AS pass FROM p), o AS (SELECT *, row_number() OVER (PARTITION BY r_name ORDER BY pass, md5('7::' || pass || '::' || n_name), n_name) AS place FROM e) SELECT r_name, place, item, label FROM (SELECT r_name, place, n_name AS item, 1 AS label FROM o WHERE place <= 32 UNION ALL SELECT r_name, place, CAST(partner AS VARCHAR), 0 FROM o WHERE place <= 32)")
@@ -348,9 +366,14 @@ def qc_02(spark, sf):
     return checks.wrong_counts(read(spark, sf, "nation"), expected, ["n_regionkey"]).select("n_regionkey", "found")
 
 
-@query("qc_05", f"WITH {X.BASE} SELECT DISTINCT video FROM base WHERE NOT ((study_label = 0 AND manipulation = '') OR (study_label = 1 AND (manipulation <> '' OR dataset = 'second')))")
+_STATED = "CASE WHEN event_id % 211 = 5 THEN 'M9' WHEN event_id % 199 = 4 THEN '' ELSE manipulation END"
+
+
+@query("qc_05", f"WITH {X.BASE} SELECT DISTINCT video FROM (SELECT *, {_STATED} AS stated FROM base) WHERE NOT ((study_label = 0 AND stated = '') OR (study_label = 1 AND (stated <> '' OR dataset = 'second')))")
 def qc_05(spark, sf):
-    rule = ((F.col("study_label") == 0) & (F.col("manipulation") == "")) | ((F.col("study_label") == 1) & ((F.col("manipulation") != "") | (F.col("dataset") == "second")))
+    """Videos whose label and manipulation contradict each other."""
+    stated = F.expr(_STATED)
+    rule = ((F.col("study_label") == 0) & (stated == "")) | ((F.col("study_label") == 1) & ((stated != "") | (F.col("dataset") == "second")))
     return checks.broken(X.base(spark, sf), rule, ["video"]).distinct()
 
 

@@ -116,3 +116,18 @@ def label_list_faults(spark: SparkSession, path: str) -> DataFrame:
     joined = rows.join(several, "path", "left")
     fault = F.when(F.col("label").isNull(), "no_label").when(F.col("path").isNull(), "no_path").when(F.col("first") != F.struct("file", "line"), "repeated")
     return joined.withColumn("fault", fault).where("fault is not null").select("file", "line", "value", "fault")
+
+
+def discovered(spark: SparkSession, root: str, pattern: str, folders: list[str] | None = None) -> DataFrame:
+    """subgroup, path, length of the files below a root whose name fits, at any depth, without reading their contents.
+
+    With ``folders`` only those below the root are searched, each a subgroup, and one that isn't there is an error; without
+    them all files are of subgroup ".".  Files of no bytes are left out: Spark plans no reads of them.
+    """
+    root = root.rstrip("/")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    found = reader.load([f"{root}/{f}" for f in folders] if folders else root)
+    if not folders:
+        return found.select(F.lit(".").alias("subgroup"), "path", "length")
+    group = F.coalesce(*(F.when(F.contains("path", F.lit(f"{root}/{f}/")), F.lit(f)) for f in sorted(folders, key=len, reverse=True)))
+    return found.select(group.alias("subgroup"), "path", "length")
