@@ -2,12 +2,15 @@
 
 This kind of vocabulary drops white space and splits the rest by its own pattern; texts of well-settled characters are
 split by that pattern here, any other text at ASCII white space alone, so each word is encoded by itself, once in the
-corpus: ``distinct_words`` counts the words, ``word_table`` encodes each.  The ids come back by position.  The most
+corpus: ``distinct_words`` counts the words, ``word_table`` encodes and decodes each.  The ids come back by position.  The most
 frequent words (at most ``HEAD_WORDS`` and ``HEAD_BYTES``) are broadcast and looked up where the text is; the words
 beyond, each rare, go as (document, position, word) through a join with the table and return as one list a document.
 
-``decode`` joins ids with the id-to-piece table, whose size is the vocabulary's, and joins the pieces by spaces: the
-vocabulary file names no decoder.
+``decode`` joins the ids of the distinct words with the id-to-piece table, whose size is the vocabulary's, and puts the
+pieces of a word together by spaces: the vocabulary file names no decoder.  These texts go the way of the ids, so a document's
+decoded text is that of its words in a row.
+
+Rows are told apart by a 64-bit hash of doc_id and text; another seed is taken should two different rows share it.
 
 Null texts are empty: no ids, empty decoded text.  Rows that repeat doc_id and text share their lists.  Extra columns
 are kept where they are named in ``keep``.
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stillwater.llm import common, tokens
@@ -69,21 +72,51 @@ def distinct_words(docs: DataFrame) -> DataFrame:
     return _texts(docs).select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def word_table(words: DataFrame, vocabulary: str) -> DataFrame:
-    """word, n, ids (little-endian bytes): each distinct word is encoded once."""
+def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
+    """word, n, ids (little-endian bytes), numbers (the ids as an array): each distinct word is encoded once."""
+    kind = np.dtype(tokens.encoder(vocabulary).kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokens.encoder(vocabulary)
         for batch in batches:
             for a in range(0, batch.num_rows, 5000):
                 part = batch.slice(a, 5000)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.encode_each(part.column(0).to_pylist()), pa.binary())], names=["word", "n", "ids"])
+                ids = own.encode_each(part.column(0).to_pylist())
+                ends = np.cumsum([0] + [len(x) // kind.itemsize for x in ids]).astype(np.int32)
+                numbers = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), kind).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()), numbers], names=["word", "n", "ids", "numbers"])
+
+    return words.select("word", "n").mapInArrow(run, "word string, n long, ids binary, numbers array<int>")
+
+
+def pieces(spark: SparkSession, vocabulary: str) -> DataFrame:
+    """id, piece: one row an id of the vocabulary; ids without a piece have an empty one."""
+    own = tokens.encoder(vocabulary)
+    return spark.createDataFrame(pa.table({"id": pa.array(range(own.size), pa.int32()), "piece": pa.array([own.tokenizer.id_to_token(k) or "" for k in range(own.size)], pa.string())}))
 
-    return words.select("word", "n").mapInArrow(run, "word string, n long, ids binary")
+
+def decode(table: DataFrame, vocabulary: str) -> DataFrame:
+    """word, n, ids, decoded: the pieces of each word's ids, joined by spaces; null for a word without ids.
+
+    The id-to-piece table is broadcast, as the vocabulary bounds it; the rows of a word are put together in their task before
+    they move.
+    """
+    each = table.select("word", "n", "ids", F.posexplode_outer("numbers").alias("pos", "id"))
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0  # count and ids go with one row of a word
+    each = each.select("word", "pos", "id", F.when(first, F.col("n")).alias("n"), F.when(first, F.col("ids")).alias("ids"))
+    joined = each.join(F.broadcast(pieces(table.sparkSession, vocabulary)), "id", "left")
+    listed = F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "piece")))
+    whole = joined.groupBy("word").agg(F.max("n").alias("n"), F.max("ids").alias("ids"), listed.alias("l"))
+    return whole.select("word", "n", "ids", F.when(F.size("l") > 0, F.array_join(F.sort_array("l")["piece"], " ")).alias("decoded"))
+
+
+def word_table(words: DataFrame, vocabulary: str) -> DataFrame:
+    """word, n, ids, decoded: each distinct word encoded and decoded once."""
+    return decode(encode_words(words, vocabulary), vocabulary)
 
 
 class Head:
-    """The most frequent words with their ids; a worker builds the look-up once."""
+    """The most frequent words with their ids and decoded texts; a worker builds the look-up once."""
 
     def __init__(self, words: pa.Table):
         self.words, self.known = words, None
@@ -91,9 +124,10 @@ class Head:
     def __getstate__(self):
         return {"words": self.words, "known": None}
 
-    def lookup(self) -> dict[str, bytes]:
+    def lookup(self) -> dict[str, tuple[bytes, str | None]]:
         if self.known is None:
-            self.known = dict(zip(self.words.column("word").to_pylist(), self.words.column("ids").to_pylist(), strict=True))
+            word, ids, decoded = (self.words.column(c).to_pylist() for c in ("word", "ids", "decoded"))
+            self.known = dict(zip(word, zip(ids, decoded, strict=True), strict=True))
         return self.known
 
 
@@ -104,23 +138,35 @@ def _head(table: DataFrame) -> Head:
     """
     weight = F.col("n") * LONGEST / F.greatest(F.lit(LONGEST), F.octet_length("word"))
     ranked = table.withColumn("level", F.floor(F.log2(weight) * 16).cast("int"))
-    rows = ranked.groupBy("level").agg(F.count("*").alias("n"), F.sum(F.octet_length("word") + F.octet_length("ids")).alias("b")).collect()  # 16 a power of 2
+    rows = ranked.groupBy("level").agg(F.count("*").alias("n"), F.sum(F.octet_length("word") + F.octet_length("ids") + F.coalesce(F.octet_length("decoded"), F.lit(0))).alias("b")).collect()  # 16 a power of 2
     least, words, size = 1 << 20, 0, 0
     for row in sorted(rows, key=lambda r: -r["level"]):
         words, size = words + row["n"], size + row["b"]
         if words > HEAD_WORDS or size > HEAD_BYTES:
             break
         least = row["level"]
-    return Head(ranked.where(F.col("level") >= least).select("word", "ids").toArrow())
+    return Head(ranked.where(F.col("level") >= least).select("word", "ids", "decoded").toArrow())
+
+
+def _row_key(docs: DataFrame) -> Column:
+    """A 64-bit hash of doc_id and text that no two different rows share."""
+    for seed in range(16):
+        row = F.xxhash64(F.col("doc_id").cast("long"), common.text_of(), F.lit(seed))
+        other = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.substring(common.text_key(), 1, 16).alias("own"))
+        keys = docs.select(row.alias("row"), other.alias("other")).groupBy("row").agg(F.min("other").alias("a"), F.max("other").alias("b"))
+        if keys.where(~F.col("a").eqNullSafe(F.col("b"))).isEmpty():
+            break
+    return row
 
 
 def encode(docs: DataFrame, vocabulary: str, then, schema: str, scratch: common.Scratch, keep: list[str] | None = None) -> DataFrame:
-    """Encode every document and hand (ids, kind) of a block to ``then``, which returns the columns of ``schema``.
+    """Encode every document and hand (ids, decoded texts, kind) of a block to ``then``, which returns the columns of ``schema``.
 
     The result has ``keep`` (default doc_id) and the columns of ``schema``.
     """
     spark = docs.sparkSession
     table = scratch.table(word_table(distinct_words(docs), vocabulary), "words")
+    row = _row_key(docs)
     head = spark.sparkContext.broadcast(_head(table))
     kind = tokens.encoder(vocabulary).kind
     common.release(spark)
@@ -140,24 +186,25 @@ def encode(docs: DataFrame, vocabulary: str, then, schema: str, scratch: common.
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(words, pa.string())], names=["_row", "pos", "word"])
 
     # rows that repeat doc_id and text have one key and ask for the same list, each place of which is kept once
-    marked = _texts(docs).select(F.xxhash64("doc_id", "text").alias("_row"), "text")
+    marked = docs.select(row.alias("_row"), common.text_of().alias("text"))
     asked = marked.mapInArrow(rare, "_row long, pos int, word string")
-    tail = asked.join(table.select("word", "ids"), "word").groupBy("_row").agg(F.collect_set(F.struct("pos", "ids")).alias("_rare"))
+    tail = asked.join(table.select("word", "ids", "decoded"), "word").groupBy("_row").agg(F.collect_set(F.struct("pos", "ids", "decoded")).alias("_rare"))
     names = keep if keep is not None else ["doc_id"]
-    rows = docs.select(*(F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(names)), common.text_of().alias("_text"), F.xxhash64(F.col("doc_id").cast("long"), common.text_of()).alias("_row"))
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(names)), common.text_of().alias("_text"), row.alias("_row"))
     joined = common.packed(rows, "_text").join(tail, "_row", "left")
-    joined = joined.select(*(F.col(f"_{k}") for k in range(len(names))), "_text", F.col("_rare.pos").alias("_pos"), F.col("_rare.ids").alias("_ids"))
+    joined = joined.select(*(F.col(f"_{k}") for k in range(len(names))), "_text", F.col("_rare.pos").alias("_pos"), F.col("_rare.ids").alias("_ids"), F.col("_rare.decoded").alias("_decoded"))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = head.value.lookup()
         for batch in batches:
-            lists = []
-            for text, places, ids in zip(common.unpack(batch.column("_text").to_pylist()), batch.column("_pos").to_pylist(), batch.column("_ids").to_pylist(), strict=True):
+            lists, decoded = [], []
+            for text, places, *rare in zip(common.unpack(batch.column("_text").to_pylist()), *(batch.column(c).to_pylist() for c in ("_pos", "_ids", "_decoded")), strict=True):
                 own = list(map(known.get, split(text)))
-                for k, x in zip(places or (), ids or (), strict=True):
+                for k, *x in zip(places or (), *(r or () for r in rare), strict=True):
                     own[k] = x
-                lists.append(b"".join(own))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *then(lists, kind)], schema=pa.schema([batch.schema.field(k) for k in range(len(names))] + list(_arrow(schema))))
+                lists.append(b"".join([ids for ids, _ in own]))
+                decoded.append(" ".join([x for _, x in own if x is not None]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *then(lists, decoded, kind)], schema=pa.schema([batch.schema.field(k) for k in range(len(names))] + list(_arrow(schema))))
 
     out = joined.mapInArrow(assemble, ", ".join([f"`_{k}` {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(names)] + [schema]))
     return out.select(*(F.col(f"_{k}").alias(c) for k, c in enumerate(names)), *(x.name for x in _arrow(schema)))
@@ -168,35 +215,14 @@ def _arrow(schema: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))])
 
 
-def pieces(vocabulary: str) -> list[str]:
-    """The id-to-piece table; ids without a piece are empty."""
-    own = tokens.encoder(vocabulary)
-    return [own.tokenizer.id_to_token(k) or "" for k in range(own.size)]
-
-
-class Decoder:
-    """Joins ids with their pieces; a worker loads the table once."""
-
-    _tables: dict[str, list[str]] = {}
-
-    def __init__(self, vocabulary: str):
-        self.vocabulary = vocabulary
-
-    def __call__(self, ids: bytes, kind: str) -> str:
-        if self.vocabulary not in self._tables:
-            self._tables[self.vocabulary] = pieces(self.vocabulary)
-        return " ".join(map(self._tables[self.vocabulary].__getitem__, np.frombuffer(ids, kind).tolist()))
-
-
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """One row a document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     spark = common.prepare(docs.sparkSession)
-    decode = Decoder(vocabulary)
 
-    def then(lists: list[bytes], kind: str) -> list[pa.Array]:
+    def then(lists: list[bytes], decoded: list[str], kind: str) -> list[pa.Array]:
         sizes = [len(x) // np.dtype(kind).itemsize for x in lists]
         ids = [hashlib.sha256(np.frombuffer(x, kind).astype("<u4").tobytes()).hexdigest() for x in lists]
-        texts = [hashlib.sha256(decode(x, kind).encode("utf-8", "surrogatepass")).hexdigest() for x in lists]
+        texts = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in decoded]
         return [pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
 
     return encode(docs, vocabulary, then, "n_tokens long, ids_sha256 string, decoded_sha256 string", common.Scratch(spark, "word_bpe"))
@@ -206,10 +232,9 @@ def encoded(docs: DataFrame, vocabulary: str, keep: list[str] | None = None) ->
     """The columns ``keep`` (default doc_id) of each document, its ids (little-endian, four bytes each), their number and
     the decoded text."""
     spark = common.prepare(docs.sparkSession)
-    decode = Decoder(vocabulary)
 
-    def then(lists: list[bytes], kind: str) -> list[pa.Array]:
+    def then(lists: list[bytes], decoded: list[str], kind: str) -> list[pa.Array]:
         wide = [np.frombuffer(x, kind).astype("<u4").tobytes() for x in lists]
-        return [pa.array(wide, pa.binary()), pa.array([len(x) // 4 for x in wide], pa.int64()), pa.array([decode(x, kind) for x in lists], pa.string())]
+        return [pa.array(wide, pa.binary()), pa.array([len(x) // 4 for x in wide], pa.int64()), pa.array(decoded, pa.string())]
 
     return encode(docs, vocabulary, then, "ids binary, n_tokens long, decoded string", common.Scratch(spark, "word_bpe"), keep)

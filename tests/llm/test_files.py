@@ -156,3 +156,18 @@ def test_archive_reader(spark):
 
     for name, _ in files.sizes(path, ".warc.gz"):  # any gzip reader can read the archives
         assert gzip.decompress(files.read(f"{path}/{name}")).startswith(b"WARC/1.1\r\n")
+
+
+def test_words_are_decoded_by_a_join(spark):
+    """Each distinct word's decoded text is the library's, and documents put them together."""
+    lib = plain(WORDS)
+    words = ["hello", "zyxwvut", "Ünïcode", "日本", "a" * 300, "x1-2", "́", "�"]
+    docs = spark.createDataFrame([(k, w) for k, w in enumerate(words)] + [(99, " \t "), (100, None)], "doc_id long, text string")
+    rows = word_bpe.word_table(word_bpe.distinct_words(docs), WORDS).collect()
+    assert len({r["word"] for r in rows}) == len(rows)
+    for r in rows:
+        ids = lib.encode(r["word"], add_special_tokens=False).ids
+        assert (r["decoded"] or "") == lib.decode(ids, skip_special_tokens=False)
+        assert (r["decoded"] is None) == (not ids) and np.frombuffer(r["ids"], "<u2").tolist() == ids
+    plan = word_bpe.word_table(word_bpe.distinct_words(docs), WORDS)._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan
