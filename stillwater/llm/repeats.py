@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stillwater.llm import common
@@ -147,12 +147,12 @@ def _documents(docs: DataFrame, seed: int) -> DataFrame:
             joined = [b" ".join(own) for own in words]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([_root(x, seed) for x in joined], pa.int64()), pa.array(list(map(len, words)), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in joined], pa.string())], names=["doc_id", "row", "root", "n_words", "all_sha256"])
 
-    found = _rows(docs).mapInArrow(run, "doc_id long, row long, root long, n_words long, all_sha256 string")
+    found = _rows(docs, seed).mapInArrow(run, "doc_id long, row long, root long, n_words long, all_sha256 string")
     return found.withColumn("rank", F.coalesce("doc_id", F.lit(LAST)))
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+def _rows(docs: DataFrame, seed: int) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).withColumn("row", F.xxhash64("doc_id", "text", F.lit(seed)))
 
 
 def _filed(docs: DataFrame, seed: int) -> DataFrame:
@@ -196,7 +196,8 @@ def _digests(texts: list[str], owner: np.ndarray, places: np.ndarray) -> tuple[n
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """hash_a, hash_b, rank, row, place, found: candidate windows; found: a smaller rank in the same batch has it."""
+    """hash_a, hash_b, rank, row, place, found: candidate windows; found: a smaller rank in the same batch has it, so its
+    digest, which nobody needs any more, is 0."""
     for batch in batches:
         ranks, rows = (batch.column(c).to_numpy() for c in ("rank", "row"))
         texts = common.unpack(batch.column("text").to_pylist())
@@ -215,8 +216,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         least = ranks[owner][np.flatnonzero(head)][np.cumsum(head) - 1] if len(a) else ranks[:0]
         found = ranks[owner] > least
-        # what is settled here needs no company: any hash will do, one that spreads
-        a = np.where(found, common.int64(common.mix64((starts + np.arange(len(starts))).astype(np.uint64) ^ a.view(np.uint64))), a)
+        a, b = np.where(found, 0, a), np.where(found, 0, b)
         for k in range(0, len(a), 100_000):
             s = slice(k, k + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(a[s]), pa.array(b[s]), pa.array(ranks[owner[s]]), pa.array(rows[owner[s]]), pa.array((starts[s] - t.starts[owner[s]]).astype(np.int32)), pa.array(found[s])], names=["hash_a", "hash_b", "rank", "row", "place", "found"])
@@ -242,22 +242,32 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     scratch = common.Scratch(spark, "repeats")
     for seed in range(16):
         documents = scratch.table(_documents(docs, seed), f"documents-{seed}")
-        if documents.groupBy("root").agg(F.min("all_sha256").alias("a"), F.max("all_sha256").alias("b")).where("a != b").isEmpty():
+        # neither topmost names nor the hashes that tell rows apart may stand for different words
+        same = [documents.groupBy(key).agg(F.min("all_sha256").alias("a"), F.max("all_sha256").alias("b")).where("a != b").isEmpty() for key in ("root", "row")]
+        if all(same):
             break
     # the first of equal texts; of equal ranks any row, as their words are the same
     best = documents.groupBy("root").agg(F.min(F.struct("rank", "row")).alias("m"), F.count("*").alias("n"))
     texts = scratch.table(best.select("root", F.col("m.rank").alias("rank"), F.col("m.row").alias("row"), "n"), "texts")
-    per_key = Window.partitionBy("key")
-    filed = _filed(docs, seed).withColumns({"a": F.min("root").over(per_key), "b": F.max("root").over(per_key)}).where("a != b")
-    shared = scratch.table(filed.groupBy("root").agg(F.collect_set("key").alias("keys")), "shared")
+    filed = scratch.table(_filed(docs, seed), "filed")
+    held_by = filed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n"))
+    several = scratch.table(held_by.where("a != b").select("key", "n"), "several")
+    found = common.heavy_light_join(filed, several, ["key"], "n", filed.count())
+    shared = scratch.table(found.groupBy("root").agg(F.collect_set("key").alias("keys")), "shared")
+    scratch.drop("filed")
     common.release(spark)
     wanted = shared.join(texts, "root").select("root", "rank", "row", "keys")
-    held = scratch.table(wanted.join(common.packed(_rows(docs).select("row", "text")), "row").dropDuplicates(["root"]), "held")
+    held = scratch.table(wanted.join(common.packed(_rows(docs, seed).select("row", "text")), "row").dropDuplicates(["root"]), "held")
     common.release(spark)
-    same = Window.partitionBy("hash_a", "hash_b")
     windows = held.select("rank", "root", "text", "keys").withColumnRenamed("root", "row").mapInArrow(_candidates, "hash_a long, hash_b long, rank long, row long, place int, found boolean")
-    seen = windows.withColumn("least", F.min("rank").over(same)).where("found or rank > least")
+    windows = scratch.table(windows, "windows")
+    open_ = windows.where("not found").drop("found")
+    first = open_.groupBy("hash_a", "hash_b").agg(F.min("rank").alias("least"), F.max("rank").alias("most"), F.count("*").alias("n"))
+    first = scratch.table(first.where("least < most").drop("most"), "first")
+    later = common.heavy_light_join(open_, first, ["hash_a", "hash_b"], "n", open_.count()).where("rank > least")
+    seen = windows.where("found").select("row", "place").unionByName(later.select("row", "place"))
     places = scratch.table(seen.groupBy(F.col("row").alias("root")).agg(F.collect_list("place").alias("places")), "places")
+    scratch.drop("windows")
     common.release(spark)
     cut = scratch.table(held.select("root", "text").join(places, "root").mapInArrow(_cut, "root long, gone long, cut_sha256 string"), "cut")
     common.release(spark)

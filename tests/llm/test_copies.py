@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from llm_tables import table
 
-from stillwater.llm import decontaminate, exact_dedup, ngram_join, repeats
+from stillwater.llm import common, decontaminate, exact_dedup, ngram_join, repeats
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -307,3 +307,14 @@ def test_one_row_of_each_group_is_kept(spark):
     kept = [(r["text_sha256"], r["doc_id"]) for r in got if r["kept"]]
     assert sorted(kept, key=repr) == sorted([(sha("two"), 7), (sha("x"), 9), (sha("y"), None), (sha(""), 3)], key=repr)
     assert len(got) == len(rows)
+
+
+@pytest.mark.parametrize("parts", [2, 512])
+def test_passage_that_many_texts_hold(spark, monkeypatch, parts):
+    """Every text holds one passage between words of its own; its keys and digests are heavy, and none is lost."""
+    monkeypatch.setattr(common, "HEAVY_PARTS", parts)
+    passage = [f"p{k}" for k in range(70)]
+    rows = [(d, " ".join([f"a{d}x{k}" for k in range(d % 7)] + passage + [f"b{d}x{k}" for k in range(60)])) for d in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in repeats.cut_repeats(docs).collect()}
+    assert got == {d: (d % 7 + 130, 70 if d else 0) for d, _ in rows}
