@@ -10,7 +10,9 @@ are pushed down: a reader inflates no more than the headers of a record that the
 
 Payloads that occur twice are stored once: the record with the smallest page_id is the response, the others revisit it.
 Null html counts as an empty payload, null urls leave out the target, and records without page_id never get referred to
-while their group has one with.  Rows that repeat a page_id are records of their own.  Extra columns are not read.
+while their group has one with.  Rows that repeat a page_id are records of their own, each with its own record id.  Of rows
+that repeat page_id and payload and would all be the response, the one with the smallest url is (nulls last; of rows that repeat
+that too, any one), and the others revisit it.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from stillwater.llm import common, files
 
-PAGES = "page_id long, url string, payload binary, payload_bytes long, payload_sha1 string, refers_to long"
+PAGES = "page_id long, record_id string, url string, payload binary, payload_bytes long, payload_sha1 string, refers_to long"
 RECORDS = "record_type string, record_id string, page_id long, target_uri string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 RANGE_BYTES = 64 << 20
 
@@ -42,12 +44,13 @@ _MAGIC = b"\x1f\x8b\x08\x04"
 _HEADERS = ("record_type", "record_id", "page_id", "target_uri", "payload_digest", "refers_to")
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:page:{'none' if page_id is None else page_id}>"
+def record_id(page_id: int | None, name: str) -> str:
+    """The id of a record: its page and a name that no other record of the page has."""
+    return f"<urn:page:{'none' if page_id is None else page_id}:{name}>"
 
 
 def page_of(identifier: str) -> int | None:
-    found = re.fullmatch(r"<urn:page:(-?\d+)>", identifier)
+    found = re.fullmatch(r"<urn:page:(-?\d+):[^>]*>", identifier)
     return int(found[1]) if found else None
 
 
@@ -59,17 +62,17 @@ def member(record: bytes) -> bytes:
     return _FIXED.pack(_MAGIC, 0, 0, 255, 12, b"s", b"l", 8, len(record) & 0xFFFFFFFF, whole) + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, size: int, sha1: str, refers_to: int | None) -> bytes:
-    """A response record, or a revisit record without payload."""
+def record(page_id: int | None, identifier: str | None, url: str | None, payload: bytes, size: int, sha1: str, refers_to: int | None) -> bytes:
+    """A response record, or a revisit record without payload; one without identifier gets a random name."""
     digest = base64.b32encode(bytes.fromhex(sha1)).decode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {_DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {identifier or record_id(page_id, uuid.uuid4().hex)}", f"WARC-Date: {_DATE}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     lines += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response"]
     if refers_to is not None:
-        lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}"]
+        lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, sha1)}"]
     lines.append(f"Content-Length: {len(block)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -109,7 +112,7 @@ class WarcWriter(DataSourceArrowWriter):
         with system.open_output_stream(path, compression=None) as out:
             out.write(member(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nWARC-Date: {_DATE}\r\nContent-Type: application/warc-fields\r\nContent-Length: 18\r\n\r\nformat: WARC/1.1\r\n\r\n\r\n".encode()))
             for batch in iterator:
-                for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "payload_bytes", "payload_sha1", "refers_to")), strict=True):
+                for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "record_id", "url", "payload", "payload_bytes", "payload_sha1", "refers_to")), strict=True):
                     out.write(member(record(*row)))
         return Written(name)
 
@@ -222,12 +225,27 @@ def write_pages(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     files.create_dir(path)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(common.text_of("html"), "UTF-8").alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_sha1": F.sha1("payload")})
-    # groups of two or more, by digest alone: no payload moves for them
-    groups = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    joined = common.attach(rows, groups, "payload_sha1", "n", rows.select("page_id").count(), ["first"], spread=["page_id", "url"])
-    refers = F.when((F.col("payload_bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    out = joined.withColumn("refers_to", refers).withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")))
-    out.select("page_id", "url", "payload", "payload_bytes", "payload_sha1", "refers_to").write.format("warc").option("path", path).mode("append").save()
+    big = F.col("payload_bytes") >= least_bytes
+    # groups of two or more, by digest alone: no payload moves for them; tied: rows that the smallest page_id has in the group
+    each = rows.where(big).groupBy("payload_sha1", "page_id").agg(F.count("*").alias("m"))
+    groups = each.groupBy("payload_sha1").agg(F.min("page_id").alias("first"), F.min_by("m", "page_id").alias("tied"), F.sum("m").alias("n"))
+    scratch = common.Scratch(spark, "warc-groups")
+    groups = scratch.table(groups.where("n > 1 and first is not null"), "groups")
+    joined = common.attach(rows, groups, "payload_sha1", "n", rows.select("page_id").count(), ["first", "tied"], spread=["page_id", "url"])
+    out = joined.withColumn("refers_to", F.when(big & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
+    if not groups.where("tied > 1").isEmpty():
+        tied = F.coalesce(big & (F.col("page_id") == F.col("first")) & (F.col("tied") > 1), F.lit(False))
+        leads = scratch.table(out.where(tied).withColumn("at", F.monotonically_increasing_id()), "tied")
+        best = leads.groupBy("payload_sha1").agg(F.min(F.struct(F.col("url").isNull().alias("a"), F.col("url").alias("b"), F.col("at").alias("c"))).alias("best"), F.count("*").alias("n"))
+        best = scratch.table(best.select("payload_sha1", F.col("best.c").alias("lead"), F.col("n").alias("rows")), "best")
+        settled = common.heavy_light_join(leads, best, ["payload_sha1"], "rows", leads.count())
+        settled = settled.withColumn("refers_to", F.when(F.col("at") != F.col("lead"), F.col("first")))
+        out = out.where(~tied).unionByName(settled.select(out.columns))
+    out = out.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")))
+    # a response that others may refer to is the only one of its page and payload
+    named = F.concat(F.lit("<urn:page:"), F.col("page_id").cast("string"), F.lit(":"), "payload_sha1", F.lit(">"))
+    out = out.withColumn("record_id", F.when(big & F.col("refers_to").isNull(), named))
+    out.select("page_id", "record_id", "url", "payload", "payload_bytes", "payload_sha1", "refers_to").write.format("warc").option("path", path).mode("append").save()
 
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:

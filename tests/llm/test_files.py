@@ -158,6 +158,32 @@ def test_archive_reader(spark):
         assert gzip.decompress(files.read(f"{path}/{name}")).startswith(b"WARC/1.1\r\n")
 
 
+def test_archives_of_repeated_pages(spark):
+    """Each record has an id of its own, and of rows that repeat page_id and payload one is the response."""
+    rows = [(5, "u2", "x"), (5, "u1", "x"), (5, "u1", "x"), (5, None, "x"), (5, "u1", "y"), (6, "u1", "x"), (None, "u1", "x"), (None, "u1", "z"), (None, "u1", "z"), (7, "u", ""), (7, "u", "")]
+    path = common.Scratch(common.prepare(spark), "warc-test").sub("b")
+    warc.write_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), path, least_bytes=1)
+    found = [r for r in warc.read(spark, path).collect() if r["record_type"] != "warcinfo"]
+    assert len({r["record_id"] for r in found}) == len(found) == len(rows)
+    assert sorted(((r["page_id"], r["target_uri"]) for r in found), key=repr) == sorted(((p, u) for p, u, _ in rows), key=repr)
+    told = [(r["page_id"], r["target_uri"], bytes(r["payload"]).decode()) for r in found if r["record_type"] == "response"]
+    assert sorted(told, key=repr) == sorted([(5, "u1", "x"), (5, "u1", "y"), (None, "u1", "z"), (None, "u1", "z"), (7, "u", ""), (7, "u", "")], key=repr)
+    assert [r["refers_to"] for r in found if r["record_type"] == "revisit"] == [5] * 5
+
+
+def test_archives_of_long_payloads(spark):
+    """Payloads of more bytes than an Arrow batch may hold, and one in two archives' worth of ranges."""
+    rows = [(k, f"u{k}", "".join(chr(97 + (i * k) % 26) for i in range(997)) * (9000 if k < 3 else 1)) for k in range(1, 5)] + [(9, "u9", None)]
+    rows.append((8, "u8", rows[0][2]))
+    path = common.Scratch(common.prepare(spark), "warc-test").sub("c")
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    warc.write_pages(docs, path)
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert table(warc.read(spark, path).where("record_type <> 'warcinfo'"), *columns) == brute_pages(rows)
+    held = {r["page_id"]: bytes(r["payload"]).decode() for r in warc.read(spark, path).where("record_type = 'response'").collect()}
+    assert held == {p: h or "" for p, _, h in rows if p != 8}
+
+
 def test_words_are_decoded_by_a_join(spark):
     """Each distinct word's decoded text is the library's, and documents put them together."""
     lib = plain(WORDS)
