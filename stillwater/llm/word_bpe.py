@@ -98,16 +98,44 @@ def pieces(spark: SparkSession, vocabulary: str) -> DataFrame:
 def decode(table: DataFrame, vocabulary: str) -> DataFrame:
     """word, n, ids, decoded: the pieces of each word's ids, joined by spaces; null for a word without ids.
 
-    The id-to-piece table is broadcast, as the vocabulary bounds it; the rows of a word are put together in their task before
-    they move.
+    The id-to-piece table is broadcast, as the vocabulary bounds it, so the rows of a word stay in their task in a row and are
+    put together there; a word whose rows are not 0 to size - 1 raises an error.
     """
-    each = table.select("word", "n", "ids", F.posexplode_outer("numbers").alias("pos", "id"))
+    each = table.select("word", "n", "ids", F.size("numbers").alias("size"), F.posexplode_outer("numbers").alias("pos", "id"))
     first = F.coalesce(F.col("pos"), F.lit(0)) == 0  # count and ids go with one row of a word
-    each = each.select("word", "pos", "id", F.when(first, F.col("n")).alias("n"), F.when(first, F.col("ids")).alias("ids"))
+    each = each.select(*(F.when(first, F.col(c)).alias(c) for c in ("word", "n", "ids", "size")), "pos", "id")
     joined = each.join(F.broadcast(pieces(table.sparkSession, vocabulary)), "id", "left")
-    listed = F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "piece")))
-    whole = joined.groupBy("word").agg(F.max("n").alias("n"), F.max("ids").alias("ids"), listed.alias("l"))
-    return whole.select("word", "n", "ids", F.when(F.size("l") > 0, F.array_join(F.sort_array("l")["piece"], " ")).alias("decoded"))
+    return joined.select("word", "n", "ids", "size", "pos", "piece").mapInArrow(_gather, "word string, n long, ids binary, decoded string")
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a word from its rows in order; a batch's last word may go on in the next one."""
+
+    def whole(part: pa.Table) -> pa.RecordBatch:
+        pos = part.column("pos").to_numpy()
+        pos = np.where(np.isnan(pos), -1, pos) if pos.dtype.kind == "f" else pos
+        starts = np.flatnonzero(pos <= 0)
+        ends = np.append(starts[1:], len(pos))
+        lead = part.take(pa.array(starts))
+        size = lead.column("size").to_numpy()
+        if len(pos) and (starts[:1].tolist() != [0] or (size != np.where(pos[starts] < 0, 0, ends - starts)).any() or (np.diff(pos) != 1)[pos[1:] > 0].any()):
+            raise ValueError("the pieces of a word are not in its task in order")
+        piece = part.column("piece").to_pylist()
+        decoded = [" ".join(piece[a:b]) if k else None for a, b, k in zip(starts.tolist(), ends.tolist(), size.tolist(), strict=True)]
+        columns = [lead.column(c).combine_chunks() for c in ("word", "n", "ids")]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(decoded, pa.string())], names=["word", "n", "ids", "decoded"])
+
+    held = None
+    for batch in batches:
+        part = pa.Table.from_batches([batch])
+        part = pa.concat_tables([held, part]).combine_chunks() if held is not None else part
+        last = np.flatnonzero(~(part.column("pos").fill_null(0).to_numpy() > 0))
+        cut = int(last[-1]) if len(last) else 0
+        held = part.slice(cut)
+        if cut:
+            yield whole(part.slice(0, cut))
+    if held is not None and held.num_rows:
+        yield whole(held)
 
 
 def word_table(words: DataFrame, vocabulary: str) -> DataFrame:

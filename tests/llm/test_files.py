@@ -184,6 +184,31 @@ def test_archives_of_long_payloads(spark):
     assert held == {p: h or "" for p, _, h in rows if p != 8}
 
 
+def test_pieces_out_of_order_are_an_error():
+    """Words may go on from batch to batch; a piece that is missing or out of order is no silent loss."""
+    import pyarrow as pa
+
+    def batches(rows, cuts):
+        names = ("word", "n", "ids", "size", "pos", "piece")
+        kinds = (pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.string())
+        for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+            part = list(zip(*rows[a:b], strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, kinds, strict=True)], names=names)
+
+    def word(w, parts):
+        return [(w if k == 0 else None, 1 if k == 0 else None, b"" if k == 0 else None, len(parts) if k == 0 else None, k, p) for k, p in enumerate(parts)]
+
+    rows = word("ab", ["a", "b"]) + [("-", 3, b"", 0, None, None)] + word("cdefg", list("cdefg")) + word("h", ["h"])
+    want = [("ab", "a b"), ("-", None), ("cdefg", "c d e f g"), ("h", "h")]
+    for cuts in ([], [1], [2], [3], [4, 5, 5, 7], list(range(1, len(rows)))):
+        got = [x for b in word_bpe._gather(batches(rows, cuts)) for x in zip(b.column("word").to_pylist(), b.column("decoded").to_pylist(), strict=True)]
+        assert got == want
+    for wrong in (rows[1:], rows[:4] + rows[5:], rows[:4] + [rows[5], rows[4]] + rows[6:], rows[:7] + rows[8:]):
+        with pytest.raises(ValueError):
+            list(word_bpe._gather(batches(wrong, [])))
+    assert list(word_bpe._gather(iter([]))) == []
+
+
 def test_words_are_decoded_by_a_join(spark):
     """Each distinct word's decoded text is the library's, and documents put them together."""
     lib = plain(WORDS)
