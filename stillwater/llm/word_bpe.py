@@ -216,7 +216,9 @@ def encode(docs: DataFrame, vocabulary: str, then, schema: str, scratch: common.
     # rows that repeat doc_id and text have one key and ask for the same list, each place of which is kept once
     marked = docs.select(row.alias("_row"), common.text_of().alias("text"))
     asked = marked.mapInArrow(rare, "_row long, pos int, word string")
-    tail = asked.join(table.select("word", "ids", "decoded"), "word").groupBy("_row").agg(F.collect_set(F.struct("pos", "ids", "decoded")).alias("_rare"))
+    # the words of a document come from all over, so flat rows move, not lists of one: a list is 2 to 3 times as large
+    found = asked.join(table.select("word", "ids", "decoded"), "word").select("_row", "pos", "ids", "decoded").repartition("_row")
+    tail = found.groupBy("_row").agg(F.collect_set(F.struct("pos", "ids", "decoded")).alias("_rare"))
     names = keep if keep is not None else ["doc_id"]
     rows = docs.select(*(F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(names)), common.text_of().alias("_text"), row.alias("_row"))
     joined = common.packed(rows, "_text").join(tail, "_row", "left")
