@@ -8,7 +8,8 @@ beyond, each rare, go as (document, position, word) through a join with the tabl
 
 ``decode`` joins the ids of the distinct words with the id-to-piece table, whose size is the vocabulary's, and puts the
 pieces of a word together by spaces: the vocabulary file names no decoder.  These texts go the way of the ids, so a document's
-decoded text is that of its words in a row.
+decoded text is that of its words in a row.  Where the pieces spell the word and an ending, only their lengths and the ending
+move (``cuts``), as the word is in the document's text.
 
 Rows are told apart by a 64-bit hash of doc_id and text; another seed is taken should two different rows share it.
 
@@ -95,9 +96,35 @@ def pieces(spark: SparkSession, vocabulary: str) -> DataFrame:
     return spark.createDataFrame(pa.table({"id": pa.array(range(own.size), pa.int32()), "piece": pa.array([own.tokenizer.id_to_token(k) or "" for k in range(own.size)], pa.string())}))
 
 
-def decode(table: DataFrame, vocabulary: str) -> DataFrame:
+def cuts(word: str, parts: list[str]) -> bytes:
+    """The pieces of a word, in short where they spell it: 0, their number, their lengths, what follows the word; else 1 and the
+    pieces joined by spaces."""
+    spelt = "".join(parts)
+    sizes = list(map(len, parts))
+    if len(parts) < 256 and max(sizes) < 256 and spelt.startswith(word):
+        return bytes([0, len(parts), *sizes]) + spelt[len(word) :].encode("utf-8", "surrogatepass")
+    return b"\x01" + " ".join(parts).encode("utf-8", "surrogatepass")
+
+
+def uncut(word: str, short: bytes | None) -> str | None:
+    """The pieces of a word joined by spaces, from ``cuts``; null for null."""
+    if short is None:
+        return None
+    if short[0] == 1:
+        return short[1:].decode("utf-8", "surrogatepass")
+    n = short[1]
+    spelt, at, parts = word + short[2 + n :].decode("utf-8", "surrogatepass"), 0, []
+    for size in short[2 : 2 + n]:
+        parts.append(spelt[at : at + size])
+        at += size
+    return " ".join(parts)
+
+
+def decode(table: DataFrame, vocabulary: str, short: bool = False) -> DataFrame:
     """word, n, ids, decoded: the pieces of each word's ids, joined by spaces; null for a word without ids.
 
+    With ``short``, decoded is the binary form of ``cuts``.
+
     The id-to-piece table is broadcast, as the vocabulary bounds it, so the rows of a word stay in their task in a row and are
     put together there; a word whose rows are not 0 to size - 1 raises an error.
     """
@@ -105,10 +132,10 @@ def decode(table: DataFrame, vocabulary: str) -> DataFrame:
     first = F.coalesce(F.col("pos"), F.lit(0)) == 0  # count and ids go with one row of a word
     each = each.select(*(F.when(first, F.col(c)).alias(c) for c in ("word", "n", "ids", "size")), "pos", "id")
     joined = each.join(F.broadcast(pieces(table.sparkSession, vocabulary)), "id", "left")
-    return joined.select("word", "n", "ids", "size", "pos", "piece").mapInArrow(_gather, "word string, n long, ids binary, decoded string")
+    return joined.select("word", "n", "ids", "size", "pos", "piece").mapInArrow(lambda it: _gather(it, short), f"word string, n long, ids binary, decoded {'binary' if short else 'string'}")
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gather(batches: Iterator[pa.RecordBatch], short: bool = False) -> Iterator[pa.RecordBatch]:
     """One row a word from its rows in order; a batch's last word may go on in the next one."""
 
     def whole(part: pa.Table) -> pa.RecordBatch:
@@ -121,9 +148,11 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(pos) and (starts[:1].tolist() != [0] or (size != np.where(pos[starts] < 0, 0, ends - starts)).any() or (np.diff(pos) != 1)[pos[1:] > 0].any()):
             raise ValueError("the pieces of a word are not in its task in order")
         piece = part.column("piece").to_pylist()
-        decoded = [" ".join(piece[a:b]) if k else None for a, b, k in zip(starts.tolist(), ends.tolist(), size.tolist(), strict=True)]
         columns = [lead.column(c).combine_chunks() for c in ("word", "n", "ids")]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(decoded, pa.string())], names=["word", "n", "ids", "decoded"])
+        form = cuts if short else lambda _, parts: " ".join(parts)
+        words = zip(columns[0].to_pylist(), starts.tolist(), ends.tolist(), size.tolist(), strict=True)
+        decoded = [form(w, piece[a:b]) if k else None for w, a, b, k in words]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(decoded, pa.binary() if short else pa.string())], names=["word", "n", "ids", "decoded"])
 
     held = None
     for batch in batches:
@@ -138,13 +167,13 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield whole(held)
 
 
-def word_table(words: DataFrame, vocabulary: str) -> DataFrame:
+def word_table(words: DataFrame, vocabulary: str, short: bool = False) -> DataFrame:
     """word, n, ids, decoded: each distinct word encoded and decoded once."""
-    return decode(encode_words(words, vocabulary), vocabulary)
+    return decode(encode_words(words, vocabulary), vocabulary, short)
 
 
 class Head:
-    """The most frequent words with their ids and decoded texts; a worker builds the look-up once."""
+    """The most frequent words with their ids and the short form of their pieces; a worker builds the look-up once."""
 
     def __init__(self, words: pa.Table):
         self.words, self.known = words, None
@@ -155,7 +184,7 @@ class Head:
     def lookup(self) -> dict[str, tuple[bytes, str | None]]:
         if self.known is None:
             word, ids, decoded = (self.words.column(c).to_pylist() for c in ("word", "ids", "decoded"))
-            self.known = dict(zip(word, zip(ids, decoded, strict=True), strict=True))
+            self.known = {w: (i, uncut(w, d)) for w, i, d in zip(word, ids, decoded, strict=True)}
         return self.known
 
 
@@ -193,7 +222,7 @@ def encode(docs: DataFrame, vocabulary: str, then, schema: str, scratch: common.
     The result has ``keep`` (default doc_id) and the columns of ``schema``.
     """
     spark = docs.sparkSession
-    table = scratch.table(word_table(distinct_words(docs), vocabulary), "words")
+    table = scratch.table(word_table(distinct_words(docs), vocabulary, short=True), "words")
     row = _row_key(docs)
     head = spark.sparkContext.broadcast(_head(table))
     kind = tokens.encoder(vocabulary).kind
@@ -229,9 +258,10 @@ def encode(docs: DataFrame, vocabulary: str, then, schema: str, scratch: common.
         for batch in batches:
             lists, decoded = [], []
             for text, places, *rare in zip(common.unpack(batch.column("_text").to_pylist()), *(batch.column(c).to_pylist() for c in ("_pos", "_ids", "_decoded")), strict=True):
-                own = list(map(known.get, split(text)))
-                for k, *x in zip(places or (), *(r or () for r in rare), strict=True):
-                    own[k] = x
+                words = split(text)
+                own = list(map(known.get, words))
+                for k, i, d in zip(places or (), *(r or () for r in rare), strict=True):
+                    own[k] = (i, uncut(words[k], d))
                 lists.append(b"".join([ids for ids, _ in own]))
                 decoded.append(" ".join([x for _, x in own if x is not None]))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *then(lists, decoded, kind)], schema=pa.schema([batch.schema.field(k) for k in range(len(names))] + list(_arrow(schema))))

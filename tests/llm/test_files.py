@@ -209,6 +209,13 @@ def test_pieces_out_of_order_are_an_error():
     assert list(word_bpe._gather(iter([]))) == []
 
 
+def test_pieces_in_short_are_exact():
+    for word, parts in [("abc", ["a", "bc</w>"]), ("abc", ["abc"]), ("Abc", ["a", "bc</w>"]), ("日本", ["日", "本</w>"]), ("x" * 300, ["x" * 300]), ("y" * 300, ["y"] * 300), ("a", ["", "a", ""]), ("ab", ["a", " b"])]:
+        assert word_bpe.uncut(word, word_bpe.cuts(word, parts)) == " ".join(parts)
+    assert word_bpe.uncut("a", None) is None
+    assert len(word_bpe.cuts("zyxwvut", ["zy", "xw", "vut</w>"])) == 9
+
+
 def test_words_are_decoded_by_a_join(spark):
     """Each distinct word's decoded text is the library's, and documents put them together."""
     lib = plain(WORDS)
