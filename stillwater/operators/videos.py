@@ -14,7 +14,7 @@ def mean_scores(frames: DataFrame, keys: list[str], expected: int) -> DataFrame:
     face_found repeats score_available: a video counts as seen when a frame of it was scored.
     """
     scored = F.count("score")
-    out = frames.groupBy(*keys).agg(F.avg("score").alias("score"), F.bround(F.avg("label"), 0).cast("int").alias("label"), scored.cast("long").alias("n_frames_scored"))
+    out = frames.groupBy(*keys).agg(S.steady_mean("score").alias("score"), F.bround(F.avg("label"), 0).cast("int").alias("label"), scored.cast("long").alias("n_frames_scored"))
     available = F.col("n_frames_scored") > 0
     partial = available & (F.col("n_frames_scored") < expected)
     reason = F.when(~available, "no_scored_frames_for_video").when(partial, "partial_frame_coverage").otherwise("")
@@ -42,7 +42,7 @@ def strict_scores(frames: DataFrame, plan: DataFrame, keys: list[str], video: li
         F.sort_array(F.collect_list("temporal_position")).alias("received"),
         F.count_if(ok).alias("n_ok"),
         F.count_if(ok & fine).alias("n_fine"),
-        F.avg("score").alias("mean"),
+        S.steady_mean("score").alias("mean"),
     )
     joined = seen.join(plan.select(*video, "positions"), video, "left")
     positions = F.coalesce("positions", F.array().cast("array<int>"))
