@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from stillwater.functions import scalars as S
 from stillwater.operators import checks, metrics, selection, thresholds, videos
 from stillwater.plans import fixtures as X
 from stillwater.plans.fixtures import query, r9, read
@@ -16,7 +17,7 @@ CUTOFF, MARGIN = 0.1, 0.02
 
 def wide(spark, sf):
     """One row a video with a mean score of each condition; videos lacking a condition are left out."""
-    rows = X.base(spark, sf).groupBy("video").pivot("condition", list(metrics.CONDITIONS)).agg(F.avg("s"))
+    rows = X.base(spark, sf).groupBy("video").pivot("condition", list(metrics.CONDITIONS)).agg(S.steady_mean("s"))
     facts = X.base(spark, sf).groupBy("video").agg(F.max("study_label").alias("label"), F.max("manipulation").alias("manipulation"), F.max("role").alias("role"), F.countDistinct("condition").alias("n"))
     joined = rows.join(facts.where("n = 5").drop("n"), "video")
     return joined.select("video", "label", "manipulation", "role", *(F.col(c).alias(c.lower()) for c in metrics.CONDITIONS))
