@@ -32,12 +32,17 @@ def units(rows: DataFrame, context: list[str], unit: str = "video") -> DataFrame
 
 
 def draws(numbered: DataFrame, context: list[str], replicates: int, seed: int, stream: str) -> DataFrame:
-    """replicate, stratum, k, w: how often each unit was drawn; a unit that wasn't has no row."""
+    """replicate, stratum, k, w: how often each unit was drawn; a unit that wasn't has no row.
+
+    Strata of up to ``MOST_ROWS`` units are drawn in blocks; of larger ones a draw is a row, in the task of its replicate.
+    """
     sizes = numbered.groupBy(*context, "stratum").agg(F.max("n").alias("n"))
-    each = sizes.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    each = each.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    keys, most = [*context, "stratum", "replicate"], F.lit(blocks.MOST_ROWS)
+    each = sizes.where(F.col("n") > most).select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    each = blocks.dealt(each, keys).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
     k = S.draw("n", F.lit(seed), F.lit(stream), "replicate", "stratum", "i").cast("int")
-    return each.withColumn("k", k).groupBy(*context, "stratum", "replicate", "k").agg(F.count("*").alias("w"))
+    large = each.withColumn("k", k).groupBy(*keys, "k").agg(F.count("*").alias("w"))
+    return blocks.unit_counts(sizes.where(F.col("n") <= most), context, replicates, seed, stream).unionByName(large)
 
 
 def resampled(rows: DataFrame, context: list[str], replicates: int, seed: int, stream: str, unit: str = "video") -> DataFrame:

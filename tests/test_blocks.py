@@ -5,8 +5,9 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from stillwater.operators import replicates
+from stillwater.operators import replicates, resampling
 
 
 @pytest.mark.parametrize("length", [0, 1, 55, 56, 63, 64, 119, 120, 200])
@@ -23,6 +24,23 @@ def test_numbers_of_all_widths(monkeypatch):
     assert replicates.portable_numbers(1, "s", range(3), "real", 0).shape == (3, 0)
 
 
+@pytest.fixture(scope="module")
+def numbered(spark):
+    rows = spark.range(50).select(F.concat(F.lit("d"), F.col("id") % 1).alias("detector"), F.when(F.col("id") < 13, "real").otherwise("M1").alias("stratum"), F.col("id").alias("video"))
+    return resampling.units(rows, ["detector"])
+
+
+def test_replicates_of_a_stratum_are_many_tasks(numbered, monkeypatch):
+    """One task counted the draws of all replicates of a stratum."""
+    monkeypatch.setattr(replicates, "HELD", 100)
+    want = {(s, r, k): w for s, n in (("real", 13), ("M1", 37)) for r in range(20) for k, w in enumerate(replicates.drawn("portable", 5, "x", r, [(s, n)])[0].tolist()) if w}
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(replicates, "MOST_ROWS", most)
+        drawn = resampling.draws(numbered, ["detector"], 20, 5, "x")
+        assert {(r["stratum"], r["replicate"], r["k"]): r["w"] for r in drawn.collect()} == want
+        assert drawn.where("stratum = 'M1'").select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_a_block_holds_few_entries():
     """A task's arrays don't grow with the product of replicates and rows: 250 replicates took 400 MB here."""
     n = 20_000
