@@ -22,12 +22,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 DONE = ("ok",)
 RECORD = "key string, seq long, status string"
 STATE = "seq long, status string, attempts long, recovered long, redone long, stale long"
+COLUMNS = ("key", "seq", "status", "attempts", "recovered", "redone", "stale")
 
 
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     seq, status, attempts, recovered, redone, stale = state.get if state.exists else (None, None, 0, 0, 0, 0)
-    rows = pd.concat([f[["seq", "status"]] for f in frames]).sort_values(["seq", "status"], kind="stable")
-    for own, now in zip(rows["seq"].tolist(), rows["status"].tolist(), strict=True):
+    # a key has few records, so lists: concatenating and sorting frames would cost more than all else
+    for own, now in sorted(r for f in frames for r in zip(f["seq"].tolist(), f["status"].tolist(), strict=True)):
         attempts += 1
         if seq is not None and own < seq:
             stale += 1
@@ -38,7 +39,7 @@ def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
         seq, status = own, now
     values = (int(seq), status, attempts, int(recovered), int(redone), stale)
     state.update(values)
-    yield pd.DataFrame([(key[0], *values)], columns=["key", "seq", "status", "attempts", "recovered", "redone", "stale"])
+    yield pd.DataFrame(dict(zip(COLUMNS, ((v,) for v in (key[0], *values)), strict=True)))
 
 
 def advance(spark: SparkSession, log: str, out: str, checkpoint: str, files_per_batch: int | None = None) -> None:

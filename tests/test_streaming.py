@@ -60,3 +60,22 @@ def test_empty_log_has_no_states(spark, tmp_path):
     write(tmp_path / "log", "a.json", [])
     resume.advance(spark, str(tmp_path / "log"), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
     assert resume.current(spark, str(tmp_path / "out")).count() == 0
+
+
+def test_a_call_makes_no_frames_of_its_records(monkeypatch):
+    """A key's records were concatenated and sorted as frames: two milliseconds a key, most of the run on many keys."""
+    import pandas as pd
+
+    class State:
+        exists, get = True, (3, "ok", 2, 0, 0, 0)
+
+        def update(self, values):
+            self.values = values
+
+    frames = [pd.DataFrame({"seq": [9, 2], "status": ["ok", "failed"]}), pd.DataFrame({"seq": [5, 9], "status": ["failed", "failed"]})]
+    monkeypatch.setattr(pd, "concat", None)
+    state = State()
+    (out,) = resume._advance(("k",), iter(frames), state)
+    # in the order of seq, then status: 2 is stale; 5 failed, 9 failed, 9 ok
+    assert state.values == (9, "ok", 6, 1, 1, 1)
+    assert out.to_dict("records") == [{"key": "k", "seq": 9, "status": "ok", "attempts": 6, "recovered": 1, "redone": 1, "stale": 1}]
