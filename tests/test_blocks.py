@@ -42,7 +42,7 @@ def test_replicates_of_a_stratum_are_many_tasks(numbered, monkeypatch):
 
 
 def test_a_block_holds_few_entries():
-    """A task's arrays don't grow with the product of replicates and rows: 250 replicates took 400 MB here."""
+    """A task's arrays don't grow with the product of replicates and rows."""
     n = 20_000
     import pyarrow as pa
 

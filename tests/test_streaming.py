@@ -63,7 +63,7 @@ def test_empty_log_has_no_states(spark, tmp_path):
 
 
 def test_a_call_makes_no_frames_of_its_records(monkeypatch):
-    """A key's records were concatenated and sorted as frames: two milliseconds a key, most of the run on many keys."""
+    """A key's records were concatenated and sorted as frames, which took two milliseconds a key."""
     import pandas as pd
 
     class State:
