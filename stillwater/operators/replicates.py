@@ -68,78 +68,131 @@ class Twister:
 _TURNS = [7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 10, 15, 21] * 4
 _SINES = [int(abs(math.sin(k + 1)) * 2**32) for k in range(64)]
 _START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
-#: Digests at a time, so that the arrays of a round stay in a core's cache.
-AT_ONCE = 1 << 14
+#: Digests at a time: few enough for a core's cache, enough that the calls of a round don't count.
+AT_ONCE = 1 << 15
+_MASK = 0xFFFFFFFF
+
+
+def _which(k: int) -> int:
+    """The word of a block that round k takes."""
+    return (k, 5 * k + 1, 3 * k + 5, 7 * k)[k // 16] % 16
+
+
+def _round(k: int, a: int, b: int, c: int, d: int, word: int) -> tuple[int, int, int, int]:
+    """One round on numbers."""
+    f = (d ^ (b & (c ^ d)), c ^ (d & (b ^ c)), b ^ c ^ d, c ^ (b | ~d & _MASK))[k // 16]
+    f = f + a + _SINES[k] + word & _MASK
+    return d, b + (f << _TURNS[k] | f >> 32 - _TURNS[k]) & _MASK, b, c
+
+
+def _md5_of_words(words: list[int | np.ndarray], n: int) -> np.ndarray:
+    """The first 32 bits of n MD5s, a round at a time over all of them.
+
+    ``words`` are those of the padded texts, 16 a block: an array of n, or a number where all texts agree.  Rounds before the
+    first word that differs are done once, and a sum of constants is added at once.
+    """
+    state, last = list(_START), len(words) - 16
+    f, turned = np.empty(n, np.uint32), np.empty(n, np.uint32)
+    for first in range(0, len(words), 16):
+        own, begin = [x.copy() if isinstance(x, np.ndarray) else x for x in state], 0
+        while begin < 64 and not any(isinstance(x, np.ndarray) for x in (*own, words[first + _which(begin)])):
+            own = list(_round(begin, *own, words[first + _which(begin)]))
+            begin += 1
+        if begin < 64 or first == last:
+            a, b, c, d = (np.full(n, x, np.uint32) if isinstance(x, int) else x for x in own)
+            # what the last three rounds make of b, c and d isn't asked for: the head is what the 61st round made
+            rounds = 61 if first == last and begin <= 61 else 64
+            for k in range(begin, rounds):
+                if k < 16:  # d ^ (b & (c ^ d))
+                    np.bitwise_xor(c, d, out=f)
+                    np.bitwise_and(f, b, out=f)
+                    np.bitwise_xor(f, d, out=f)
+                elif k < 32:  # c ^ (d & (b ^ c))
+                    np.bitwise_xor(b, c, out=f)
+                    np.bitwise_and(f, d, out=f)
+                    np.bitwise_xor(f, c, out=f)
+                elif k < 48:  # b ^ c ^ d
+                    np.bitwise_xor(b, c, out=f)
+                    np.bitwise_xor(f, d, out=f)
+                else:  # c ^ (b | ~d)
+                    np.bitwise_not(d, out=f)
+                    np.bitwise_or(f, b, out=f)
+                    np.bitwise_xor(f, c, out=f)
+                word = words[first + _which(k)]
+                np.add(f, a, out=f)
+                if isinstance(word, np.ndarray):
+                    np.add(f, word, out=f)
+                    word = 0
+                np.add(f, np.uint32(_SINES[k] + word & _MASK), out=f)
+                np.left_shift(f, np.uint32(_TURNS[k]), out=turned)
+                np.right_shift(f, np.uint32(32 - _TURNS[k]), out=f)
+                np.bitwise_or(f, turned, out=f)
+                np.add(f, b, out=f)
+                a, b, c, d, f = d, f, b, c, a
+            own = [b if rounds == 61 else a, b, c, d]
+        state = [x + y if isinstance(x, np.ndarray) else x + y & _MASK for x, y in zip(own, state, strict=True)]
+    return state[0].byteswap()
 
 
 def md5_heads(texts: np.ndarray) -> np.ndarray:
-    """The first 32 bits of the MD5 of each row of texts (bytes, all of one length), a round at a time over all rows."""
+    """The first 32 bits of the MD5 of each row of texts (bytes, all of one length)."""
     n, length = texts.shape
+    padded = _padded(n, length)
+    padded[:, :length], padded[:, length] = texts, 0x80
+    return _md5_of_words(list(np.ascontiguousarray(padded.view("<u4").T).astype(np.uint32, copy=False)), n)
+
+
+def _padded(n: int, length: int) -> np.ndarray:
+    """Room for n texts of one length and what MD5 puts after them, of which the length is there."""
     size = (length + 8) // 64 * 64 + 64
     padded = np.zeros((n, size), np.uint8)
-    padded[:, :length], padded[:, length] = texts, 0x80
     padded[:, size - 8 :] = np.frombuffer((8 * length).to_bytes(8, "little"), np.uint8)
-    words = np.ascontiguousarray(padded.view("<u4").T).astype(np.uint32, copy=False)
-    state = [np.full(n, x, np.uint32) for x in _START]
-    f, turned = np.empty(n, np.uint32), np.empty(n, np.uint32)
-    for first in range(0, size // 4, 16):
-        a, b, c, d = (x.copy() for x in state)
-        for k in range(64):
-            if k < 16:  # d ^ (b & (c ^ d))
-                g = k
-                np.bitwise_xor(c, d, out=f)
-                np.bitwise_and(f, b, out=f)
-                np.bitwise_xor(f, d, out=f)
-            elif k < 32:  # c ^ (d & (b ^ c))
-                g = (5 * k + 1) % 16
-                np.bitwise_xor(b, c, out=f)
-                np.bitwise_and(f, d, out=f)
-                np.bitwise_xor(f, c, out=f)
-            elif k < 48:  # b ^ c ^ d
-                g = (3 * k + 5) % 16
-                np.bitwise_xor(b, c, out=f)
-                np.bitwise_xor(f, d, out=f)
-            else:  # c ^ (b | ~d)
-                g = 7 * k % 16
-                np.bitwise_not(d, out=f)
-                np.bitwise_or(f, b, out=f)
-                np.bitwise_xor(f, c, out=f)
-            for x in (a, np.uint32(_SINES[k]), words[first + g]):
-                np.add(f, x, out=f)
-            np.left_shift(f, np.uint32(_TURNS[k]), out=turned)
-            np.right_shift(f, np.uint32(32 - _TURNS[k]), out=f)
-            np.bitwise_or(f, turned, out=f)
-            np.add(f, b, out=f)
-            a, b, c, d, f = d, f, b, c, a
-        state = [x + y for x, y in zip(state, (a, b, c, d), strict=True)]
-    return state[0].byteswap()
+    return padded
+
+
+def _by_width(stop: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The decimal digits of the numbers below stop as bytes, a matrix for each number of digits, and where it starts."""
+    start, width = 0, 1
+    while start < stop:
+        numbers = np.arange(start, min(stop, 10**width), dtype=np.int64)
+        yield start, np.stack([numbers // 10**p % 10 + 48 for p in range(width - 1, -1, -1)], 1).astype(np.uint8)
+        start, width = 10**width, width + 1
 
 
-def _by_width(numbers: range) -> Iterator[tuple[int, np.ndarray]]:
-    """The decimal digits of a range of numbers as bytes, a matrix for each number of digits, and where it starts."""
-    start = numbers.start
-    while start < numbers.stop:
-        stop = min(numbers.stop, 10 ** len(str(start)))
-        yield start - numbers.start, np.array(range(start, stop), "S").view(np.uint8).reshape(stop - start, -1)
-        start = stop
+def _ends(tail: np.ndarray, shift: int) -> np.ndarray:
+    """The words of the texts' ends, which begin ``shift`` bytes into a word: a row a word."""
+    n, width = tail.shape
+    ends = np.zeros((n, (shift + width) // 4 * 4 + 4), np.uint8)
+    ends[:, shift : shift + width], ends[:, shift + width] = tail, 0x80
+    return np.ascontiguousarray(ends.view("<u4").T).astype(np.uint32, copy=False)
 
 
 def portable_numbers(seed: int, stream: str, replicates: range, stratum: str, n: int) -> np.ndarray:
-    """The first 32 bits of the MD5 of seed::stream::replicate::stratum::i: a row a replicate, a column for each i below n."""
+    """The first 32 bits of the MD5 of seed::stream::replicate::stratum::i: a row a replicate, a column for each i below n.
+
+    The texts of a replicate differ in their last digits alone, so only the words with these are arrays.
+    """
     out = np.empty((len(replicates), n), np.uint32)
-    head, middle = (np.frombuffer(x.encode(), np.uint8) for x in (f"{seed}::{stream}::", f"::{stratum}::"))
-    tails = list(_by_width(range(n)))
-    for row, own in _by_width(replicates):
-        fronts = np.hstack([np.tile(head, (len(own), 1)), own, np.tile(middle, (len(own), 1))])
-        width = fronts.shape[1]
-        for column, tail in tails:
-            found = np.empty(len(own) * len(tail), np.uint32)
-            for k in range(0, len(found), AT_ONCE):
-                r, i = np.divmod(np.arange(k, min(k + AT_ONCE, len(found))), len(tail))
-                texts = np.empty((len(r), width + tail.shape[1]), np.uint8)
-                texts[:, :width], texts[:, width:] = fronts[r], tail[i]
-                found[k : k + len(r)] = md5_heads(texts)
-            out[row : row + len(own), column : column + len(tail)] = found.reshape(len(own), -1)
+    fronts = [f"{seed}::{stream}::{r}::{stratum}::".encode() for r in replicates]
+    for column, tail in _by_width(n):
+        m, width = tail.shape
+        most, row, ends = max(1, AT_ONCE // m), 0, {}
+        while row < len(fronts):  # replicates of one number of digits, several at a time where n is small
+            front = len(fronts[row])
+            own = [x for x in fronts[row : row + most] if len(x) == front]
+            at, shift = divmod(front, 4)
+            end = ends[shift] if shift in ends else ends.setdefault(shift, _ends(tail, shift))
+            fixed = _padded(len(own), front + width)
+            fixed[:, :front] = np.frombuffer(b"".join(own), np.uint8).reshape(len(own), front)
+            fixed = fixed.view("<u4").T
+            for k in range(0, m, AT_ONCE):
+                here = min(AT_ONCE, m - k)
+                words: list[int | np.ndarray] = [int(x[0]) if (x == x[0]).all() else np.repeat(x, here).astype(np.uint32, copy=False) for x in fixed]
+                for j, x in enumerate(end[:, k : k + here]):
+                    x = np.tile(x, len(own))
+                    words[at + j] = x | (words[at + j] if isinstance(words[at + j], np.ndarray) else np.uint32(words[at + j]))
+                out[row : row + len(own), column + k : column + k + here] = _md5_of_words(words, len(own) * here).reshape(len(own), here)
+            row += len(own)
     return out
 
 

@@ -74,3 +74,14 @@ def test_detectors_share_numbers(monkeypatch):
         for k, r in enumerate(range(2, 6)):
             assert [counts[s][k].tolist() for s in ("M1", "real")] == [w.tolist() for w in replicates.drawn("portable", 1, "x", r, [("M1", n), ("real", n)])]
     assert sorted(calls[:2]) == [("M1", 8), ("real", 8)]
+
+
+@pytest.mark.parametrize("stream", ["absolute", "é" * 40])
+def test_only_words_with_digits_of_places_are_arrays(monkeypatch, stream):
+    """All 16 words of each text were built and went through all 64 rounds, also where a replicate's texts agree."""
+    seen, own = [], replicates._md5_of_words
+    monkeypatch.setattr(replicates, "_md5_of_words", lambda words, n: seen.append(sum(isinstance(x, np.ndarray) for x in words)) or own(words, n))
+    monkeypatch.setattr(replicates, "AT_ONCE", 1 << 10)
+    got = replicates.portable_numbers(1024, stream, range(999, 1001), "real", 3000)
+    assert max(seen) <= 3
+    assert got[:, [0, 9, 10, 999, 1000, 2999]].tolist() == [[int(hashlib.md5(f"1024::{stream}::{r}::real::{i}".encode()).hexdigest()[:8], 16) for i in (0, 9, 10, 999, 1000, 2999)] for r in (999, 1000)]
