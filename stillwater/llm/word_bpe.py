@@ -5,11 +5,12 @@ split by that pattern here, any other text at ASCII white space alone, so each w
 corpus: ``distinct_words`` counts the words, ``word_table`` encodes and decodes each.  The ids come back by position.  The most
 frequent words (at most ``HEAD_WORDS`` and ``HEAD_BYTES``) are broadcast and looked up where the text is; the words
 beyond, each rare, go as (document, position, word) through a join with the table and return as one list a document.
+A document itself moves as the numbers of its words in that head and the words beyond (``pack``), not as its text.
 
 ``decode`` joins the ids of the distinct words with the id-to-piece table, whose size is the vocabulary's, and puts the
 pieces of a word together by spaces: the vocabulary file names no decoder.  These texts go the way of the ids, so a document's
 decoded text is that of its words in a row.  Where the pieces spell the word and an ending, only their lengths and the ending
-move (``cuts``), as the word is in the document's text.
+move (``cuts``), as the word goes with its document.
 
 Rows are told apart by a 64-bit hash of doc_id and text; another seed is taken should two different rows share it.
 
@@ -26,14 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stillwater.llm import common, tokens
 
 HEAD_WORDS = 400_000
 HEAD_BYTES = 16 << 20
 LONGEST = 64
+#: Words of documents that are put together at a time.
+HELD_WORDS = 1 << 20
 
 #: The pattern of the vocabulary for lower-cased texts of settled characters, and ASCII white space.
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{tokens.LETTER}]+|[{tokens.NUMBER}]|[^\\s{tokens.LETTER}{tokens.NUMBER}]+")
@@ -173,23 +179,78 @@ def word_table(words: DataFrame, vocabulary: str, short: bool = False) -> DataFr
 
 
 class Head:
-    """The most frequent words with their ids and the short form of their pieces; a worker builds the look-up once."""
+    """The most frequent words, most frequent first, with their ids and the short form of their pieces.
+
+    A worker builds the form that its tasks need, once: numbers of words, or ids and decoded texts by number.
+    """
 
     def __init__(self, words: pa.Table):
-        self.words, self.known = words, None
+        self.words, self.known, self.made = words, None, None
 
     def __getstate__(self):
-        return {"words": self.words, "known": None}
+        return {"words": self.words, "known": None, "made": None}
 
-    def lookup(self) -> dict[str, tuple[bytes, str | None]]:
+    def numbers(self) -> dict[str, int]:
         if self.known is None:
-            word, ids, decoded = (self.words.column(c).to_pylist() for c in ("word", "ids", "decoded"))
-            self.known = {w: (i, uncut(w, d)) for w, i, d in zip(word, ids, decoded, strict=True)}
+            self.known, self.made = {w: k for k, w in enumerate(self.words.column("word").to_pylist())}, None
         return self.known
 
+    def arrays(self) -> tuple[pa.Array, pa.Array]:
+        if self.made is None:
+            word, short = (self.words.column(c).to_pylist() for c in ("word", "decoded"))
+            decoded = pa.array([uncut(w, d) for w, d in zip(word, short, strict=True)], pa.string())
+            self.known, self.made = None, (_whole(self.words.column("ids")), decoded)
+        return self.made
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def pack(text: str, known: dict[str, int]) -> tuple[bytes, bytes]:
+    """The numbers of a text's words, len(known) for a word beyond, and these words, each as a zstd frame (nothing for none).
+
+    The first bytes of all numbers come first, then the second and the third ones, most of which are alike.
+    """
+    words = split(text)
+    found = list(map(known.get, words))
+    beyond = [w for w, k in zip(words, found, strict=True) if k is None] if None in found else []
+    if beyond:
+        found = [len(known) if k is None else k for k in found]
+    small = zstandard.ZstdCompressor(level=1)
+    planes = np.array(found, "<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
+    return small.compress(planes), small.compress("\n".join(beyond).encode("utf-8", "surrogatepass")) if beyond else b""
+
+
+def unpack(numbers: bytes, beyond: bytes) -> tuple[np.ndarray, list[str]]:
+    """The numbers and the words beyond, from ``pack``."""
+    big = zstandard.ZstdDecompressor()
+    planes = np.frombuffer(big.decompress(numbers), np.uint8).reshape(3, -1).astype(np.uint32)
+    return planes[0] | planes[1] << 8 | planes[2] << 16, big.decompress(beyond).decode("utf-8", "surrogatepass").split("\n") if beyond else []
+
+
+def put_together(numbers: list[np.ndarray], rare: list[tuple[bytes, str | None]], ids: pa.Array, decoded: pa.Array) -> tuple[list[bytes], list[str]]:
+    """ids and decoded text of each document: those of its numbers, and of ``rare`` in turn where a number is len(ids)."""
+    flat, none = np.concatenate([np.zeros(0, np.uint32), *numbers]).astype(np.int64), len(ids)
+    beyond = np.flatnonzero(flat == none)
+    if len(beyond) != len(rare):
+        raise ValueError(f"{len(beyond)} words beyond the head, {len(rare)} found")
+    flat[beyond] += np.arange(len(rare))
+    if rare:
+        ids = pa.concat_arrays([ids, pa.array([i for i, _ in rare], pa.binary())])
+        decoded = pa.concat_arrays([decoded, pa.array([d for _, d in rare], pa.string())])
+    some = decoded.is_valid().to_numpy(zero_copy_only=False)[flat]  # a word without ids leaves no space
+    ends = np.append(0, np.cumsum(some))[np.cumsum([0, *map(len, numbers)])].astype(np.int32)
+    flat = pa.array(flat[some])
+    return tuple(pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), own.take(flat)), by).to_pylist() for own, by in ((ids, b""), (decoded, " ")))
+
 
 def _head(table: DataFrame) -> Head:
-    """Words from a weight on that at most HEAD_WORDS words reach, found from a histogram of the weights' logarithms.
+    return _parted(table)[0]
+
+
+def _parted(table: DataFrame) -> tuple[Head, DataFrame]:
+    """Words from a weight on that at most HEAD_WORDS words reach, found from a histogram of the weights' logarithms; the others.
 
     The weight of a word is its count; one of more than LONGEST bytes counts so much less as it is longer.
     """
@@ -202,7 +263,8 @@ def _head(table: DataFrame) -> Head:
         if words > HEAD_WORDS or size > HEAD_BYTES:
             break
         least = row["level"]
-    return Head(ranked.where(F.col("level") >= least).select("word", "ids", "decoded").toArrow())
+    most = ranked.where(F.col("level") >= least).select("word", "ids", "decoded", "n").toArrow()
+    return Head(most.sort_by([("n", "descending")]).drop_columns("n")), ranked.where(F.col("level") < least).select("word", "ids", "decoded")
 
 
 def _row_key(docs: DataFrame) -> Column:
@@ -224,12 +286,14 @@ def encode(docs: DataFrame, vocabulary: str, then, schema: str, scratch: common.
     spark = docs.sparkSession
     table = scratch.table(word_table(distinct_words(docs), vocabulary, short=True), "words")
     row = _row_key(docs)
-    head = spark.sparkContext.broadcast(_head(table))
+    most, others = _parted(table)
+    head = spark.sparkContext.broadcast(most)
+    del most
     kind = tokens.encoder(vocabulary).kind
     common.release(spark)
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = head.value.lookup()
+        known = head.value.numbers()
         for batch in batches:
             keys, places, words = [], [], []
             for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -242,29 +306,44 @@ def encode(docs: DataFrame, vocabulary: str, then, schema: str, scratch: common.
                             words.append(w)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(words, pa.string())], names=["_row", "pos", "word"])
 
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = head.value.numbers()
+        for batch in batches:
+            *others, text = batch.columns
+            packs = [pack(t, known) for t in text.to_pylist()]
+            columns = [pa.array([p[k] for p in packs], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*others, *columns], names=[*batch.schema.names[:-1], "_numbers", "_beyond"])
+
     # rows that repeat doc_id and text have one key and ask for the same list, each place of which is kept once
     marked = docs.select(row.alias("_row"), common.text_of().alias("text"))
     asked = marked.mapInArrow(rare, "_row long, pos int, word string")
     # the words of a document come from all over, so flat rows move, not lists of one: a list is 2 to 3 times as large
-    found = asked.join(table.select("word", "ids", "decoded"), "word").select("_row", "pos", "ids", "decoded").repartition("_row")
+    found = asked.join(others, "word").select("_row", "pos", "ids", "decoded").repartition("_row")
     tail = found.groupBy("_row").agg(F.collect_set(F.struct("pos", "ids", "decoded")).alias("_rare"))
     names = keep if keep is not None else ["doc_id"]
-    rows = docs.select(*(F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(names)), common.text_of().alias("_text"), row.alias("_row"))
-    joined = common.packed(rows, "_text").join(tail, "_row", "left")
-    joined = joined.select(*(F.col(f"_{k}") for k in range(len(names))), "_text", F.col("_rare.pos").alias("_pos"), F.col("_rare.ids").alias("_ids"), F.col("_rare.decoded").alias("_decoded"))
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(names)), row.alias("_row"), common.text_of().alias("_text"))
+    moved = T.StructType([*rows.schema.fields[:-1], T.StructField("_numbers", T.BinaryType()), T.StructField("_beyond", T.BinaryType())])
+    joined = rows.mapInArrow(number, moved).join(tail, "_row", "left")
+    joined = joined.select(*(F.col(f"_{k}") for k in range(len(names))), "_numbers", "_beyond", F.col("_rare.pos").alias("_pos"), F.col("_rare.ids").alias("_ids"), F.col("_rare.decoded").alias("_decoded"))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = head.value.lookup()
+        def out(part: pa.RecordBatch) -> pa.RecordBatch:
+            made = put_together(numbers, rare, ids, decoded)
+            return pa.RecordBatch.from_arrays([*part.columns[: len(names)], *then(*made, kind)], schema=pa.schema([part.schema.field(k) for k in range(len(names))] + list(_arrow(schema))))
+
+        ids, decoded = head.value.arrays()
         for batch in batches:
-            lists, decoded = [], []
-            for text, places, *rare in zip(common.unpack(batch.column("_text").to_pylist()), *(batch.column(c).to_pylist() for c in ("_pos", "_ids", "_decoded")), strict=True):
-                words = split(text)
-                own = list(map(known.get, words))
-                for k, i, d in zip(places or (), *(r or () for r in rare), strict=True):
-                    own[k] = (i, uncut(words[k], d))
-                lists.append(b"".join([ids for ids, _ in own]))
-                decoded.append(" ".join([x for _, x in own if x is not None]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *then(lists, decoded, kind)], schema=pa.schema([batch.schema.field(k) for k in range(len(names))] + list(_arrow(schema))))
+            first, size, numbers, rare = 0, 0, [], []
+            for k, (packs, beyond, *places) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_numbers", "_beyond", "_pos", "_ids", "_decoded")), strict=True)):
+                own, words = unpack(packs, beyond)
+                if size and size + len(own) > HELD_WORDS:
+                    yield out(batch.slice(first, k - first))
+                    first, size, numbers, rare = k, 0, [], []
+                numbers.append(own)
+                size += len(own)
+                there = sorted(zip(*(p or () for p in places), strict=True), key=lambda x: x[0])
+                rare += [(i, uncut(w, d)) for w, (_, i, d) in zip(words, there, strict=True)]
+            yield out(batch.slice(first))
 
     out = joined.mapInArrow(assemble, ", ".join([f"`_{k}` {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(names)] + [schema]))
     return out.select(*(F.col(f"_{k}").alias(c) for k, c in enumerate(names)), *(x.name for x in _arrow(schema)))

@@ -229,3 +229,30 @@ def test_words_are_decoded_by_a_join(spark):
         assert (r["decoded"] is None) == (not ids) and np.frombuffer(r["ids"], "<u2").tolist() == ids
     plan = word_bpe.word_table(word_bpe.distinct_words(docs), WORDS)._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" in plan
+
+
+def test_documents_move_as_numbers_of_words():
+    """A document moved as its text, which its words' numbers and the words beyond the head spell in fewer bytes."""
+    import pyarrow as pa
+
+    words = [f"word{k}" for k in range(70_000)]
+    known = {w: k for k, w in enumerate(words)}
+    text = " ".join([words[k * k % 70_000 if k % 3 else k % 20] for k in range(3000)])
+    both = f"{text} beyond1 {text} Beyond2 ünd2 "
+    numbers, beyond = word_bpe.unpack(*word_bpe.pack(both, known | {x: 70_000 + k for k, x in enumerate(map(str, range(200_000)))}))
+    assert len(numbers) > 6000 and beyond[-1:] and int(numbers.max()) == 270_000 and (numbers == 270_000).sum() == len(beyond)
+    assert word_bpe.unpack(*word_bpe.pack("", known))[0].tolist() == [] and word_bpe.unpack(*word_bpe.pack(" \n", known))[1] == []
+    ids, decoded = pa.array([b"a", b"", b"bc"]), pa.array(["A", None, "B C"])
+    docs = [np.array(x, np.uint32) for x in ([0, 3, 2], [], [1], [1, 3, 1, 0, 3])]
+    rare = [(b"x", "X"), (b"", None), (b"yz", "Y")]
+    assert word_bpe.put_together(docs, rare, ids, decoded) == ([b"axbc", b"", b"", b"ayz"], ["A X B C", "", "", "A Y"])
+    with pytest.raises(ValueError):
+        word_bpe.put_together(docs, rare[:2], ids, decoded)
+
+
+def test_word_bpe_puts_few_words_together_at_a_time(docs, rows, monkeypatch):
+    monkeypatch.setattr(word_bpe, "HELD_WORDS", 1)
+    monkeypatch.setattr(word_bpe, "HEAD_WORDS", 40)
+    want = sorted((d, plain(WORDS).encode(t or "", add_special_tokens=False).ids) for d, t in rows if d is not None)
+    got = [(r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()) for r in word_bpe.encoded(docs.where("doc_id is not null"), WORDS).collect()]
+    assert sorted(got) == want
