@@ -4,7 +4,7 @@ This kind of vocabulary drops white space and splits the rest by its own pattern
 split by that pattern here, any other text at ASCII white space alone, so each word is encoded by itself, once in the
 corpus: ``distinct_words`` counts the words, ``word_table`` encodes and decodes each.  The ids come back by position.  The most
 frequent words (at most ``HEAD_WORDS`` and ``HEAD_BYTES``) are broadcast and looked up where the text is; the words
-beyond, each rare, go as (document, position, word) through a join with the table and return as one list a document.
+beyond, each rare, go as (document, place among them, word) through a join with the table and return as one list a document.
 A document itself moves as the numbers of its words in that head and the words beyond (``pack``), not as its text.
 
 ``decode`` joins the ids of the distinct words with the id-to-piece table, whose size is the vocabulary's, and puts the
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,7 +43,7 @@ LONGEST = 64
 HELD_WORDS = 1 << 20
 
 #: The pattern of the vocabulary for lower-cased texts of settled characters, and ASCII white space.
-_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{tokens.LETTER}]+|[{tokens.NUMBER}]|[^\\s{tokens.LETTER}{tokens.NUMBER}]+")
+_WORDS = re.compile(f"[{tokens.LETTER}]+|[{tokens.NUMBER}]|'s|'t|'re|'ve|'m|'ll|'d|[^\\s{tokens.LETTER}{tokens.NUMBER}]+")
 _SPACE = re.compile("[\x20\x09-\x0d]+")
 
 
@@ -178,6 +179,13 @@ def word_table(words: DataFrame, vocabulary: str, short: bool = False) -> DataFr
     return decode(encode_words(words, vocabulary), vocabulary, short)
 
 
+class Numbers(dict):
+    """Numbers of words from 0 on; that of any other word is how many there are."""
+
+    def __missing__(self, word: str) -> int:
+        return len(self)
+
+
 class Head:
     """The most frequent words, most frequent first, with their ids and the short form of their pieces.
 
@@ -190,9 +198,9 @@ class Head:
     def __getstate__(self):
         return {"words": self.words, "known": None, "made": None}
 
-    def numbers(self) -> dict[str, int]:
+    def numbers(self) -> Numbers:
         if self.known is None:
-            self.known, self.made = {w: k for k, w in enumerate(self.words.column("word").to_pylist())}, None
+            self.known, self.made = Numbers((w, k) for k, w in enumerate(self.words.column("word").to_pylist())), None
         return self.known
 
     def arrays(self) -> tuple[pa.Array, pa.Array]:
@@ -207,18 +215,16 @@ def _whole(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
-def pack(text: str, known: dict[str, int]) -> tuple[bytes, bytes]:
-    """The numbers of a text's words, len(known) for a word beyond, and these words, each as a zstd frame (nothing for none).
+def pack(text: str, known: Numbers) -> tuple[bytes, bytes]:
+    """The numbers of a text's words and its words beyond them, each as a zstd frame (nothing for none).
 
     The first bytes of all numbers come first, then the second and the third ones, most of which are alike.
     """
     words = split(text)
-    found = list(map(known.get, words))
-    beyond = [w for w, k in zip(words, found, strict=True) if k is None] if None in found else []
-    if beyond:
-        found = [len(known) if k is None else k for k in found]
+    found = np.array(array("I", map(known.__getitem__, words)), "<u4")
+    beyond = [words[k] for k in np.flatnonzero(found == len(known)).tolist()]
     small = zstandard.ZstdCompressor(level=1)
-    planes = np.array(found, "<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
+    planes = found.view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
     return small.compress(planes), small.compress("\n".join(beyond).encode("utf-8", "surrogatepass")) if beyond else b""
 
 
@@ -297,13 +303,10 @@ def encode(docs: DataFrame, vocabulary: str, then, schema: str, scratch: common.
         for batch in batches:
             keys, places, words = [], [], []
             for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = split(text)
-                if not known.keys() >= set(own):
-                    for k, w in enumerate(own):
-                        if w not in known:
-                            keys.append(key)
-                            places.append(k)
-                            words.append(w)
+                own = [w for w in split(text) if w not in known]
+                keys += [key] * len(own)
+                places += range(len(own))
+                words += own
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(words, pa.string())], names=["_row", "pos", "word"])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

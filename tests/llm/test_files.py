@@ -236,10 +236,10 @@ def test_documents_move_as_numbers_of_words():
     import pyarrow as pa
 
     words = [f"word{k}" for k in range(70_000)]
-    known = {w: k for k, w in enumerate(words)}
+    known = word_bpe.Numbers((w, k) for k, w in enumerate(words))
     text = " ".join([words[k * k % 70_000 if k % 3 else k % 20] for k in range(3000)])
     both = f"{text} beyond1 {text} Beyond2 ünd2 "
-    numbers, beyond = word_bpe.unpack(*word_bpe.pack(both, known | {x: 70_000 + k for k, x in enumerate(map(str, range(200_000)))}))
+    numbers, beyond = word_bpe.unpack(*word_bpe.pack(both, word_bpe.Numbers(known | {str(-k): 70_000 + k for k in range(200_000)})))
     assert len(numbers) > 6000 and beyond[-1:] and int(numbers.max()) == 270_000 and (numbers == 270_000).sum() == len(beyond)
     assert word_bpe.unpack(*word_bpe.pack("", known))[0].tolist() == [] and word_bpe.unpack(*word_bpe.pack(" \n", known))[1] == []
     ids, decoded = pa.array([b"a", b"", b"bc"]), pa.array(["A", None, "B C"])
