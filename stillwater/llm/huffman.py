@@ -261,8 +261,7 @@ def global_counts(ids: DataFrame, size: int, kind: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                total += 0 if not x else np.bincount(np.frombuffer(x, kind), minlength=size)
+            total += np.bincount(np.frombuffer(b"".join(x or b"" for x in batch.column(0).to_pylist()), kind), minlength=size)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["id", "n"])
 

@@ -31,6 +31,19 @@ def test_encoder_is_the_library(path, rows):
         assert [np.frombuffer(x, own.kind).tolist() for x in own.encode(texts)] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_plain_texts_look_up_distinct_words(monkeypatch):
+    """The library gets each new word once, many as one text; the texts are not cut into all their pieces in Python."""
+    own, lib, rows = tokens.Encoder(BYTES), plain(BYTES), []
+    texts = [f"It's {k}th day.\nNaïve über-Straße, don't {'x' * k}!? 'S" for k in range(100)] + ["a", "'s b\n's", "a" * 200, "a\xa0 b \xa0c"]
+    monkeypatch.setattr(own, "encode_row", lambda keys, f=own.encode_row: rows.extend(keys) or f(keys))
+    for _ in range(2):
+        got = [np.frombuffer(x, own.kind).tolist() for x in own.encode(texts)]
+        assert got == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert rows.count("day.") == rows.count("don't") == 1 and len(rows) < 250
+    monkeypatch.setattr(tokens, "_BYTE_LEVEL", None)
+    assert own.encode(texts[:100]) == [np.array(x, own.kind).tobytes() for x in got[:100]]
+
+
 def test_memo_keeps_what_is_asked_for():
     memo = tokens.Memo(3)
     for k in range(20):
