@@ -50,9 +50,9 @@ def between_spaces(texts: list[str]) -> tuple[list[str], pa.Array, pa.Array]:
     return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices, lists.offsets
 
 
-def in_a_row(values: list[bytes], places: pa.Array, ends: pa.Array) -> pa.Array:
+def in_a_row(values: pa.Array, places: pa.Array, ends: pa.Array) -> pa.Array:
     """For each text, the values of its strings one after another."""
-    return pc.binary_join(pa.ListArray.from_arrays(ends, pa.array(values, pa.binary()).take(places)), b"")
+    return pc.binary_join(pa.ListArray.from_arrays(ends, values.take(places)), b"")
 
 
 class Memo:
@@ -140,7 +140,7 @@ class Encoder:
         new = self.words.missing({"\n", *keys})
         self.words.new.update(zip(new, self.encode_row(new) if new else [], strict=True))
         known = self.words.new
-        out, first = in_a_row(list(map(known.__getitem__, keys)), places, ends), len(known["\n"])
+        out, first = in_a_row(pa.array(list(map(known.__getitem__, keys)), pa.binary()), places, ends), len(known["\n"])
         self.words.forget(new)
         return [x[first:] for x in out.to_pylist()]
 

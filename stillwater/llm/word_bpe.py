@@ -3,9 +3,10 @@
 This kind of vocabulary drops white space and splits the rest by its own pattern; texts of well-settled characters are
 split by that pattern here, any other text at ASCII white space alone, so each word is encoded by itself, once in the
 corpus: ``distinct_words`` counts the words, ``word_table`` encodes and decodes each.  The ids come back by position.  The most
-frequent words (at most ``HEAD_WORDS`` and ``HEAD_BYTES``) are broadcast and looked up where the text is; the words
+frequent words (at most ``HEAD_WORDS`` and ``HEAD_BYTES``) are broadcast and looked up where the text is.  A document moves
+once, as the numbers of its words in that head and the words beyond (``pack``), not as its text; where it arrives, the words
 beyond, each rare, go as (document, place among them, word) through a join with the table and return as one list a document.
-A document itself moves as the numbers of its words in that head and the words beyond (``pack``), not as its text.
+What stands between white space is split into words once a batch of texts.
 
 ``decode`` joins the ids of the distinct words with the id-to-piece table, whose size is the vocabulary's, and puts the
 pieces of a word together by spaces: the vocabulary file names no decoder.  These texts go the way of the ids, so a document's
@@ -22,8 +23,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,21 +38,40 @@ from stillwater.llm import common, tokens
 HEAD_WORDS = 400_000
 HEAD_BYTES = 16 << 20
 LONGEST = 64
+_DECOMPRESSOR = zstandard.ZstdDecompressor()
 #: Words of documents that are put together at a time.
 HELD_WORDS = 1 << 20
 
 #: The pattern of the vocabulary for lower-cased texts of settled characters, and ASCII white space.
-_WORDS = re.compile(f"[{tokens.LETTER}]+|[{tokens.NUMBER}]|'s|'t|'re|'ve|'m|'ll|'d|[^\\s{tokens.LETTER}{tokens.NUMBER}]+")
+_LETTER = f"{tokens.LETTER}ɐ-ʯⱥⱦ"  # and what settled ones become in lower case
+_WORDS = re.compile(f"[{_LETTER}]+|[{tokens.NUMBER}]|'s|'t|'re|'ve|'m|'ll|'d|[^\\s{_LETTER}{tokens.NUMBER}]+")
 _SPACE = re.compile("[\x20\x09-\x0d]+")
 
 
+def _settled(text: str) -> bool:
+    return bool(tokens.SETTLED.fullmatch(text)) and "<|" not in text
+
+
 def split(text: str) -> list[str]:
     """Words whose ids in a row are the text's."""
-    if tokens.SETTLED.fullmatch(text) and "<|" not in text:
+    if _settled(text):
         return _WORDS.findall(text.lower())
     return [w for w in _SPACE.split(text) if w]
 
 
+def _keys(texts: list[str]) -> tuple[list[str], pa.Array, pa.Array]:
+    """What stands between white space, as from ``between_spaces``; ``_words_of`` gives the words of each."""
+    return tokens.between_spaces([t.lower().replace("\n", " ").replace("\t", " ") if _settled(t) else "\t" + _SPACE.sub(" \t", t) for t in texts])
+
+
+def _words_of(key: str) -> list[str]:
+    if key.isalpha():
+        return [key]
+    if key[:1] == "\t":  # of a text that isn't settled
+        return [key[1:]] if len(key) > 1 else []
+    return _WORDS.findall(key)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
 
@@ -66,10 +84,12 @@ def distinct_words(docs: DataFrame) -> DataFrame:
             for a in range(0, len(counts), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(words[a : a + 50_000], pa.string()), pa.array(sizes[a : a + 50_000], pa.int64())], names=["word", "n"])
 
-        counts: Counter[str] = Counter()
+        counts: dict[str, int] = {}
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(split(text))
+            keys, places, _ = _keys(batch.column(0).to_pylist())
+            for key, n in zip(keys, np.bincount(places.to_numpy(), minlength=len(keys)).tolist(), strict=True):
+                for word in _words_of(key):
+                    counts[word] = counts.get(word, 0) + n
             if len(counts) > 300_000:
                 words, sizes = list(counts), list(counts.values())
                 yield from out()
@@ -205,9 +225,10 @@ class Head:
 
     def arrays(self) -> tuple[pa.Array, pa.Array]:
         if self.made is None:
-            word, short = (self.words.column(c).to_pylist() for c in ("word", "decoded"))
-            decoded = pa.array([uncut(w, d) for w, d in zip(word, short, strict=True)], pa.string())
-            self.known, self.made = None, (_whole(self.words.column("ids")), decoded)
+            self.known, parts = None, []
+            for part in self.words.to_batches(max_chunksize=20_000):  # texts of all words at a time would take four times as much
+                parts.append(pa.array([uncut(w, d) for w, d in zip(part.column("word").to_pylist(), part.column("decoded").to_pylist(), strict=True)], pa.string()))
+            self.made = _whole(self.words.column("ids")), _whole(pa.chunked_array(parts, pa.string()))
         return self.made
 
 
@@ -220,19 +241,41 @@ def pack(text: str, known: Numbers) -> tuple[bytes, bytes]:
 
     The first bytes of all numbers come first, then the second and the third ones, most of which are alike.
     """
-    words = split(text)
-    found = np.array(array("I", map(known.__getitem__, words)), "<u4")
-    beyond = [words[k] for k in np.flatnonzero(found == len(known)).tolist()]
-    small = zstandard.ZstdCompressor(level=1)
-    planes = found.view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
-    return small.compress(planes), small.compress("\n".join(beyond).encode("utf-8", "surrogatepass")) if beyond else b""
+    return pack_all([text], known)[0]
+
+
+def pack_all(texts: list[str], known: Numbers) -> list[tuple[bytes, bytes]]:
+    """``pack`` of each text; what stands between white space is split and looked up once."""
+    keys, places, ends = _keys(texts)
+    none, numbers, sizes, beyond, number_of = len(known), [], [], [], known.get
+    for key, number in zip(keys, map(number_of, keys), strict=True):
+        if number is not None or key.isalpha():  # a word as it stands
+            numbers.append(none if number is None else number)
+            sizes.append(4)
+            beyond.append(f"{key}\n" if number is None else "")
+        else:
+            words = _words_of(key)
+            own = [number_of(w, none) for w in words]
+            numbers += own
+            sizes.append(4 * len(own))
+            beyond.append("".join([f"{w}\n" for w, k in zip(words, own, strict=True) if k == none]) if none in own else "")
+    offsets = np.cumsum([0, *sizes]).astype(np.int32)
+    each = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(offsets), pa.py_buffer(np.array(numbers, "<u4"))])
+    small, out = zstandard.ZstdCompressor(level=1), []
+    for found, rest in zip(*(tokens.in_a_row(x, places, ends).to_pylist() for x in (each, pa.array(beyond, pa.string()).cast(pa.binary()))), strict=True):
+        planes = np.frombuffer(found, np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
+        out.append((small.compress(planes), small.compress(rest[:-1]) if rest else b""))
+    return out
 
 
 def unpack(numbers: bytes, beyond: bytes) -> tuple[np.ndarray, list[str]]:
     """The numbers and the words beyond, from ``pack``."""
-    big = zstandard.ZstdDecompressor()
-    planes = np.frombuffer(big.decompress(numbers), np.uint8).reshape(3, -1).astype(np.uint32)
-    return planes[0] | planes[1] << 8 | planes[2] << 16, big.decompress(beyond).decode("utf-8", "surrogatepass").split("\n") if beyond else []
+    planes = np.frombuffer(_DECOMPRESSOR.decompress(numbers), np.uint8).reshape(3, -1).astype(np.uint32)
+    return planes[0] | planes[1] << 8 | planes[2] << 16, _beyond_words(beyond)
+
+
+def _beyond_words(beyond: bytes) -> list[str]:
+    return _DECOMPRESSOR.decompress(beyond).decode("utf-8", "surrogatepass").split("\n") if beyond else []
 
 
 def put_together(numbers: list[np.ndarray], rare: list[tuple[bytes, str | None]], ids: pa.Array, decoded: pa.Array) -> tuple[list[bytes], list[str]]:
@@ -298,35 +341,35 @@ def encode(docs: DataFrame, vocabulary: str, then, schema: str, scratch: common.
     kind = tokens.encoder(vocabulary).kind
     common.release(spark)
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = head.value.numbers()
+        for batch in batches:
+            *others, text = batch.columns
+            packs = pack_all(text.to_pylist(), known)
+            columns = [pa.array([p[k] for p in packs], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*others, *columns], names=[*batch.schema.names[:-1], "_numbers", "_beyond"])
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, places, words = [], [], []
-            for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = [w for w in split(text) if w not in known]
+            for key, beyond in zip(*(batch.column(c).to_pylist() for c in ("_row", "_beyond")), strict=True):
+                own = _beyond_words(beyond)
                 keys += [key] * len(own)
                 places += range(len(own))
                 words += own
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(words, pa.string())], names=["_row", "pos", "word"])
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = head.value.numbers()
-        for batch in batches:
-            *others, text = batch.columns
-            packs = [pack(t, known) for t in text.to_pylist()]
-            columns = [pa.array([p[k] for p in packs], pa.binary()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*others, *columns], names=[*batch.schema.names[:-1], "_numbers", "_beyond"])
-
+    names = keep if keep is not None else ["doc_id"]
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(names)), row.alias("_row"), common.text_of().alias("_text"))
+    moved = T.StructType([*rows.schema.fields[:-1], T.StructField("_numbers", T.BinaryType()), T.StructField("_beyond", T.BinaryType())])
+    # both uses take all columns, so that Spark makes one exchange of them
+    dealt = rows.mapInArrow(number, moved).repartition("_row")
     # rows that repeat doc_id and text have one key and ask for the same list, each place of which is kept once
-    marked = docs.select(row.alias("_row"), common.text_of().alias("text"))
-    asked = marked.mapInArrow(rare, "_row long, pos int, word string")
+    asked = dealt.mapInArrow(rare, "_row long, pos int, word string")
     # the words of a document come from all over, so flat rows move, not lists of one: a list is 2 to 3 times as large
     found = asked.join(others, "word").select("_row", "pos", "ids", "decoded").repartition("_row")
     tail = found.groupBy("_row").agg(F.collect_set(F.struct("pos", "ids", "decoded")).alias("_rare"))
-    names = keep if keep is not None else ["doc_id"]
-    rows = docs.select(*(F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(names)), row.alias("_row"), common.text_of().alias("_text"))
-    moved = T.StructType([*rows.schema.fields[:-1], T.StructField("_numbers", T.BinaryType()), T.StructField("_beyond", T.BinaryType())])
-    joined = rows.mapInArrow(number, moved).join(tail, "_row", "left")
+    joined = dealt.join(tail, "_row", "left")
     joined = joined.select(*(F.col(f"_{k}") for k in range(len(names))), "_numbers", "_beyond", F.col("_rare.pos").alias("_pos"), F.col("_rare.ids").alias("_ids"), F.col("_rare.decoded").alias("_decoded"))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
