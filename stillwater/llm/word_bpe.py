@@ -85,7 +85,7 @@ def distinct_words(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(words[a : a + 50_000], pa.string()), pa.array(sizes[a : a + 50_000], pa.int64())], names=["word", "n"])
 
         counts: dict[str, int] = {}
-        for batch in batches:
+        for batch in common.released(batches):
             keys, places, _ = _keys(batch.column(0).to_pylist())
             for key, n in zip(keys, np.bincount(places.to_numpy(), minlength=len(keys)).tolist(), strict=True):
                 for word in _words_of(key):
@@ -106,7 +106,7 @@ def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokens.encoder(vocabulary)
-        for batch in batches:
+        for batch in common.released(batches):
             for a in range(0, batch.num_rows, 5000):
                 part = batch.slice(a, 5000)
                 ids = own.encode_each(part.column(0).to_pylist())
@@ -182,7 +182,7 @@ def _gather(batches: Iterator[pa.RecordBatch], short: bool = False) -> Iterator[
         return pa.RecordBatch.from_arrays([*columns, pa.array(decoded, pa.binary() if short else pa.string())], names=["word", "n", "ids", "decoded"])
 
     held = None
-    for batch in batches:
+    for batch in common.released(batches):
         part = pa.Table.from_batches([batch])
         part = pa.concat_tables([held, part]).combine_chunks() if held is not None else part
         last = np.flatnonzero(~(part.column("pos").fill_null(0).to_numpy() > 0))
@@ -343,14 +343,14 @@ def encode(docs: DataFrame, vocabulary: str, then, schema: str, scratch: common.
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = head.value.numbers()
-        for batch in batches:
+        for batch in common.released(batches):
             *others, text = batch.columns
             packs = pack_all(text.to_pylist(), known)
             columns = [pa.array([p[k] for p in packs], pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*others, *columns], names=[*batch.schema.names[:-1], "_numbers", "_beyond"])
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.released(batches):
             keys, places, words = [], [], []
             for key, beyond in zip(*(batch.column(c).to_pylist() for c in ("_row", "_beyond")), strict=True):
                 own = _beyond_words(beyond)
@@ -378,7 +378,7 @@ def encode(docs: DataFrame, vocabulary: str, then, schema: str, scratch: common.
             return pa.RecordBatch.from_arrays([*part.columns[: len(names)], *then(*made, kind)], schema=pa.schema([part.schema.field(k) for k in range(len(names))] + list(_arrow(schema))))
 
         ids, decoded = head.value.arrays()
-        for batch in batches:
+        for batch in common.released(batches):
             first, size, numbers, rare = 0, 0, [], []
             for k, (packs, beyond, *places) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_numbers", "_beyond", "_pos", "_ids", "_decoded")), strict=True)):
                 own, words = unpack(packs, beyond)

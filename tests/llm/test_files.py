@@ -124,6 +124,31 @@ def test_word_bpe_of_long_words_and_repeated_rows(spark, monkeypatch):
     assert head.words.column("word").to_pylist() == ["q" * 200]
 
 
+def test_capitals_stay_in_their_word():
+    """Settled letters whose lower case is in another block, such as those of Hausa, don't end a word."""
+    own, lib = tokens.encoder(WORDS), plain(WORDS)
+    texts = ["Ɓaba aȺb", "xɄy"] + [f"a{c}b {c} {c}1{c}" for c in map(chr, range(0x20, 0x250)) if tokens.SETTLED.fullmatch(c)]
+    got = [np.frombuffer(b"".join(own.encode_each(word_bpe.split(t))), own.kind).tolist() for t in texts]
+    assert got == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    for t in texts:
+        keys, places, _ = word_bpe._keys([t])
+        assert [w for k in places.to_pylist() for w in word_bpe._words_of(keys[k])] == word_bpe.split(t)
+
+
+def test_word_bpe_numbers_each_document_once(spark, docs, monkeypatch):
+    """Both uses of the numbered documents read one exchange, and a batch looks each of its strings up once."""
+    monkeypatch.setattr(word_bpe, "HEAD_WORDS", 40)
+    out = word_bpe.digests(docs, WORDS)
+    assert out.count() == docs.count()
+    out.collect()
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+    asked, known = [], word_bpe.Numbers({"a": 0, "b": 1})
+    monkeypatch.setattr(word_bpe, "_words_of", lambda key, f=word_bpe._words_of: asked.append(key) or f(key))
+    packed = word_bpe.pack_all(["a c. b c.\n", "", "c. 中.", "B A"] * 3, known)
+    assert sorted(asked) == ["", "\tc.", "\t中.", "c."]
+    assert [(n.tolist(), w) for n, w in (word_bpe.unpack(*p) for p in packed)] == [([0, 2, 2, 1, 2, 2], ["c", ".", "c", "."]), ([], []), ([2, 2], ["c.", "中."]), ([1, 0], [])] * 3
+
+
 def test_word_bpe_of_nothing(empty):
     assert word_bpe.digests(empty, WORDS).count() == 0
 
