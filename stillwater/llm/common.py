@@ -10,7 +10,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +26,9 @@ _SHIPPED: set[str] = set()
 _LOCAL: dict[str, str] = {}
 
 
-def prepare(spark: SparkSession) -> SparkSession:
+def prepare(spark: SparkSession, batch: int = 4 << 20) -> SparkSession:
     """Bound the Arrow batches by bytes (texts differ in length) and make the package importable on executors."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     app = spark.sparkContext.applicationId
     on_path = any(p and os.path.abspath(p) == root for p in os.environ.get("PYTHONPATH", "").split(os.pathsep))
@@ -148,9 +148,9 @@ def packed(rows: DataFrame, column: str = "text") -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def unpack(values: list[bytes]) -> list[str]:
+def unpack(values: Iterable[bytes]) -> Iterator[str]:
     big = zstandard.ZstdDecompressor()
-    return [big.decompress(x).decode("utf-8", "surrogatepass") for x in values]
+    return (big.decompress(x).decode("utf-8", "surrogatepass") for x in values)
 
 
 def text_of(column: str = "text") -> Column:

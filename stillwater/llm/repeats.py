@@ -21,7 +21,7 @@ a doc_id are separate texts of equal rank: neither takes from the other.  Extra
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,8 @@ from stillwater.llm import common
 WINDOW = 50
 ROUNDS, RUN_ROUNDS = 8, (0,)
 LAST = (1 << 63) - 1
+#: A worker takes texts by so many characters and candidate windows by so many at a time, however much a batch holds.
+PIECE, MANY = 1 << 19, 1 << 17
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -142,10 +144,15 @@ def _documents(docs: DataFrame, seed: int) -> DataFrame:
     """doc_id, rank (doc_id, LAST for null), row, root, n_words, all_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [common.space_words(text) for text in batch.column("text").to_pylist()]
-            joined = [b" ".join(own) for own in words]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([_root(x, seed) for x in joined], pa.int64()), pa.array(list(map(len, words)), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in joined], pa.string())], names=["doc_id", "row", "root", "n_words", "all_sha256"])
+        for batch in common.released(batches):
+            roots, counts, digests = [], [], []
+            for text in batch.column("text").to_pylist():
+                words = common.space_words(text)
+                joined = b" ".join(words)
+                roots.append(_root(joined, seed))
+                counts.append(len(words))
+                digests.append(hashlib.sha256(joined).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(roots, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "row", "root", "n_words", "all_sha256"])
 
     found = _rows(docs, seed).mapInArrow(run, "doc_id long, row long, root long, n_words long, all_sha256 string")
     return found.withColumn("rank", F.coalesce("doc_id", F.lit(LAST)))
@@ -155,13 +162,31 @@ def _rows(docs: DataFrame, seed: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).withColumn("row", F.xxhash64("doc_id", "text", F.lit(seed)))
 
 
+def _pieces(texts: Iterable[str]) -> Iterator[tuple[int, list[str]]]:
+    """The texts in lists that end with the text that fills ``PIECE``, each with the place of its first."""
+    own, size, first = [], 0, 0
+    for k, text in enumerate(texts):
+        own.append(text)
+        size += len(text)
+        if size >= PIECE:
+            yield first, own
+            own, size, first = [], 0, k + 1
+    if own:
+        yield first, own
+
+
+def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """Each row's numbers."""
+    values, cut = column.values.to_numpy(), column.offsets.to_pylist()
+    return (values[a:b] for a, b in zip(cut, cut[1:], strict=False))
+
+
 def _filed(docs: DataFrame, seed: int) -> DataFrame:
     """key, root: what the windows of each text are filed under."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
+        for _, texts in (x for batch in common.released(batches) for x in _pieces(batch.column(0).to_pylist())):
             flat, sizes = common.word_hashes(texts)
             roots, new = [_root(b" ".join(common.space_words(x)), seed) for x in texts], np.zeros(len(sizes), bool)
             for k, (root, size) in enumerate(zip(roots, sizes.tolist(), strict=True)):
@@ -196,40 +221,51 @@ def _digests(texts: list[str], owner: np.ndarray, places: np.ndarray) -> tuple[n
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """hash_a, hash_b, rank, row, place, found: candidate windows; found: a smaller rank in the same batch has it, so its
-    digest, which nobody needs any more, is 0."""
-    for batch in batches:
+    """hash_a, hash_b, rank, row, place, found: candidate windows; found: a smaller rank among those judged together has
+    it, so its digest, which nobody needs any more, is 0."""
+    some, n = [], 0
+    for batch in common.released(batches):
         ranks, rows = (batch.column(c).to_numpy() for c in ("rank", "row"))
-        texts = common.unpack(batch.column("text").to_pylist())
-        t = Texts(*common.word_hashes(texts))
-        starts, keys = anchors(t)
-        owner = t.doc_of(starts)
-        shared = [np.sort(np.array(x, np.int64)) for x in batch.column("keys").to_pylist()]
-        keys = common.int64(keys)
-        cut = np.searchsorted(owner, np.arange(len(shared) + 1))
-        chosen = np.concatenate([np.zeros(0, np.int64), *(a + np.flatnonzero(np.isin(keys[a:b], own)) for a, b, own in zip(cut.tolist(), cut[1:].tolist(), shared, strict=False))]).astype(np.int64)
-        starts, owner = starts[chosen], owner[chosen]
-        a, b = _digests(texts, owner, starts - t.starts[owner])
-        by = np.lexsort((ranks[owner], b, a))
-        a, b, starts, owner = a[by], b[by], starts[by], owner[by]
-        head = np.ones(len(a), bool)
-        head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        least = ranks[owner][np.flatnonzero(head)][np.cumsum(head) - 1] if len(a) else ranks[:0]
-        found = ranks[owner] > least
-        a, b = np.where(found, 0, a), np.where(found, 0, b)
-        for k in range(0, len(a), 100_000):
-            s = slice(k, k + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(a[s]), pa.array(b[s]), pa.array(ranks[owner[s]]), pa.array(rows[owner[s]]), pa.array((starts[s] - t.starts[owner[s]]).astype(np.int32)), pa.array(found[s])], names=["hash_a", "hash_b", "rank", "row", "place", "found"])
+        shared = _lists(batch.column("keys"))
+        for first, texts in _pieces(common.unpack(batch.column("text").to_pylist())):
+            t = Texts(*common.word_hashes(texts))
+            starts, keys = anchors(t)
+            owner = t.doc_of(starts)
+            keys = common.int64(keys)
+            cut = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
+            chosen = np.concatenate([np.zeros(0, np.int64), *(a + np.flatnonzero(np.isin(keys[a:b], next(shared))) for a, b in zip(cut, cut[1:], strict=False))]).astype(np.int64)
+            starts, owner = starts[chosen], owner[chosen]
+            places = starts - t.starts[owner]
+            some.append((*_digests(texts, owner, places), ranks[first + owner], rows[first + owner], places.astype(np.int32)))
+            n += len(places)
+            if n >= MANY:
+                yield from _judged(some)
+                some, n = [], 0
+    if n:
+        yield from _judged(some)
+
+
+def _judged(some: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    a, b, ranks, rows, places = map(np.concatenate, zip(*some, strict=True))
+    by = np.lexsort((ranks, b, a))
+    a, b, ranks, rows, places = a[by], b[by], ranks[by], rows[by], places[by]
+    head = np.ones(len(a), bool)
+    head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    found = ranks > ranks[np.flatnonzero(head)][np.cumsum(head) - 1]
+    a, b = np.where(found, 0, a), np.where(found, 0, b)
+    for k in range(0, len(a), 25_000):
+        s = slice(k, k + 25_000)
+        yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (a, b, ranks, rows, places, found)], names=["hash_a", "hash_b", "rank", "row", "place", "found"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in common.released(batches):
         gone, digests = [], []
-        for text, places in zip(common.unpack(batch.column("text").to_pylist()), batch.column("places").to_pylist(), strict=True):
+        for text, places in zip(common.unpack(batch.column("text").to_pylist()), _lists(batch.column("places")), strict=True):
             words = common.space_words(text)
             edges = np.zeros(len(words) + 1, np.int64)
-            np.add.at(edges, np.array(places, np.int64), 1)
-            np.add.at(edges, np.array(places, np.int64) + WINDOW, -1)
+            np.add.at(edges, places, 1)
+            np.add.at(edges, places + WINDOW, -1)
             covered = np.cumsum(edges[:-1]) > 0
             gone.append(int(covered.sum()))
             digests.append(hashlib.sha256(b" ".join(w for w, c in zip(words, covered.tolist(), strict=True) if not c)).hexdigest())
@@ -238,7 +274,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256."""
-    spark = common.prepare(docs.sparkSession)
+    spark = common.prepare(docs.sparkSession, 1 << 20)
     scratch = common.Scratch(spark, "repeats")
     for seed in range(16):
         documents = scratch.table(_documents(docs, seed), f"documents-{seed}")
