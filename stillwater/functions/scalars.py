@@ -34,11 +34,15 @@ def ratio_or_zero(a, b) -> Column:
     return F.when(col(b) == 0, F.lit(0.0)).otherwise(col(a).cast("double") / col(b))
 
 
-def steady_mean(c) -> Column:
-    """The mean of a group's numbers, summed from the least to the largest: rows in any order give the same double, so equal
-    means tie.  For groups that a row can hold, such as the frames of a video.
+def steady_mean(c, order: str | None = None) -> Column:
+    """The mean of a group's numbers, summed from the least to the largest, or along the column ``order``: rows in any order give
+    the same double, so equal means tie.  For groups that a row can hold, such as the frames of a video.
     """
-    own = F.sort_array(F.collect_list(col(c)))
+    if order:
+        placed = F.struct(col(order).alias("place"), col(c).alias("x"))
+        own = F.sort_array(F.collect_list(F.when(col(c).isNotNull(), placed)))["x"]
+    else:
+        own = F.sort_array(F.collect_list(col(c)))
     total = F.aggregate(own, F.lit(0.0), lambda a, x: a + x)
     return F.when(F.size(own) > 0, total / F.size(own))
 

@@ -30,11 +30,12 @@ def mean_scores(frames: DataFrame, keys: list[str], expected: int) -> DataFrame:
     })
 
 
-def strict_scores(frames: DataFrame, plan: DataFrame, keys: list[str], video: list[str]) -> DataFrame:
+def strict_scores(frames: DataFrame, plan: DataFrame, keys: list[str], video: list[str], order: str | None = None) -> DataFrame:
     """One record a video of ``keys``; its score is null unless the frames are exactly the planned ones and all valid.
 
     ``plan`` has ``video`` and positions (an array).  Failures are named in this order: no planned position, repeated
-    position, missing or extra positions, a frame that failed, a score that isn't a number in [0, 1].
+    position, missing or extra positions, a frame that failed, a score that isn't a number in [0, 1].  Scores are summed along
+    ``order``, without it from the least to the largest.
     """
     ok = F.col("inference_status") == "ok"
     fine = F.col("score").isNotNull() & ~F.isnan("score") & F.col("score").between(0, 1)
@@ -42,7 +43,7 @@ def strict_scores(frames: DataFrame, plan: DataFrame, keys: list[str], video: li
         F.sort_array(F.collect_list("temporal_position")).alias("received"),
         F.count_if(ok).alias("n_ok"),
         F.count_if(ok & fine).alias("n_fine"),
-        S.steady_mean("score").alias("mean"),
+        S.steady_mean("score", order).alias("mean"),
     )
     joined = seen.join(plan.select(*video, "positions"), video, "left")
     positions = F.coalesce("positions", F.array().cast("array<int>"))

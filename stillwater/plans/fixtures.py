@@ -140,7 +140,7 @@ def planned_frames(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def video_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return videos.strict_scores(planned_frames(spark, sf), plan(spark, sf), VIDEO_KEYS, ["video"])
+    return videos.strict_scores(planned_frames(spark, sf), plan(spark, sf), VIDEO_KEYS, ["video"], "temporal_position")
 
 
 VIDEOS = (
