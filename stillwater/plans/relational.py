@@ -77,18 +77,18 @@ _CLASS_SQL = {
 
 @query("prj_06", f"{_DERIVED} SELECT video, round(near, 12) AS near, round(drop_h40, 12) AS drop_h40, round(drop_plt, 12) AS drop_plt, round(jump_blr, 12) AS jump_blr, round(jump_plt, 12) AS jump_plt, round(drop_mean, 12) AS drop_mean FROM g")
 def prj_06(spark, sf):
-    return r9(derived(wide(spark, sf)).select("video", "near", "drop_h40", "drop_plt", "jump_blr", "jump_plt", "drop_mean"), 12)
+    return r9(derived(wide(spark, sf, "event_id")).select("video", "near", "drop_h40", "drop_plt", "jump_blr", "jump_plt", "drop_mean"), 12)
 
 
 @query("join_06", f"WITH {X.BASE}, {_WIDE} SELECT video, label, manipulation, role, round(cln, 12) AS cln, round(rsz, 12) AS rsz, round(blr, 12) AS blr, round(h40, 12) AS h40, round(plt, 12) AS plt FROM w")
 def join_06(spark, sf):
-    return r9(wide(spark, sf), 12)
+    return r9(wide(spark, sf, "event_id"), 12)
 
 
 @query("flt_09", f"{_DERIVED} SELECT video, c AS case_class FROM g, unnest(list_filter([" + ", ".join(f"CASE WHEN {p} THEN '{k}' END" for k, (p, _, _) in _CLASS_SQL.items()) + "], lambda x: x IS NOT NULL)) t(c)")
 def flt_09(spark, sf):
     found = F.filter(F.array(*(F.when(p, name) for name, p, _, _ in case_classes())), lambda x: x.isNotNull())
-    return derived(wide(spark, sf)).select("video", F.explode(found).alias("case_class"))
+    return derived(wide(spark, sf, "event_id")).select("video", F.explode(found).alias("case_class"))
 
 
 query("flt_10", X.ORACLE["flt_09"])(flt_09)
@@ -101,7 +101,7 @@ for _k, (_p, _m, _d) in _CLASS_SQL.items():
 
 @query("win_07", f"{_DERIVED}, {', '.join(_STEPS)} " + " UNION ALL ".join(f"SELECT * FROM s{k}" for k in _CLASS_SQL))
 def win_07(spark, sf):
-    return selection.greedy_cases(derived(wide(spark, sf)), case_classes(), "video", 3).select("video", "case_class", "place")
+    return selection.greedy_cases(derived(wide(spark, sf, "event_id")), case_classes(), "video", 3).select("video", "case_class", "place")
 
 
 # a class takes an identity once, whatever video it comes with: reals by source, fakes by subset and id

@@ -33,7 +33,7 @@ def test_videos_of_other_frame_orders_are_two_candidates(spark, tmp_path, query)
     assert {r[0]: r[-1] for r in got}["raw"] == 3
 
 
-@pytest.mark.parametrize("query", ["sup_42"])
+@pytest.mark.parametrize("query", ["sup_42", "win_07"])
 def test_cases_of_other_frame_orders_are_told_apart(spark, tmp_path, query):
     got, want = both(spark, tmp_path, query, {0: DOWN, 1500: UP})
     assert got == want
